@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ["urls", "texts"]
+MODULES = ["urls", "texts", "documents"]
 
 
 def register(sql: str | None = None, name: str | None = None):
