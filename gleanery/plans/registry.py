@@ -7,12 +7,14 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleanery.schemas import TABLES
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ["urls", "texts", "documents"]
+MODULES = ["urls", "texts", "documents", "records", "selection"]
 
 
 def register(sql: str | None = None, name: str | None = None):
@@ -27,7 +29,7 @@ def register(sql: str | None = None, name: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def load_all() -> None:
