@@ -8,26 +8,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleanery.functions import vocab
+from gleanery.functions.binding import let
 from gleanery.functions.text import SPACE, strip_space
 
 
+_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?)?$"
+
+
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
 def parse_date(value: Column | str) -> Column:
     """ISO-8601 or RFC-2822 text to a timestamp, NULL when it is not a date."""
-    text = strip_space(value)
-    plain = F.regexp_replace(text, r"^[A-Za-z]{3,9},?\s+", "")
-    zoned = F.regexp_replace(plain, r"\s+(GMT|UTC|UT|Z)$", " +0000")
-    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?)?$"), text)
-    return F.coalesce(
-        F.try_to_timestamp(iso),
-        F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm:ss Z")),
-        F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm Z")),
-        F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm:ss XXX")),
-        F.try_to_timestamp(zoned, F.lit("d MMM yyyy")),
-    )
+    def read(text: Column) -> Column:
+        plain = F.regexp_replace(text, r"^[A-Za-z]{3,9},?\s+", "")
+        zoned = F.regexp_replace(plain, r"\s+(GMT|UTC|UT|Z)$", " +0000")
+        formats = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm:ss XXX", "d MMM yyyy"]
+        feed = let(zoned, lambda z: F.coalesce(*[F.try_to_timestamp(z, F.lit(f)) for f in formats]))
+        return F.when(text.rlike(_ISO), F.try_to_timestamp(text)).when(text.rlike(r"\d [A-Za-z]{3} \d{4}"), feed)
+
+    return let(strip_space(value), read)
 
 
 def effective_date(published: Column | str, effective: Column | str, observed: Column | str) -> Column:
@@ -66,10 +67,10 @@ def lookup(value: Column, table: dict[str, str]) -> Column:
 
 def coerce_enum(value: Column | str, allowed: list[str], aliases: dict[str, str], default: str) -> Column:
     """Exact member, else alias of the lower-cased value, else the default."""
-    candidate = F.regexp_replace(F.coalesce(_col(value), F.lit("")), f"{SPACE}+", "")
-    return (
-        F.when(candidate.isin(allowed), candidate)
-        .otherwise(F.coalesce(lookup(F.lower(candidate), aliases), F.lit(default)))
+    compact = F.regexp_replace(F.coalesce(_col(value), F.lit("")), f"{SPACE}+", "")
+    return let(
+        compact,
+        lambda c: F.when(c.isin(allowed), c).otherwise(F.coalesce(lookup(F.lower(c), aliases), F.lit(default))),
     )
 
 
@@ -85,22 +86,29 @@ def infer_category(
     rules: list[tuple[str, str]] | None = None, fallback: Column | None = None,
 ) -> Column:
     """First keyword rule that matches the claim, else the supplied value after aliasing."""
-    corpus = F.lower(F.concat(_col(title), F.lit(" "), _col(summary)))
-    result = fallback if fallback is not None else coerce_enum(
+    supplied_value = fallback if fallback is not None else coerce_enum(
         supplied, vocab.CATEGORIES, vocab.CATEGORY_ALIASES, vocab.DEFAULT_CATEGORY
     )
-    for category, pattern in reversed(vocab.CATEGORY_RULES if rules is None else rules):
-        result = F.when(corpus.rlike(pattern), F.lit(category)).otherwise(result)
-    return result
+
+    def match(corpus: Column) -> Column:
+        result = supplied_value
+        for category, pattern in reversed(vocab.CATEGORY_RULES if rules is None else rules):
+            result = F.when(corpus.rlike(pattern), F.lit(category)).otherwise(result)
+        return result
+
+    return let(F.lower(F.concat(_col(title), F.lit(" "), _col(summary))), match)
 
 
 def parse_confidence(value: Column | str) -> Column:
     """Share from a number or percentage text; 0.7 when unreadable, clamped to 0..1."""
     text = F.regexp_replace(strip_space(F.coalesce(_col(value).cast("string"), F.lit(""))), "%", "")
     digits = F.regexp_extract(text, r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
-    raw = digits.try_cast("double")
-    share = F.when(raw > 1, raw / 100).otherwise(raw)
-    return F.when(raw.isNull(), F.lit(0.7)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))
+
+    def share(raw: Column) -> Column:
+        part = F.when(raw > 1, raw / 100).otherwise(raw)
+        return F.when(raw.isNull(), F.lit(0.7)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), part)))
+
+    return let(digits.try_cast("double"), share)
 
 
 def split_values(value: Column | str) -> Column:

@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from gleanery.functions import vocab
+from gleanery.functions.binding import let
 
-# 1 scheme, 2 credentials with @, 3 host, 4 port, 5 path, 6 query with ?, 7 fragment with #
+# scheme, credentials with @, host, port, path, query with ?, fragment with #
 _SHAPE = (
     r"(?s)^(?i:(https?)):[/\\]{2,}([^/\\?#]*@)?(\[[^\]/?#]*\]|[^/\\?#:@\[\]\s]+)(?::(\d*))?"
     r"([/\\][^?#]*)?(\?[^#]*)?(#.*)?$"
 )
+_SCHEME, _CREDENTIALS, _HOST, _PORT, _PATH, _QUERY, _FRAGMENT = range(7)
+_MARK = "\x01"
+_PARTS = _MARK.join(f"${i}" for i in range(1, 8))
 _UNSAFE_PATH = r"[\x00-\x20\"<>`{}\x7F-\x{10FFFF}]"
 _HASH_ROUTE = r"^#!?/"
 
@@ -26,12 +30,18 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def _part(url: Column, index: int) -> Column:
-    return F.regexp_extract(url, _SHAPE, index)
+def _clean(value: Column | str) -> Column:
+    return F.regexp_replace(_col(value), r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r\x01]", "")
 
 
-def _clean(value: Column | str) -> Column:
-    return F.regexp_replace(_col(value), r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]", "")
+def _parse(url: Column | str) -> Column:
+    """The seven parts of an http(s) URL from one regular expression; one part for anything else."""
+    parts = F.split(F.regexp_replace(_clean(url), _SHAPE, _PARTS), _MARK)
+    return F.transform(parts, lambda p, i: F.when(i.isin(_SCHEME, _HOST), F.lower(p)).otherwise(p))
+
+
+def _is_web(parts: Column) -> Column:
+    return F.coalesce(F.size(parts) == 7, F.lit(False))
 
 
 def is_web_url(url: Column | str) -> Column:
@@ -40,28 +50,26 @@ def is_web_url(url: Column | str) -> Column:
 
 def host_of(url: Column | str) -> Column:
     """Lower-case host of an http(s) URL, NULL for anything else."""
-    host = F.lower(_part(_clean(url), 3))
-    return F.when(host != "", host)
+    return F.nullif(F.lower(F.regexp_extract(_clean(url), _SHAPE, _HOST + 1)), F.lit(""))
 
 
 def _percent_encode(part: Column) -> Column:
     """Encode only what a path or fragment may not carry verbatim."""
-    encoded = F.array_join(
-        F.transform(
-            F.split(part, ""),
+
+    def encode(text: Column) -> Column:
+        characters = F.transform(
+            F.split(text, ""),
             lambda c: F.when(
                 c.rlike(_UNSAFE_PATH), F.regexp_replace(F.url_encode(c), r"\+", "%20")
             ).otherwise(c),
-        ),
-        "",
-    )
-    return F.when(part.rlike(_UNSAFE_PATH), encoded).otherwise(part)
+        )
+        return F.when(text.rlike(_UNSAFE_PATH), F.array_join(characters, "")).otherwise(text)
+
+    return let(part, encode)
 
 
 def _resolve_dots(path: Column) -> Column:
     """Remove '.' and '..' segments the way a URL parser does."""
-    segments = F.split(path, "/")
-    last = F.element_at(segments, -1)
 
     def step(kept: Column, segment: Column) -> Column:
         shorter = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))
@@ -71,54 +79,59 @@ def _resolve_dots(path: Column) -> Column:
             .otherwise(F.concat(kept, F.array(segment)))
         )
 
-    folded = F.aggregate(F.slice(segments, F.lit(2), F.size(segments)), F.array(F.lit("")), step)
-    closed = F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
-    joined = F.array_join(closed, "/")
-    fixed = F.when(joined == "", F.lit("/")).otherwise(joined)
-    return F.when(path.rlike(r"/\.{1,2}(/|$)"), fixed).otherwise(path)
+    def fold(text: Column) -> Column:
+        segments = F.split(text, "/")
+        folded = F.aggregate(F.slice(segments, F.lit(2), F.size(segments)), F.array(F.lit("")), step)
+        closing = F.when(text.rlike(r"/\.{1,2}$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        joined = F.array_join(F.concat(folded, closing), "/")
+        fixed = F.when(joined == "", F.lit("/")).otherwise(joined)
+        return F.when(text.rlike(r"/\.{1,2}(/|$)"), fixed).otherwise(text)
+
+    return let(path, fold)
 
 
 def _query(raw: Column) -> Column:
     """Query re-encoded as a form: tracking parameters removed, stable sort by name."""
-    pieces = F.filter(F.split(F.substr(raw, F.lit(2)), "&"), lambda p: p != "")
 
     def decode(part: Column) -> Column:
         return F.coalesce(F.try_url_decode(part), part)
 
-    pairs = F.transform(
-        pieces,
-        lambda p, i: F.struct(
-            decode(F.regexp_extract(p, r"(?s)^([^=]*)", 1)).alias("name"),
-            i.alias("place"),
-            decode(F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1)).alias("value"),
-        ),
-    )
-    kept = F.array_sort(F.filter(pairs, lambda p: ~p["name"].rlike(f"(?i){vocab.TRACKING_PATTERN}")))
-    form = F.array_join(
-        F.transform(kept, lambda p: F.concat(F.url_encode(p["name"]), F.lit("="), F.url_encode(p["value"]))),
-        "&",
-    )
-    return F.when((raw == "") | (F.size(kept) == 0), F.lit("")).otherwise(F.concat(F.lit("?"), form))
+    def form(query: Column) -> Column:
+        pieces = F.filter(F.split(F.substr(query, F.lit(2)), "&"), lambda p: p != "")
+        pairs = F.transform(
+            pieces,
+            lambda p, i: F.struct(
+                decode(F.regexp_extract(p, r"(?s)^([^=]*)", 1)).alias("name"),
+                i.alias("place"),
+                decode(F.regexp_extract(p, r"(?s)^[^=]*=(.*)$", 1)).alias("value"),
+            ),
+        )
+        kept = F.array_sort(F.filter(pairs, lambda p: ~p["name"].rlike(f"(?i){vocab.TRACKING_PATTERN}")))
+        fields = F.transform(
+            kept, lambda p: F.concat(F.url_encode(p["name"]), F.lit("="), F.url_encode(p["value"]))
+        )
+        return let(
+            F.array_join(fields, "&"), lambda t: F.when(t == "", t).otherwise(F.concat(F.lit("?"), t))
+        )
+
+    return F.when(raw == "", raw).otherwise(let(raw, form))
 
 
-def _serialise(url: Column) -> Column:
-    scheme = F.lower(_part(url, 1))
-    port = _part(url, 4)
-    default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
+def _serialise(parts: Column) -> Column:
+    port = parts[_PORT]
+    default = F.concat(parts[_SCHEME], port).isin("http80", "https443")
     shown_port = F.when((port == "") | default, F.lit("")).otherwise(F.concat(F.lit(":"), port))
-    path = F.regexp_replace(_part(url, 5), r"\\", "/")
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    fragment = _part(url, 7)
-    fragment = F.when(fragment.rlike(_HASH_ROUTE), _percent_encode(fragment)).otherwise(F.lit(""))
+    path = F.concat(F.when(parts[_PATH] == "", F.lit("/")).otherwise(F.lit("")), F.regexp_replace(parts[_PATH], r"\\", "/"))
+    routed = parts[_FRAGMENT].rlike(_HASH_ROUTE)
+    fragment = F.when(routed, _percent_encode(parts[_FRAGMENT])).otherwise(F.lit(""))
     return F.concat(
-        scheme, F.lit("://"), _part(url, 2), F.lower(_part(url, 3)), shown_port,
-        _percent_encode(_resolve_dots(path)), _query(_part(url, 6)), fragment,
+        parts[_SCHEME], F.lit("://"), parts[_CREDENTIALS], parts[_HOST], shown_port,
+        _percent_encode(_resolve_dots(path)), _query(parts[_QUERY]), fragment,
     )
 
 
 def _v4_number(host: Column) -> Column:
     """Numeric value of a host in any IPv4 notation, NULL when it is a name."""
-    parts = F.split(F.regexp_replace(host, r"\.$", ""), r"\.")
 
     def number(part: Column) -> Column:
         return (
@@ -128,32 +141,44 @@ def _v4_number(host: Column) -> Column:
             .try_cast("bigint")
         )
 
-    values = F.transform(parts, number)
-    count = F.size(values)
-    tail_power = F.pow(F.lit(256), 5 - count).cast("bigint")
-    head = F.aggregate(
-        F.slice(values, F.lit(1), F.greatest(count - 1, F.lit(0))),
-        F.lit(0).cast("bigint"),
-        lambda acc, v: F.when((v >= 0) & (v < 256), acc * 256 + v),
-    )
-    tail = F.element_at(values, -1)
-    numeric = F.when(
-        (count <= 4) & (tail < tail_power), head * tail_power + tail
-    )
-    return numeric
-
+    def combine(values: Column) -> Column:
+        count, tail = F.size(values), F.element_at(values, -1)
+        tail_power = F.pow(F.lit(256), 5 - count).cast("bigint")
+        head = F.aggregate(
+            F.slice(values, F.lit(1), F.greatest(count - 1, F.lit(0))),
+            F.lit(0).cast("bigint"),
+            lambda acc, v: F.when((v >= 0) & (v < 256), acc * 256 + v),
+        )
+        return F.when((count <= 4) & (tail < tail_power), head * tail_power + tail)
 
-def _looks_numeric(host: Column) -> Column:
-    return host.rlike(r"(^|\.)([0-9]+|0x[0-9a-f]*)\.?$")
+    labels = F.split(F.regexp_replace(host, r"\.$", ""), r"\.")
+    return let(F.transform(labels, number), combine)
 
 
 def _public_v4(value: Column) -> Column:
-    blocked = F.lit(False)
-    for block in vocab.NON_PUBLIC_V4:
-        net = ipaddress.ip_network(block)
-        first = int(net.network_address)
-        blocked = blocked | value.between(first, first + net.num_addresses - 1)
-    return value.isNotNull() & ~blocked
+    def check(number: Column) -> Column:
+        blocked = F.lit(False)
+        for block in vocab.NON_PUBLIC_V4:
+            net = ipaddress.ip_network(block)
+            first = int(net.network_address)
+            blocked = blocked | number.between(first, first + net.num_addresses - 1)
+        return number.isNotNull() & ~blocked
+
+    return let(value, check)
+
+
+def _is_public(parts: Column) -> Column:
+    host = parts[_HOST]
+    numeric = host.rlike(r"(^|\.)([0-9]+|0x[0-9a-f]*)\.?$")
+    dotted = F.when(numeric, _public_v4(_v4_number(host))).otherwise(host.contains(".") & ~host.startswith("["))
+    accepted = (
+        F.regexp_replace(parts[_CREDENTIALS], "[:@]", "").isin("")
+        & parts[_PORT].isin("", "80", "443")
+        & (host != "localhost")
+        & ~F.endswith(host, F.lit(".local"))
+        & dotted
+    )
+    return F.when(_is_web(parts), F.coalesce(accepted, F.lit(False))).otherwise(F.lit(False))
 
 
 def is_public_url(url: Column | str) -> Column:
@@ -161,68 +186,56 @@ def is_public_url(url: Column | str) -> Column:
 
     Bracketed IPv6 hosts never contain a dot once serialised, so they are rejected here.
     """
-    clean = _clean(url)
-    host = F.lower(_part(clean, 3))
-    dotted = F.when(
-        _looks_numeric(host), _public_v4(_v4_number(host))
-    ).otherwise(host.contains(".") & ~host.startswith("["))
-    credentials = F.regexp_replace(_part(clean, 2), "[:@]", "")
-    return F.coalesce(
-        clean.rlike(_SHAPE)
-        & (credentials == "")
-        & _part(clean, 4).isin("", "80", "443")
-        & (host != "localhost")
-        & ~F.endswith(host, F.lit(".local"))
-        & dotted,
-        F.lit(False),
-    )
+    return let(_parse(url), _is_public)
 
 
 def canonical_url(url: Column | str) -> Column:
     """Canonical form of a public URL, NULL when the URL is not acceptable."""
-    return F.when(is_public_url(url), _serialise(_clean(url)))
+    return let(_parse(url), lambda parts: F.when(_is_public(parts), _serialise(parts)))
 
 
 def evidence_url(url: Column | str) -> Column:
     """Identity of the page behind a citation; unusable input is returned unchanged."""
-    clean = _clean(url)
-    full = _serialise(clean)
-    routed = _part(clean, 7).rlike(_HASH_ROUTE)
-    key = F.when(routed, full).otherwise(F.regexp_replace(full, "/$", ""))
-    return F.when(is_web_url(url), key).otherwise(_col(url))
+
+    def key(parts: Column) -> Column:
+        routed = parts[_FRAGMENT].rlike(_HASH_ROUTE)
+        return let(_serialise(parts), lambda full: F.when(routed, full).otherwise(F.regexp_replace(full, "/$", "")))
+
+    return let(_parse(url), lambda parts: F.when(_is_web(parts), key(parts)).otherwise(_col(url)))
 
 
 def resolve_link(href: Column | str, base: Column | str) -> Column:
     """Absolute http(s) URL of an anchor on a page, NULL for other schemes."""
-    link, page = _clean(href), _clean(base)
-    scheme = F.lower(_part(page, 1))
-    port = _part(page, 4)
-    origin = F.concat(
-        scheme, F.lit("://"), F.lower(_part(page, 3)),
-        F.when(port == "", F.lit("")).otherwise(F.concat(F.lit(":"), port)),
-    )
-    path = F.when(_part(page, 5) == "", F.lit("/")).otherwise(_part(page, 5))
-    folder = F.regexp_replace(path, "[^/]*$", "")
-    return (
-        F.when(link.rlike(r"^(?i:https?):"), link)
-        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None).cast("string"))
-        .when(link.rlike(r"^[/\\]{2}"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(origin, link))
-        .when(link.startswith("?"), F.concat(origin, path, link))
-        .when(link.startswith("#"), F.concat(origin, path, _part(page, 6), link))
-        .when(link == "", F.concat(origin, path, _part(page, 6)))
-        .otherwise(F.concat(origin, folder, link))
-    )
+
+    def resolve(parts: Column, link: Column) -> Column:
+        port = F.when(parts[_PORT] == "", F.lit("")).otherwise(F.concat(F.lit(":"), parts[_PORT]))
+        origin = F.concat(parts[_SCHEME], F.lit("://"), parts[_HOST], port)
+        path = F.when(parts[_PATH] == "", F.lit("/")).otherwise(parts[_PATH])
+        return (
+            F.when(link.rlike(r"^(?i:https?):"), link)
+            .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None).cast("string"))
+            .when(link.rlike(r"^[/\\]{2}"), F.concat(parts[_SCHEME], F.lit(":"), link))
+            .when(link.startswith("/"), F.concat(origin, link))
+            .when(link.startswith("?"), F.concat(origin, path, link))
+            .when(link.startswith("#"), F.concat(origin, path, parts[_QUERY], link))
+            .when(link == "", F.concat(origin, path, parts[_QUERY]))
+            .otherwise(F.concat(origin, F.regexp_replace(path, "[^/]*$", ""), link))
+        )
+
+    return let(_parse(base), lambda parts: let(_clean(href), lambda link: F.when(_is_web(parts), resolve(parts, link))))
 
 
 def site_root(url: Column | str) -> Column:
     return F.regexp_replace(host_of(url), r"^www\.", "")
 
 
+def host_in_site(host: Column, root: Column) -> Column:
+    return F.coalesce((host == root) | F.endswith(host, F.concat(F.lit("."), root)), F.lit(False))
+
+
 def belongs_to_site(url: Column | str, website: Column | str) -> Column:
     """The host equals the site's root or is one of its subdomains."""
-    host, root = host_of(url), site_root(website)
-    return F.coalesce((host == root) | F.endswith(host, F.concat(F.lit("."), root)), F.lit(False))
+    return let(host_of(url), lambda host: let(site_root(website), lambda root: host_in_site(host, root)))
 
 
 @F.pandas_udf(BooleanType())
@@ -245,9 +258,11 @@ def is_public_address(addresses: pd.Series) -> pd.Series:
 
 def host_suffixes(host: Column) -> Column:
     """Every dot-suffix of a host, the host itself first."""
-    labels = F.split(host, r"\.")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+    return let(
+        F.split(host, r"\."),
+        lambda labels: F.transform(
+            labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), ".")
+        ),
     )
 
 
@@ -285,47 +300,59 @@ class TrustPolicy:
         return list(dict.fromkeys([*self.primary_domains(), *self.authoritative, *self.professional]))
 
     def _trustable_host(self, url: Column | str) -> Column:
-        credentials = F.regexp_replace(_part(_clean(url), 2), "[:@]", "")
-        return F.when(credentials == "", host_of(url))
+        def host(parts: Column) -> Column:
+            plain = F.regexp_replace(parts[_CREDENTIALS], "[:@]", "") == ""
+            return F.when(_is_web(parts) & plain, parts[_HOST])
+
+        return let(_parse(url), host)
 
     def tier(self, url: Column | str) -> Column:
-        suffixes = host_suffixes(self._trustable_host(url))
-        tier = F.lit("untrusted")
         ranked = [
             ("professional", list(self.professional)),
             ("authoritative", list(self.authoritative)),
             ("primary", self.primary_domains()),
         ]
-        for name, domains in ranked:
-            if domains:
-                tier = F.when(F.arrays_overlap(suffixes, _strings(domains)), F.lit(name)).otherwise(tier)
-        return tier
+
+        def rank(suffixes: Column) -> Column:
+            tier = F.lit("untrusted")
+            for name, domains in ranked:
+                if domains:
+                    tier = F.when(F.arrays_overlap(suffixes, _strings(domains)), F.lit(name)).otherwise(tier)
+            return tier
+
+        return let(host_suffixes(self._trustable_host(url)), rank)
 
     def publisher(self, url: Column | str) -> Column:
         """First listed trusted domain that the host belongs to, empty when there is none."""
-        suffixes = host_suffixes(host_of(url))
-        hits = F.filter(_strings(self.domains()), lambda d: F.array_contains(suffixes, d))
-        return F.when(F.size(hits) > 0, F.element_at(hits, 1)).otherwise(F.lit(""))
+        def first(suffixes: Column) -> Column:
+            hits = F.filter(_strings(self.domains()), lambda d: F.array_contains(suffixes, d))
+            return F.coalesce(F.try_element_at(hits, F.lit(1)), F.lit(""))
+
+        return let(host_suffixes(host_of(url)), first)
 
     def is_trusted(self, url: Column | str) -> Column:
         return self.tier(url) != "untrusted"
 
     def authority(self, url: Column | str, anchored: bool = False) -> Column:
         """Evidence authority 0-3.  ``anchored`` matches newsrooms by domain suffix only."""
-        host = F.regexp_replace(host_of(url), r"^www\.", "")
         sites = [r for r in map(self._root, self.builtin_sites) if r]
-        suffixes = host_suffixes(host_of(url))
-        official = F.arrays_overlap(suffixes, _strings(sites)) if sites else F.lit(False)
-        if anchored:
-            news = F.arrays_overlap(suffixes, _strings(vocab.AUTHORITY_NEWS_DOMAINS))
-        else:
-            news = host.rlike(vocab.AUTHORITY_NEWS_PATTERN)
-        return (
-            F.when(~is_web_url(url), F.lit(0))
-            .when(official | host.rlike(vocab.AUTHORITY_TOP_PATTERN), F.lit(3))
-            .when(news, F.lit(2))
-            .otherwise(F.lit(1))
-        )
+
+        def grade(host: Column) -> Column:
+            suffixes = host_suffixes(host)
+            official = F.arrays_overlap(suffixes, _strings(sites)) if sites else F.lit(False)
+            if anchored:
+                news = F.arrays_overlap(suffixes, _strings(vocab.AUTHORITY_NEWS_DOMAINS))
+            else:
+                news = host.rlike(vocab.AUTHORITY_NEWS_PATTERN)
+            bare = F.regexp_replace(host, r"^www\.", "")
+            return (
+                F.when(host.isNull(), F.lit(0))
+                .when(official | bare.rlike(vocab.AUTHORITY_TOP_PATTERN), F.lit(3))
+                .when(news, F.lit(2))
+                .otherwise(F.lit(1))
+            )
+
+        return let(host_of(url), grade)
 
 
 def _strings(values: list[str]) -> Column:

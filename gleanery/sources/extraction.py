@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import records, vocab
+from gleanery.functions.binding import bind, let
 from gleanery.functions.text import strip_space
 
 MAX_ITEMS, MAX_PROFILES = 30, 15
@@ -55,7 +56,7 @@ def _item(record: Column) -> Column:
         records.coerce_enum(
             _text(field["importance"]), vocab.IMPORTANCE, vocab.IMPORTANCE_ALIASES, "normal"
         ).alias("importance"),
-        F.when(company == "", F.lit(vocab.INDUSTRY)).otherwise(company).alias("company"),
+        let(company, lambda c: F.when(c == "", F.lit(vocab.INDUSTRY)).otherwise(c)).alias("company"),
         _text(field["event_key"]).alias("event_key"),
         records.parse_confidence(_text(field["confidence"])).alias("confidence"),
         _citations(field["evidence"]).alias("citations"),
@@ -68,7 +69,7 @@ def _profile(record: Column) -> Column:
     return F.struct(
         *[_text(field[k]).alias(k) for k in ("name", "narrative", "positioning")],
         *[_values(field[k]).alias(k) for k in ("solutions", "capabilities")],
-        F.when(funding == "", F.lit(vocab.UNDISCLOSED)).otherwise(funding).alias("funding"),
+        let(funding, lambda f: F.when(f == "", F.lit(vocab.UNDISCLOSED)).otherwise(f)).alias("funding"),
         _text(field["implication"]).alias("implication"),
         _citations(field["evidence"]).alias("citations"),
     )
@@ -107,20 +108,22 @@ def normalise_extraction(payloads: DataFrame, body: str = "body") -> DataFrame:
 
     Everything about a batch is in its own row, so the whole step runs without a shuffle.
     """
-    root = F.try_parse_json(F.col(body))
-    offered = payloads.withColumn("_v", root).withColumn(
-        "_items", F.coalesce(_list(_pick(F.col("_v"), vocab.ITEM_LISTS)), F.array().cast("array<variant>"))
-    ).withColumn(
-        "_profiles", F.coalesce(_list(_pick(F.col("_v"), vocab.PROFILE_LISTS)), F.array().cast("array<variant>"))
+    parsed = bind(payloads, _v=F.try_parse_json(F.col(body))).drop(body)
+    none = F.array().cast("array<variant>")
+    offered = bind(
+        parsed,
+        _items=F.coalesce(_list(_pick(F.col("_v"), vocab.ITEM_LISTS)), none),
+        _profiles=F.coalesce(_list(_pick(F.col("_v"), vocab.PROFILE_LISTS)), none),
     )
-    return (
-        offered.withColumn("items", F.filter(F.transform("_items", _item), valid_item))
-        .withColumn("profiles", F.filter(F.transform("_profiles", _profile), valid_profile))
-        .withColumn("offered_items", F.size("_items"))
-        .withColumn("offered_profiles", F.size("_profiles"))
-        .withColumn("accepted", (F.size("items") <= MAX_ITEMS) & (F.size("profiles") <= MAX_PROFILES))
-        .drop("_v", "_items", "_profiles", body)
+    usable = bind(
+        offered,
+        items=F.filter(F.transform("_items", _item), valid_item),
+        profiles=F.filter(F.transform("_profiles", _profile), valid_profile),
+        offered_items=F.size("_items"),
+        offered_profiles=F.size("_profiles"),
     )
+    fits = (F.size("items") <= MAX_ITEMS) & (F.size("profiles") <= MAX_PROFILES)
+    return usable.withColumn("accepted", fits).drop("_v", "_items", "_profiles")
 
 
 def extracted_items(normalised: DataFrame, batch: str = "batch_id") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from gleanery.functions import urls, vocab
+from gleanery.functions.binding import bind
 from gleanery.functions.records import parse_date
 from gleanery.functions.text import SPACE, strip_space
 
@@ -97,7 +98,7 @@ def parse_feeds(feeds: DataFrame, deep: bool = False, body: str = "body") -> Dat
     rows = entries.select(*[c for c in entries.columns if c != "_e"], F.posexplode("_e").alias("entry_no", "_r"))
     link = F.when(F.col("_r.href") != "", F.col("_r.href")).otherwise(F.col("_r.link"))
     return (
-        rows.withColumn("url", urls.canonical_url(strip_space(link)))
+        bind(rows, url=urls.canonical_url(strip_space(link)))
         .where(F.col("url").isNotNull())
         .withColumn("title", F.col("_r.title"))
         .withColumn("text", F.substring(F.regexp_replace("_r.text", f"{SPACE}+", " "), 1, vocab.TEXT_CAP))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from gleanery.functions import urls, vocab
+from gleanery.functions.binding import bind, let
 from gleanery.functions.records import parse_date
 from gleanery.functions.text import collapse_space, strip_space
 
@@ -169,36 +170,33 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """Adds title, text, published_at, hrefs and state; the HTML itself is dropped."""
     parsed = pages.withColumn("_p", read_html(F.col(html))).drop(html)
     dates = F.filter(F.transform("_p.data_dates", parse_date), lambda d: d.isNotNull())
-    body = F.substring(collapse_space("_p.body"), 1, vocab.TEXT_CAP)
-    staged = parsed.withColumn("text", body)
-    return (
-        staged.withColumn("title", F.substring(strip_space("_p.title"), 1, vocab.TITLE_CAP))
-        .withColumn(
-            "published_at",
-            F.coalesce(parse_date("_p.stated_date"), F.try_element_at(dates, F.lit(-1))),
-        )
-        .withColumn("hrefs", F.col("_p.hrefs"))
-        .withColumn("state", page_state(F.col("_p.title"), F.col("text"), F.col("_p.notice"), F.col("_p.shell")))
-        .drop("_p")
+    staged = bind(
+        parsed,
+        text=F.substring(collapse_space("_p.body"), 1, vocab.TEXT_CAP),
+        title=F.substring(strip_space("_p.title"), 1, vocab.TITLE_CAP),
+        published_at=F.coalesce(parse_date("_p.stated_date"), F.try_element_at(dates, F.lit(-1))),
+        hrefs=F.col("_p.hrefs"),
     )
+    state = page_state(F.col("_p.title"), F.col("text"), F.col("_p.notice"), F.col("_p.shell"))
+    return bind(staged, state=state).drop("_p")
 
 
 def follow_links(url: Column | str, hrefs: Column | str, pattern: str = vocab.LINK_PATTERN) -> Column:
     """Distinct canonical same-host links whose location matches ``pattern``, in page order."""
     page = F.col(url) if isinstance(url, str) else url
     anchors = F.col(hrefs) if isinstance(hrefs, str) else hrefs
-    host = urls.host_of(page)
-    found = F.transform(
-        anchors,
-        lambda h: F.struct(urls.resolve_link(h, page).alias("link")),
-    )
-    same_host = F.filter(
-        found,
-        lambda r: (urls.host_of(r["link"]) == host)
-        & F.regexp_extract(r["link"], r"(?s)^[A-Za-z]+:[/\\]+[^/\\?#]*(.*)$", 1).rlike(f"(?i){pattern}"),
-    )
-    canonical = F.transform(same_host, lambda r: urls.canonical_url(r["link"]))
-    return F.array_distinct(F.filter(canonical, lambda c: c.isNotNull() & (c != page)))
+
+    def matching(host: Column) -> Column:
+        resolved = F.transform(anchors, lambda h: urls.resolve_link(h, page))
+        same_host = F.filter(
+            resolved,
+            lambda link: (urls.host_of(link) == host)
+            & F.regexp_extract(link, r"(?s)^[A-Za-z]+:[/\\]+[^/\\?#]*(.*)$", 1).rlike(f"(?i){pattern}"),
+        )
+        canonical = F.transform(same_host, urls.canonical_url)
+        return F.array_distinct(F.filter(canonical, lambda c: c.isNotNull() & (c != page)))
+
+    return let(urls.host_of(page), matching)
 
 
 def next_links(links: Column | str, official: bool = False, deep: bool = False) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import urls, vocab
+from gleanery.functions.binding import bind
 from gleanery.functions.records import parse_date
 from gleanery.functions.text import collapse_space, identity_text, strip_space
 from gleanery.operators.ledger import first_failure
@@ -29,45 +30,53 @@ def parse_results(payloads: DataFrame, body: str = "body") -> DataFrame:
     rows = payloads.select(*others, F.posexplode(results).alias("result_no", "_r"))
     score = F.try_variant_get("_r", "$.score", "variant")
     numeric = F.schema_of_variant(score).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
-    return (
-        rows.withColumn("raw_url", _string(F.col("_r"), "$.url"))
-        .withColumn("title", strip_space(_string(F.col("_r"), "$.title")))
-        .withColumn("snippet", strip_space(_string(F.col("_r"), "$.content")))
-        .withColumn("raw_content", F.substring(collapse_space(_string(F.col("_r"), "$.raw_content")), 1, vocab.TEXT_CAP))
-        .withColumn("published_at", parse_date(_string(F.col("_r"), "$.published_date")))
-        .withColumn("score", F.when(numeric, F.try_variant_get("_r", "$.score", "double")))
-        .drop("_r")
+    typed = bind(
+        rows,
+        raw_url=_string(F.col("_r"), "$.url"),
+        title=strip_space(_string(F.col("_r"), "$.title")),
+        snippet=strip_space(_string(F.col("_r"), "$.content")),
+        raw_content=F.substring(collapse_space(_string(F.col("_r"), "$.raw_content")), 1, vocab.TEXT_CAP),
+        published_at=parse_date(_string(F.col("_r"), "$.published_date")),
+        score=F.when(numeric, F.try_variant_get("_r", "$.score", "double")),
     )
+    return typed.drop("_r")
 
 
-def _names_company(text: Column, company: Column) -> Column:
-    return F.contains(identity_text(text), identity_text(company))
+def _with_company_keys(df: DataFrame, websites: dict[str, str] | None, **texts: Column) -> DataFrame:
+    """Adds the focus key, the host, the root of the company's site and the key of each text.
 
-
-def _on_own_site(url: Column, company: Column, websites: dict[str, str] | None) -> Column:
-    return F.coalesce(urls.belongs_to_site(url, official_website(company, websites)), F.lit(False))
+    Rows without a focus company send no text through the Python normaliser.
+    """
+    focus = F.col("focus_company")
+    keyed = df.withColumn("_focus_key", identity_text(focus)).withColumn(
+        "_site", official_website("focus_company", websites)
+    )
+    for name, text in texts.items():
+        keyed = keyed.withColumn(name, identity_text(F.when(focus.isNotNull(), text)))
+    return bind(keyed, _host=urls.host_of("url"), _root=urls.site_root("_site"))
 
 
 def judge_results(
     results: DataFrame, policy: urls.TrustPolicy, websites: dict[str, str] | None = None
 ) -> DataFrame:
     """Adds the canonical ``url`` and the first ``reason`` for rejection, NULL when kept."""
-    canonical = results.withColumn("url", urls.canonical_url("raw_url"))
-    tier = policy.tier("url")
-    trusted = F.when(F.col("source_scope") == "primary", tier == "primary").otherwise(tier != "untrusted")
-    listed = F.exists("domains", lambda d: urls.belongs_to_site(F.col("url"), F.concat(F.lit("https://"), d)))
-    filtered = (F.col("domain_mode") == "filter") & (F.size(F.coalesce("domains", F.array().cast("array<string>"))) > 0)
+    canonical = bind(results, url=urls.canonical_url("raw_url")).drop("raw_url")
     text = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "snippet", "raw_content")])
-    focus = F.col("focus_company")
+    keyed = bind(_with_company_keys(canonical, websites, _text_key=text), _tier=policy.tier("url"))
+    tier, host = F.col("_tier"), F.col("_host")
+    trusted = F.when(F.col("source_scope") == "primary", tier == "primary").otherwise(tier != "untrusted")
+    listed = F.exists("domains", lambda d: urls.host_in_site(host, F.regexp_replace(F.lower(d), r"^www\.", "")))
+    filtered = (F.col("domain_mode") == "filter") & (F.size("domains") > 0)
     conditions = {
         "invalid": F.col("url").isNull(),
         "untrusted": ~trusted,
         "domain_mismatch": filtered & ~F.coalesce(listed, F.lit(False)),
-        "company_mismatch": focus.isNotNull()
-        & ~_names_company(text, focus)
-        & ~_on_own_site(F.col("url"), focus, websites),
+        "company_mismatch": F.col("focus_company").isNotNull()
+        & ~F.contains(F.col("_text_key"), F.col("_focus_key"))
+        & ~urls.host_in_site(host, F.col("_root")),
     }
-    return canonical.withColumn("reason", first_failure(conditions)).drop("raw_url")
+    judged = bind(keyed, reason=first_failure(conditions))
+    return judged.drop("_focus_key", "_site", "_text_key", "_host", "_root", "_tier")
 
 
 def waterfall(judged: DataFrame, *groups: str) -> DataFrame:
@@ -96,26 +105,32 @@ def accepted_documents(
     candidates: DataFrame, policy: urls.TrustPolicy, websites: dict[str, str] | None = None
 ) -> DataFrame:
     """Candidates whose search body, or on the company's own site whose snippet, is usable text."""
-    body, snippet = F.coalesce("raw_content", F.lit("")), collapse_space(F.coalesce("snippet", F.lit("")))
-    title = F.coalesce("title", F.lit(""))
-    focus = F.col("focus_company")
-    own_site = _on_own_site(F.col("url"), focus, websites)
+    ready = bind(
+        candidates, _body=F.coalesce("raw_content", F.lit("")), _title=F.coalesce("title", F.lit("")),
+        _snippet=collapse_space(F.coalesce("snippet", F.lit(""))),
+    )
+    body, snippet, title = F.col("_body"), F.col("_snippet"), F.col("_title")
+    keyed = _with_company_keys(
+        ready, websites, _body_key=F.concat(title, F.lit(" "), body), _snippet_key=F.concat(title, F.lit(" "), snippet)
+    )
+    focus, focus_key = F.col("focus_company"), F.col("_focus_key")
+    own_site = urls.host_in_site(F.col("_host"), F.col("_root"))
     from_body = (
         (F.length(body) >= vocab.MIN_SEARCH_BODY)
         & policy.is_trusted("url")
         & ~is_restricted(body)
-        & (focus.isNull() | own_site | _names_company(F.concat(title, F.lit(" "), body), focus))
+        & (focus.isNull() | own_site | F.contains(F.col("_body_key"), focus_key))
     )
     from_snippet = (
         focus.isNotNull() & own_site & (F.coalesce("score", F.lit(0.0)) >= 0.35)
         & (F.length(snippet) >= vocab.MIN_SEARCH_BODY)
-        & _names_company(F.concat(title, F.lit(" "), snippet), focus)
+        & F.contains(F.col("_snippet_key"), focus_key)
     )
     method = F.when(from_body, F.lit("search-raw-content")).when(
         F.coalesce(from_snippet, F.lit(False)), F.lit("advanced-search")
     )
     by_body = F.col("retrieval_method") == "search-raw-content"
-    chosen = candidates.withColumn("retrieval_method", method).where(F.col("retrieval_method").isNotNull())
+    chosen = bind(keyed, retrieval_method=method).where(F.col("retrieval_method").isNotNull())
     short_title = F.when(title == "", F.when(by_body, F.col("coverage_key")).otherwise(focus)).otherwise(
         F.when(by_body, F.substring(title, 1, vocab.TITLE_CAP)).otherwise(title)
     )
