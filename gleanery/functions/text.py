@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from gleanery.functions import vocab
 
@@ -24,6 +25,25 @@ def nfkc(values: pa.Array) -> pa.Array:
     )
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def nfkc_each(lists: pa.Array) -> pa.Array:
+    def normal(values):
+        return None if values is None else [None if v is None else unicodedata.normalize("NFKC", v) for v in values]
+
+    return pa.array([normal(v) for v in lists.to_pylist()], pa.list_(pa.string()))
+
+
+def identity_key(value: str) -> str:
+    """The identity key of one configured name, for literals and for the ordered merge."""
+    key = unicodedata.normalize("NFKC", value).lower()
+    for pattern, canonical in _COMPILED_ALIASES:
+        key = pattern.sub(canonical, key)
+    return "".join(c for c in key if not c.isspace() and unicodedata.category(c)[0] not in "PS" and c != "\ufeff")
+
+
+_COMPILED_ALIASES = [(re.compile(p), c) for p, c in vocab.IDENTITY_ALIASES]
+
+
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
