@@ -77,3 +77,18 @@ def with_deduped(df: DataFrame, policy: urls.TrustPolicy, trusted_only: bool = F
         described = bind(described, details=F.filter("details", lambda d: d["tier"] != "untrusted"))
     reduced = bind(described, details=dedupe("details"))
     return reduced.withColumn("evidence", entries("details"))
+
+
+def union(rows: DataFrame, group: str, salt_size: int = 500) -> DataFrame:
+    """(group, details): the de-duplicated citations of all rows of a group.
+
+    Exact copies are combined before the shuffle, then salted parts of the group are reduced on
+    their own, so only what survives is brought together.
+    """
+    cited = rows.select(group, F.explode("details").alias("d"))
+    distinct = cited.groupBy(group, F.col("d.page").alias("page"), F.col("d.key").alias("key")).agg(F.min("d").alias("d"))
+    share = distinct.groupBy(group).agg(F.ceil(F.count("*") / salt_size).alias("salts"))
+    salted = distinct.join(share, group).withColumn("salt", F.pmod(F.xxhash64("page", "key"), "salts"))
+    parts = salted.groupBy(group, "salt").agg(F.collect_list("d").alias("p")).select(group, dedupe("p").alias("p"))
+    whole = parts.groupBy(group).agg(F.flatten(F.collect_list("p")).alias("p"))
+    return whole.select(group, dedupe("p").alias("details"))

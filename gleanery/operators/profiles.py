@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import text, urls, vocab
-from gleanery.functions.binding import bind
 from gleanery.operators import evidence
+from gleanery.session import cut_lineage
 from gleanery.sources.settings import official_website
 
 FIELDS = [
@@ -17,52 +17,65 @@ FIELDS = [
 REFRESH_DAYS = 7
 
 
-def _union(old: Column, new: Column) -> Column:
-    return F.array_distinct(F.concat(old, new))
+def _accepted(rows: DataFrame) -> DataFrame:
+    """Versions of a company that take part in its profile.
 
+    Once a version has evidence, versions without any are refused.  The first acceptable official
+    version replaces everything before it, and after it only official versions count.
+    """
+    cited = F.size("details") > 0
+    official = F.col("basis").eqNullSafe("official")
+    first_cited = rows.groupBy("_key").agg(F.min(F.when(cited, F.col("_at"))).alias("_cited"))
+    dated = rows.join(first_cited, "_key")
+    promotes = official & (cited | F.col("_cited").isNull() | (F.col("_at") < F.col("_cited")))
+    promoted = dated.groupBy("_key").agg(F.min(F.when(promotes, F.col("_at"))).alias("_official"))
+    eligible = dated.drop("_cited").join(promoted, "_key").where(
+        F.col("_official").isNull() | (official & (F.col("_at") >= F.col("_official")))
+    )
+    counted = eligible.groupBy("_key").agg(F.min(F.when(cited, F.col("_at"))).alias("_cited"))
+    return eligible.join(counted, "_key").where(cited | F.col("_cited").isNull() | (F.col("_at") < F.col("_cited")))
 
-def _step(old: Column, new: Column) -> Column:
-    """State after one more incoming profile of the same company."""
-    def official(p: Column) -> Column:
-        return p["basis"].eqNullSafe("official")
-
-    def prefer(name: str, empty: str) -> Column:
-        return F.when(F.coalesce(new[name], F.lit("")) == empty, old[name]).otherwise(new[name]).alias(name)
 
-    merged = F.struct(
-        *[new[c].alias(c) if c in ("id", "name", "implication", "updated_at", "basis") else
-          prefer(c, "") if c in ("narrative", "positioning") else
-          prefer(c, vocab.UNDISCLOSED) if c == "funding" else
-          _union(old[c], new[c]).alias(c) if c in ("solutions", "capabilities") else
-          old[c].alias(c) for c in FIELDS if c != "evidence"],
-        evidence.dedupe(F.concat(old["details"], new["details"])).alias("details"),
-    )
-    promoted = official(new) & ~official(old)
-    refused = (official(old) & ~official(new)) | ((F.size(old["details"]) > 0) & (F.size(new["details"]) == 0))
-    kept_place = F.struct(*[(old[c] if c == "arrival" else new[c]).alias(c) for c in FIELDS if c != "evidence"], new["details"].alias("details"))
-    return F.when(refused, old).when(promoted, kept_place).otherwise(merged)
+def _ordered_union(rows: DataFrame, column: str) -> DataFrame:
+    """Distinct list values of a company in the order they were first named."""
+    values = rows.select("_key", "_at", F.posexplode(column).alias("_n", "_v"))
+    firsts = values.groupBy("_key", "_v").agg(F.min(F.struct("_at", "_n")).alias("_o"))
+    listed = firsts.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_o", "_v"))).alias("_l"))
+    return listed.select("_key", F.transform("_l", lambda x: x["_v"]).alias(column))
 
 
 def merge_profiles(existing: DataFrame | None, incoming: DataFrame, policy: urls.TrustPolicy) -> DataFrame:
-    """Profiles by company identity: later rows refine, never erase, what is known.
+    """Profiles by company identity: later versions refine, never erase, what is known.
 
-    ``arrival`` orders the rows of a company and existing rows come first; the number of profile
-    versions of one company is the number of refreshes, so they fold in place.
+    Existing rows come before incoming ones, each ordered by ``arrival``.  Every field of the
+    result is an aggregate over the accepted versions, so a company may have any number of them.
     """
     fresh = incoming.select(*FIELDS, F.lit(1).alias("_side"))
     rows = fresh if existing is None else existing.select(*FIELDS, F.lit(0).alias("_side")).unionByName(fresh)
     described = evidence.detail(rows, policy).withColumn("_key", text.identity_text("name"))
-    plain = [c for c in FIELDS if c != "evidence"]
-    versions = described.groupBy("_key").agg(
-        F.array_sort(F.collect_list(F.struct("_side", "arrival", F.struct(*plain, "details").alias("p")))).alias("_v")
+    versions = cut_lineage(described.withColumn("_at", F.struct("_side", "arrival")).drop("_side"))
+    positions = versions.groupBy("_key").agg(F.min_by("arrival", "_at").alias("arrival"))
+    kept = cut_lineage(_accepted(versions))
+
+    def last_stated(name: str, empty: str) -> Column:
+        value = F.coalesce(F.col(name), F.lit(""))
+        return F.coalesce(F.max_by(name, F.when(value != empty, F.col("_at"))), F.max_by(name, "_at")).alias(name)
+
+    latest = ["id", "name", "implication", "updated_at", "basis"]
+    merged = kept.groupBy("_key").agg(
+        F.max_by(F.struct(*latest), "_at").alias("_l"),
+        last_stated("narrative", ""), last_stated("positioning", ""), last_stated("funding", vocab.UNDISCLOSED),
+        F.count("*").alias("_n"), F.max_by("evidence", "_at").alias("_own"),
     )
-    ordered = versions.withColumn("_v", F.transform("_v", lambda v: v["p"]))
-    folded = bind(
-        ordered, _p=F.aggregate(F.slice("_v", F.lit(2), F.size("_v")), F.element_at("_v", 1), _step)
+    cited = evidence.union(kept, "_key").select("_key", evidence.entries("details").alias("evidence"))
+    joined = merged.join(positions, "_key").join(cited, "_key", "left")
+    none = F.array().cast("array<string>")
+    for column in ("solutions", "capabilities"):
+        joined = joined.join(_ordered_union(kept, column), "_key", "left").withColumn(column, F.coalesce(column, none))
+    proof = F.when(F.col("_n") == 1, F.col("_own")).otherwise(F.coalesce("evidence", F.slice("_own", 1, 0)))
+    return joined.withColumn("evidence", proof).select(
+        *[F.col(f"_l.{c}").alias(c) if c in latest else F.col(c) for c in FIELDS]
     )
-    return folded.select(
-        *[F.col(f"_p.{c}").alias(c) for c in plain], evidence.entries("_p.details").alias("evidence")
-    ).select(*FIELDS)
 
 
 def configured_profiles(companies: DataFrame, profiles: DataFrame, now: Column, stored: bool = False) -> DataFrame:
@@ -109,7 +122,10 @@ def refresh_targets(
         text.identity_text("name").alias("_key"), F.lit(True).alias("_held"), "basis", "narrative", "positioning",
         "solutions", "capabilities", "evidence", "updated_at",
     )
-    mine = companies.withColumn("_key", text.identity_text("name")).withColumn("_site", official_website("name", websites))
+    site = official_website("name", websites)
+    if "website" in companies.columns:
+        site = F.coalesce("website", site)
+    mine = companies.withColumn("_key", text.identity_text("name")).withColumn("_site", site)
     joined = mine.join(have, "_key", "left")
     on_site = F.exists("evidence", lambda e: urls.belongs_to_site(e["url"], F.col("_site")))
     age = F.unix_micros(now) - F.unix_micros("updated_at")

@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
-MODULES = ["urls", "texts", "documents", "records", "selection", "discovery"]
+MODULES = ["urls", "texts", "documents", "records", "selection", "discovery", "matching", "publishing", "reporting", "streams"]
 
 
 def register(sql: str | None = None, name: str | None = None):
