@@ -38,12 +38,18 @@ def detail(df: DataFrame, policy: urls.TrustPolicy, column: str = "evidence", in
     return bind(keyed, **{into: F.transform(column, describe)}).drop("_nfkc")
 
 
+def _alike(kept: Column, new: Column, threshold: float) -> Column:
+    """Dice at or above the threshold; sets of too different size are not intersected."""
+    a, b = F.size(kept["grams"]), F.size(new["grams"])
+    comparable = F.least(a, b) >= F.greatest(a, b) * (threshold / (2 - threshold)) - 1e-9
+    return F.when(comparable, text.dice(new["grams"], kept["grams"]) >= threshold).otherwise(False)
+
+
 def _repeats(kept: Column, new: Column) -> Column:
-    close = text.dice(new["grams"], kept["grams"])
-    same_text = (new["key"] == kept["key"]) | F.contains(new["key"], kept["key"]) | F.contains(kept["key"], new["key"])
+    same_text = F.contains(new["key"], kept["key"]) | F.contains(kept["key"], new["key"])
     long_enough = (F.length(new["key"]) >= MIN_QUOTE) & (F.length(kept["key"]) >= MIN_QUOTE)
-    return F.when(new["page"] == kept["page"], same_text | (close >= SAME_PAGE)).otherwise(
-        long_enough & (close >= OTHER_PAGE)
+    return F.when(new["page"] == kept["page"], same_text | _alike(kept, new, SAME_PAGE)).otherwise(
+        long_enough & _alike(kept, new, OTHER_PAGE)
     )
 
 

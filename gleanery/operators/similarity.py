@@ -40,13 +40,17 @@ def linked(
 ) -> DataFrame:
     """Edges (a, b) between nodes that share a block and pass ``verify``.
 
-    ``blocks`` has (node, block).  A block above ``bound`` is first compared with its
+    ``blocks`` has (node, block, size, ratio, open): pairs of one block must have set sizes within
+    ``ratio`` of each other, and at least one of the two must be ``open``.  A block above ``bound`` is first compared with its
     smallest node only: members that match are linked to it and leave that block, so a large group
     of copies costs one comparison per member instead of one per pair.  What is left in the block
     afterwards is compared pair by pair, so no candidate is lost.  ``verify`` maps (a, b) to the
     rows that match.
     """
-    current, found = cut_lineage(blocks.distinct()), None
+    shape = blocks.groupBy("node", "block").agg(
+        F.min("size").alias("low"), F.max("size").alias("high"), F.min("ratio").alias("ratio"), F.max("open").alias("open")
+    )
+    current, found = cut_lineage(shape), None
     for _ in range(rounds):
         sizes = current.groupBy("block").agg(F.count("*").alias("_n"), F.min("node").alias("leader"))
         hot = sizes.where(F.col("_n") > bound).select("block", "leader")
@@ -62,8 +66,12 @@ def linked(
             .unionByName(inside.where("node = leader").select("block", "node"))
         )
         current = cut_lineage(current.join(spent, ["block", "node"], "left_anti"))
-    left, right = (current.select("block", F.col("node").alias(side)) for side in "ab")
-    pairs = left.join(right, "block").where("a < b")
+    left, right = (
+        current.select("block", "ratio", *[F.col(c).alias(f"{c}_{side}") for c in ("low", "high", "open")], F.col("node").alias(side))
+        for side in "ab"
+    )
+    fits = (F.col("high_a") >= F.col("low_b") * F.col("ratio") - 1e-9) & (F.col("high_b") >= F.col("low_a") * F.col("ratio") - 1e-9)
+    pairs = left.join(right.drop("ratio"), "block").where((F.col("a") < F.col("b")) & (F.col("open_a") | F.col("open_b")) & fits)
     rest = verify(pairs.select("a", "b").distinct()).select("a", "b")
     return rest if found is None else found.unionByName(rest).distinct()
 

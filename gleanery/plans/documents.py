@@ -120,7 +120,7 @@ def feed_documents(spark, sf):
 
 def order_payloads(spark, sf):
     """One extraction payload per order, field names and value shapes vary with the key."""
-    o = table(spark, sf, "orders")
+    o = table(spark, sf, "orders", costly=True)
     k = F.col("o_orderkey") % 4
     title = F.concat(F.lit("订单"), F.col("o_orderkey"), F.when(k == 0, F.lit("完成融资")).when(k == 1, F.lit(" launch")).otherwise(F.lit(" 更新")))
     summary = F.concat(F.lit("金额 "), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(" 状态 "), F.col("o_orderstatus"))

@@ -323,10 +323,10 @@ def customer_profiles(spark, sf):
         )
 
     stored = shape(
-        table(spark, sf, "customer").withColumn("key", F.col("c_custkey")), F.col("c_custkey"), F.lit("未披露"), F.lit("old"),
+        table(spark, sf, "customer", costly=True).withColumn("key", F.col("c_custkey")), F.col("c_custkey"), F.lit("未披露"), F.lit("old"),
         F.col("c_mktsegment"), F.lit(False), F.col("c_acctbal") > 5000, F.lit("1995-01-01").cast("timestamp"),
     )
-    o = table(spark, sf, "orders").withColumn("key", F.col("o_custkey"))
+    o = table(spark, sf, "orders", costly=True).withColumn("key", F.col("o_custkey"))
     found = shape(
         o, F.col("o_orderkey"), F.when(F.col("o_orderstatus") == "F", F.lit("未披露")).otherwise(F.concat(F.lit("round "), "o_orderkey")),
         F.when(F.col("o_orderstatus") == "P", F.lit("")).otherwise(F.concat(F.lit("story "), "o_orderkey")),

@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.schemas import TABLES
+from gleanery.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,8 +29,14 @@ def register(sql: str | None = None, name: str | None = None):
     return wrap
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
+# Tables whose rows are whole texts.
+TEXTS = ("documents", "pages", "conversations")
+
+
+def table(spark: SparkSession, folder: str, name: str, costly: bool = False) -> DataFrame:
+    """A given table; ``costly`` marks row-wise heavy use, which text tables always have."""
+    df = spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
+    return spread(df, df.columns[0]) if costly or name in TEXTS else df
 
 
 def load_all() -> None:

@@ -39,3 +39,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Distribute a costly input that arrives in fewer pieces than half the cores.
+
+    A small file is one split however much work its rows cause.  Large tables have more splits
+    than cores and are left as they are.
+    """
+    pieces = df._jdf.queryExecution().toRdd().getNumPartitions()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if pieces * 2 <= cores else df
