@@ -74,8 +74,14 @@ def identity_text(value: Column | str) -> Column:
 
 
 def bigrams(key: Column | str) -> Column:
-    """Distinct character bigrams of an identity key, found in one pass."""
-    return F.array_distinct(F.regexp_extract_all(_col(key), F.lit(r"(?s)(?=(..))"), F.lit(1)))
+    """Distinct character bigrams of an identity key, each as its two code points in one number.
+
+    Numbers keep the sets small and let Spark intersect them without comparing strings.
+    """
+    pairs = F.array_distinct(F.regexp_extract_all(_col(key), F.lit(r"(?s)(?=(..))"), F.lit(1)))
+    return F.transform(
+        pairs, lambda g: F.ascii(g).cast("bigint") * 2_097_152 + F.ascii(F.substring(g, 2, 1)).cast("bigint")
+    )
 
 
 def dice(left: Column, right: Column) -> Column:

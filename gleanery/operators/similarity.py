@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import text
+from gleanery.operators.components import connected_components
 from gleanery.session import cut_lineage
 
 
@@ -36,15 +37,15 @@ def comparable(size_a: Column, size_b: Column, threshold: float) -> Column:
 
 
 def linked(
-    blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], bound: int = 200, rounds: int = 6
+    blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], bound: int = 200, rounds: int = 4
 ) -> DataFrame:
-    """Edges (a, b) between nodes that share a block and pass ``verify``.
+    """Edges (a, b) that connect all nodes which share a block and pass ``verify``.
 
     ``blocks`` has (node, block, size, ratio, open): pairs of one block must have set sizes within
     ``ratio`` of each other, and at least one of the two must be ``open``.  A block above ``bound`` is first compared with its
     smallest node only: members that match are linked to it and leave that block, so a large group
     of copies costs one comparison per member instead of one per pair.  What is left in the block
-    afterwards is compared pair by pair, so no candidate is lost.  ``verify`` maps (a, b) to the
+    afterwards is compared pair by pair, except for pairs that are connected already.  ``verify`` maps (a, b) to the
     rows that match.
     """
     shape = blocks.groupBy("node", "block").agg(
@@ -66,12 +67,20 @@ def linked(
             .unionByName(inside.where("node = leader").select("block", "node"))
         )
         current = cut_lineage(current.join(spent, ["block", "node"], "left_anti"))
+    part = F.col("node")
+    if found is not None:
+        current = current.join(connected_components(found), "node", "left")
+        part = F.coalesce("component", "node")
     left, right = (
-        current.select("block", "ratio", *[F.col(c).alias(f"{c}_{side}") for c in ("low", "high", "open")], F.col("node").alias(side))
+        current.select(
+            "block", "ratio", *[F.col(c).alias(f"{c}_{side}") for c in ("low", "high", "open")],
+            F.col("node").alias(side), part.alias(f"part_{side}"),
+        )
         for side in "ab"
     )
     fits = (F.col("high_a") >= F.col("low_b") * F.col("ratio") - 1e-9) & (F.col("high_b") >= F.col("low_a") * F.col("ratio") - 1e-9)
-    pairs = left.join(right.drop("ratio"), "block").where((F.col("a") < F.col("b")) & (F.col("open_a") | F.col("open_b")) & fits)
+    useful = (F.col("part_a") != F.col("part_b")) & (F.col("open_a") | F.col("open_b"))
+    pairs = left.join(right.drop("ratio"), "block").where((F.col("a") < F.col("b")) & useful & fits)
     rest = verify(pairs.select("a", "b").distinct()).select("a", "b")
     return rest if found is None else found.unionByName(rest).distinct()
 
