@@ -50,9 +50,11 @@ def normalise_dates(df, generated_at: Column):
 
 
 def in_window(date: Column | str, as_of: Column, days: int = vocab.WINDOW_DAYS) -> Column:
-    """Rolling window, both ends inclusive, future dates rejected."""
-    low = as_of - F.make_dt_interval(F.lit(days))
-    return F.coalesce(_col(date).between(low, as_of), F.lit(False))
+    """Rolling window, both ends inclusive, future dates rejected; NULL for an unknown date.
+
+    A bare range, so a filter on a stored date reaches the scan.
+    """
+    return _col(date).between(as_of - F.make_dt_interval(F.lit(days)), as_of)
 
 
 def in_collection_window(published: Column | str, start_day: Column) -> Column:
