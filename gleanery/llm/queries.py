@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleanery.llm import jaccard_join, quality_rules
+from gleanery.llm import jaccard_join, line_dedup, quality_rules, sentencepiece_fst, token_counts, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -58,3 +59,27 @@ SELECT n.doc_id, n.n AS n_shingles, min(root)::BIGINT AS component_id FROM n JOI
 @query(JACCARD_SQL)
 def op5_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op7_token_id_output(spark: SparkSession, folder: str) -> DataFrame:
+    path = token_output.write(table(spark, folder, "documents"), token_output.path_in(spark))
+    return token_output.read(spark, path).withColumnRenamed("id", "doc_id")
+
+
+@query(line_dedup.SQL)
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = line_dedup.dropped_lines(table(spark, folder, "documents"))
+    return out.select(
+        "doc_id", F.col("_n_lines").alias("n_lines"), (F.col("_n_lines") - F.col("_n_left")).alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query()
+def op2_sentencepiece_codec(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepiece_fst.piece_digests(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    # A cache of its own for each run of the query, so that every run does the whole work.
+    return token_counts.token_counts(table(spark, folder, "documents"), token_output.path_in(spark, "token-cache"))
