@@ -4,12 +4,15 @@
 2. A class is found by its *probe tokens*: of n shingles in one global order it takes the first n - ceil(t n) + 1.  Two
    classes with a similarity of t or more share a probe token in any order.  Shingles that are frequent in some task come
    last, so that common passages are hardly ever probe tokens; which ones those are changes the cost, never the result.
-3. Similar classes are gathered first: every probe token names its smallest class, each class is held against the one it
-   meets most often, and the links found give provisional components.  A few such rounds join the members of a large group
-   of near copies with one comparison each.
-4. Groups are pieces of at most ``group_size`` classes of one component.  The matrix holds (token, group) for the probe
-   tokens, and every group the union of its members' shingles.  Only classes of *another* component are queries to a group.
-   A query opens a group only if the sizes fit and the union holds at least ceil(t n) of the query's n shingles.
+3. Similar classes are gathered into groups first.  At every probe token that many classes share, a class meets one other
+   class, picked at random for that token from the heaviest component there; up to four such meetings a component and round
+   are compared.  The links found give provisional components, so a large group of near copies is joined with a few
+   comparisons per member.  Groups are pieces of at most about ``group_size`` classes of one component.
+4. The matrix holds (token, group) with the least place and size of a member.  Only classes of *another* component are
+   queries to a group; the smaller component asks.  A query opens a group only if
+   - the sizes fit,
+   - for a group of one class, the probe tokens shared so far and the shingles left after the last of them allow the overlap,
+   - the group's union holds at least ceil(t n) of the query's n shingles.
 5. Members of opened groups are compared exactly; all links give the components.
 
 No pair of different classes in different provisional components escapes steps 4 and 5, hence the components are exact.
@@ -25,7 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm import words as W
@@ -35,7 +38,12 @@ from gleanery.session import stored
 SHINGLE = 5
 PERCENT = 80
 GROUP_SIZE = 64
-ROUNDS = 2
+ROUNDS = 3
+MEETINGS = 4
+# Tokens of more classes than this gather groups first; all others go straight to the matrix.
+MANY = 16
+# Ids that are broadcast at most (16 bytes each); beyond, texts are fetched by a shuffled join.
+BROADCAST_IDS = 1_000_000
 # A shingle in so many classes of one batch is reported as frequent; the most frequent ones of all are put last.
 FREQUENT_IN_BATCH = 8
 MOST_FREQUENT = 1 << 18
@@ -96,7 +104,7 @@ def _first_pass(size: int) -> Callable:
 
 
 def _probe_pass(size: int, percent: int, frequent) -> Callable:
-    schema = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("pos", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = frequent.value
@@ -118,7 +126,8 @@ def _probe_pass(size: int, percent: int, frequent) -> Callable:
                 count = [len(p) for p in parts]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), count)),
-                     pa.array(np.repeat(np.array(sizes, np.int64), count))], schema=schema)
+                     pa.array(np.repeat(np.array(sizes, np.int64), count)), pa.array(np.concatenate([np.arange(c) for c in count]))],
+                    schema=schema)
 
     return run
 
@@ -160,6 +169,14 @@ def _components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("cls").distinct().join(found, "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp"))
 
 
+def _sets(texts: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(cls, tokens) of the wanted classes, each read from one of its documents."""
+    ids = stored(wanted.join(classes, "cls").select("id"), "wanted")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    found = texts.join(ids, "id", "left_semi").select("text").mapInArrow(_set_pass(size), "cls bigint, tokens array<bigint>")
+    return stored(found.dropDuplicates(["cls"]), "sets")
+
+
 def similar_components(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
     group_size: int = GROUP_SIZE, rounds: int = ROUNDS,
@@ -172,55 +189,62 @@ def similar_components(
     top = first.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(MOST_FREQUENT)
     frequent = spark.sparkContext.broadcast(np.sort(np.array(top.select("token").toArrow().column(0).to_pylist(), np.int64).view(np.uint64)))
 
-    probes = texts.select("text").mapInArrow(_probe_pass(shingle, percent, frequent), "token bigint, cls bigint, n bigint")
-    met = probes.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least <> most").select("token")
-    rows = stored(probes.join(met, "token").distinct(), "probes")
-
+    probes = texts.select("text").mapInArrow(_probe_pass(shingle, percent, frequent), "token bigint, cls bigint, n bigint, pos bigint")
+    met = probes.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("shared"))
+    rows = stored(probes.join(met.where("least <> most").select("token", "shared"), "token").distinct(), "probes")
     classes = members.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"))
-    wanted = rows.select("cls").distinct().join(classes, "cls").select("id").distinct()
-    sets = stored(
-        texts.join(wanted, "id", "left_semi").select("text").mapInArrow(_set_pass(shingle), "cls bigint, tokens array<bigint>")
-        .dropDuplicates(["cls"]), "sets")
-
-    state = rows.select("cls").distinct().withColumn("comp", F.col("cls"))
-    links = None
-    for _ in range(rounds):
-        placed = rows.join(state, "cls")
-        # One class stands for each component that meets at a token; the component meets the smallest one there.
-        stands = placed.groupBy("token", "comp").agg(F.min_by(F.struct("cls", "n"), "cls").alias("own"))
-        hub = stands.groupBy("token").agg(F.min_by(F.struct("comp", "own"), "comp").alias("hub"))
-        meets = stands.join(hub, "token").where("comp <> hub.comp").where(_fits(F.col("own.n"), F.col("hub.own.n"), percent))
-        pairs = meets.groupBy("comp", F.col("own.cls").alias("a"), F.col("hub.own.cls").alias("b")).count()
-        best = pairs.groupBy("comp").agg(F.max_by(F.struct("a", "b"), F.struct("count", "a", "b")).alias("p")).select("p.a", "p.b")
-        found = stored(_verified(best, sets, percent), "links")
+    nodes = stored(rows.select("cls").distinct(), "nodes")
+
+    state, links = nodes.withColumn("comp", F.col("cls")), None
+    many = rows.where(F.col("shared") > MANY)
+    sets = _sets(texts, classes, many.select("cls").distinct(), shingle)
+    for turn in range(rounds):
+        weight = state.groupBy("comp").agg(F.count("*").alias("weight"))
+        placed = many.join(state, "cls").join(weight, "comp")
+        one = F.struct("cls", "n", "comp")
+        order = F.struct("weight", F.xxhash64("cls", "token", F.lit(turn)))
+        hub = placed.groupBy("token").agg(F.max_by(one, order).alias("hub"))
+        own = placed.groupBy("token", "comp").agg(F.max_by(F.struct("cls", "n"), order).alias("own"))
+        meets = own.join(hub, "token").where("comp <> hub.comp").where(_fits(F.col("own.n"), F.col("hub.n"), percent))
+        pairs = meets.groupBy("comp", F.col("own.cls").alias("a"), F.col("hub.cls").alias("b")).agg(F.count("*").alias("times"))
+        best = Window.partitionBy("comp").orderBy(F.desc("times"), F.xxhash64("a", "b"))
+        chosen = pairs.withColumn("k", F.row_number().over(best)).where(F.col("k") <= MEETINGS).select("a", "b")
+        found = stored(_verified(chosen, sets, percent), "links")
+        if found.isEmpty():
+            break
         links = found if links is None else links.unionByName(found)
-        state = stored(_components(links, rows), "state")
+        state = stored(_components(links, nodes), "state")
 
     placed = rows.join(state, "cls")
     count = state.groupBy("comp").agg(F.count("*").alias("weight"))
     open_tokens = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
     piece = F.pmod(F.xxhash64("cls"), F.ceil(F.col("weight") / group_size))
-    left = stored(placed.join(open_tokens, "token").join(count, "comp").withColumn("piece", piece), "open")
-    matrix = left.groupBy("token", "comp", "weight", "piece").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    queries = left.select("token", "cls", "n", F.col("comp").alias("own"), F.col("weight").alias("own_weight"))
-    # The smaller component asks the larger one.
+    left = stored(placed.join(open_tokens, "token").join(count, "comp").withColumn("piece", piece).drop("shared"), "open")
+    matrix = left.groupBy("token", "comp", "weight", "piece").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("place"))
+    queries = left.select("token", "cls", "n", "pos", F.col("comp").alias("own"), F.col("weight").alias("own_weight"))
+    after = F.least(F.col("n") - F.col("last"), F.col("low") - F.col("place")) - 1
     asks = (
         queries.join(matrix, "token")
         .where("(own_weight, own) < (weight, comp)")
         .where((F.col("high") * 100 >= F.col("n") * percent) & (F.col("low") * percent <= F.col("n") * 100))
-        .select("cls", "n", "comp", "piece").distinct()
+        .groupBy("cls", "n", "comp", "piece", "weight")
+        .agg(F.count("*").alias("hits"), F.max("pos").alias("last"), F.max("place").alias("place"), F.min("low").alias("low"))
+        .where((F.col("weight") > 1) | ((F.col("hits") + after) * (100 + percent) >= (F.col("n") + F.col("low")) * percent))
+        .select("cls", "n", "comp", "piece")
     )
     asks = stored(asks, "asks")
     groups = asks.select("comp", "piece").distinct()
     inside = left.select("cls", "n", "comp", "piece").distinct()
     inside = stored(inside.join(groups, ["comp", "piece"]).select("cls", F.col("n").alias("m"), "comp", "piece"), "members")
-    unions = inside.join(sets, "cls").select("comp", "piece", F.explode("tokens").alias("t")).distinct().groupBy("comp", "piece").agg(
-        F.collect_list("t").alias("union"))
+    sets = _sets(texts, classes, asks.select("cls").unionByName(inside.select("cls")).distinct(), shingle)
+    # A piece holds about group_size members, so its union is bounded.
+    unions = inside.join(sets, "cls").groupBy("comp", "piece").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
     bound = F.size(F.array_intersect("tokens", "union")) * 100 >= F.col("n") * percent
     qualified = asks.join(sets, "cls").join(unions, ["comp", "piece"]).where(bound).select(F.col("cls").alias("a"), "n", "comp", "piece")
     opened = qualified.join(inside.withColumnRenamed("cls", "b"), ["comp", "piece"]).where(_fits(F.col("n"), F.col("m"), percent)).select("a", "b")
-    links = links.unionByName(stored(_verified(opened, sets, percent), "links"))
-    final = _components(links, rows)
+    found = stored(_verified(opened, sets, percent), "links")
+    final = _components(found if links is None else links.unionByName(found), nodes)
 
     placed = classes.join(final, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = placed.groupBy("comp").agg(F.min("id").alias("component"))
