@@ -5,8 +5,8 @@
    classes with a similarity of t or more share a probe token in any order.  Shingles that are frequent in some task come
    last, so that common passages are hardly ever probe tokens; which ones those are changes the cost, never the result.
 3. Similar classes are gathered into groups first.  At every probe token that many classes share, a class meets one other
-   class, picked at random for that token from the heaviest component there; up to four such meetings a component and round
-   are compared.  The links found give provisional components, so a large group of near copies is joined with a few
+   class, picked at random for that token from the heaviest component there; one such meeting a component and round is
+   compared, the one that most tokens propose.  The links found give provisional components, so a large group of near copies is joined with a few
    comparisons per member.  Groups are pieces of at most about ``group_size`` classes of one component.
 4. The matrix holds (token, group) with the least place and size of a member.  Only classes of *another* component are
    queries to a group; the smaller component asks.  A query opens a group only if
@@ -38,8 +38,8 @@ from gleanery.session import stored
 SHINGLE = 5
 PERCENT = 80
 GROUP_SIZE = 64
-ROUNDS = 3
-MEETINGS = 4
+ROUNDS = 4
+MEETINGS = 1
 # Tokens of more classes than this gather groups first; all others go straight to the matrix.
 MANY = 16
 # Ids that are broadcast at most (16 bytes each); beyond, texts are fetched by a shuffled join.
@@ -173,8 +173,8 @@ def _sets(texts: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) ->
     """(cls, tokens) of the wanted classes, each read from one of its documents."""
     ids = stored(wanted.join(classes, "cls").select("id"), "wanted")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    found = texts.join(ids, "id", "left_semi").select("text").mapInArrow(_set_pass(size), "cls bigint, tokens array<bigint>")
-    return stored(found.dropDuplicates(["cls"]), "sets")
+    # Rows that repeat an id may give a set twice, which only repeats a comparison.
+    return stored(texts.join(ids, "id", "left_semi").select("text").mapInArrow(_set_pass(size), "cls bigint, tokens array<bigint>"), "sets")
 
 
 def similar_components(

@@ -26,16 +26,17 @@ from pyspark.sql import functions as F
 from gleanery.llm import words as W
 
 BITS = 18
-TRAIN = 8_000
+TRAIN = 10_000
 EPOCHS = 12
-RATE = 0.3
+RATE = 3.0
 DECAY = 1e-6
 GRADES = 3
-SELECT = 0.5
+SELECT = 0.8
+LEAST_DOCS = 6
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>@^~_=+{}[]\\"]] = True
 # Length of each kind's vector: words, trigrams, counts, heads.
-SCALE = np.array([6.0, 4.0, 2.0, 6.0], np.float32)
+SCALE = np.array([6.0, 2.0, 2.0, 6.0], np.float32)
 # Bytes of a word's head.
 HEAD = 5
 
@@ -114,12 +115,17 @@ class Ordinal:
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, batch: int = 32) -> Ordinal:
-    """Maximum likelihood by AdaGrad over small batches in a fixed order."""
-    weights, seen = np.zeros(1 << BITS, np.float32), np.full(1 << BITS, 1e-4, np.float32)
+    """Maximum likelihood by stochastic gradient steps over small batches in a fixed order."""
+    weights = np.zeros(1 << BITS, np.float32)
     share = np.clip(np.cumsum(np.bincount(grades, minlength=GRADES))[:-1] / max(1, len(grades)), 0.01, 0.99)
     base = np.log(share / (1 - share))
     theta = np.concatenate((base[:1], np.log(np.maximum(np.diff(base), 0.05))))
     theta_seen = np.full(len(theta), 1e-4)
+    # Features of few documents would only learn those documents by heart.
+    spread = np.bincount(np.concatenate([keys for keys, _ in rows]), minlength=1 << BITS) >= LEAST_DOCS
+    rows = [(keys[spread[keys]], value[spread[keys]]) for keys, value in rows]
+    full = np.array([len(keys) > 0 for keys, _ in rows], bool)
+    rows, grades = [row for row, some in zip(rows, full) if some], grades[full]
     order = np.random.default_rng(7)
     for _ in range(epochs):
         places = order.permutation(len(rows))
@@ -138,11 +144,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, epochs: i
             p = np.maximum(F_[r, y + 1] - F_[r, y], 1e-9)
             up, down = slope[r, y + 1] / p, slope[r, y] / p
             d_s = up - down  # of the negative log-likelihood
-            g = np.repeat(d_s, np.diff(np.append(edge, len(index)))).astype(np.float32) * value / len(s)
+            g = np.repeat(d_s, np.diff(np.append(edge, len(index)))).astype(np.float32) * value
             keys, back = np.unique(index, return_inverse=True)
-            g = np.bincount(back, g).astype(np.float32) + DECAY * weights[keys]
-            seen[keys] += g * g
-            weights[keys] -= rate * g / np.sqrt(seen[keys])
+            # Plain steps: a feature gains by how consistently it pulls, not by how rare it is.
+            weights[keys] -= rate * (np.bincount(back, g).astype(np.float32) / len(s) + DECAY * weights[keys])
             d_cut = np.zeros(len(cuts))
             np.add.at(d_cut, y[y < len(cuts)], -up[y < len(cuts)])
             np.add.at(d_cut, y[y > 0] - 1, down[y > 0])

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import jaccard_join, line_dedup, quality_rules, sentencepiece_fst, token_counts, token_output
+from gleanery.llm import (
+    decontamination, jaccard_join, language_id, line_dedup, lm_scoring, quality_classifier, quality_rules, sentencepiece_fst,
+    token_counts, token_output,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +26,11 @@ def query(sql: str | None = None):
     return wrap
 
 
+def remainder(modulus: int) -> Column:
+    """crc32 of the id as text, modulo ``modulus``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -83,3 +91,34 @@ def op2_sentencepiece_codec(spark: SparkSession, folder: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     # A cache of its own for each run of the query, so that every run does the whole work.
     return token_counts.token_counts(table(spark, folder, "documents"), token_output.path_in(spark, "token-cache"))
+
+
+@query()
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    out = quality_classifier.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return out.select("doc_id", F.col("_expected_grade").alias("expected_grade"), F.col("_p_top").alias("p_top"), F.col("_kept").alias("kept"))
+
+
+@query()
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    teaches = F.coalesce(remainder(4) != 2, F.lit(True))
+    model = language_id.train(docs, teaches)
+    found = language_id.identified(docs, model)
+    return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    out = decontamination.benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return out.select(
+        "doc_id", (F.size("_hits") > 0).alias("contaminated"), F.size("_hits").cast("bigint").alias("n_items"),
+        F.array_sort(F.transform("_hits", lambda h: h["item_id"])).alias("item_ids"),
+        F.aggregate("_hits", F.lit(0).cast("bigint"), lambda t, h: t + h["covered"]).alias("covered_tokens"))
+
+
+@query()
+def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = lm_scoring.scored(docs, F.coalesce(remainder(7) != 2, F.lit(True))).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -35,14 +35,16 @@ TOKENIZER = "byte_bpe_50k.json"
 END = 2
 SHARD_TOKENS = 1 << 20
 BLOCK = 512
-MEMO = 500_000
-TEXT_BYTES_PER_TASK = 48 << 20
+MEMO = 400_000
+# Characters of texts cut together.
+TOGETHER = 6 << 20
+TEXT_BYTES_PER_TASK = 32 << 20
 
 _CUT = "\x00"
 # Where a cut could fall inside a piece: spaces that follow spaces, marks beside other marks, and the cut sign itself.
 _UNSAFE = re.compile(r"[\x00\x1c-\x1f]|\s\s|[.,](?:[^\w\s]|_)|(?:[^\w\s]|_)[.,]")
 _UNSAFE_SPACES = re.compile(r"[\x00\x1c-\x1f]|\s\s")
-_memo: dict[str, dict[str, bytes]] = {}
+_memo: dict[str, tuple[dict[str, bytes], set[str]]] = {}
 _tokenizers: dict[str, object] = {}
 
 
@@ -57,21 +59,39 @@ def tokenizer(name: str = TOKENIZER):
 
 
 def _ids(pieces: list[str], name: str) -> list[bytes]:
-    """Ids of each piece as 32-bit words; pieces seen before in this process are not encoded again."""
-    memo = _memo.setdefault(name, {})
-    missing = [p for p in pieces if p not in memo]
-    if len(memo) + len(missing) > MEMO:
+    """Ids of each piece as 32-bit words.  Pieces seen before in this process are not encoded again; when there are too many,
+    only those that came up more than once are kept."""
+    memo, again = _memo.setdefault(name, ({}, set()))
+    if len(memo) + len(pieces) > MEMO:
+        kept = {p: memo[p] for p in again} if len(again) < MEMO // 2 else {}
         memo.clear()
-        missing = pieces
+        again.clear()
+        memo.update(kept)
+    missing = []
+    for p in pieces:
+        if p in memo:
+            again.add(p)
+        else:
+            missing.append(p)
     for piece, done in zip(missing, tokenizer(name).encode_batch_fast(missing, add_special_tokens=False)):
         ids = done.ids
         memo[piece] = struct.pack(f"<{len(ids)}I", *ids)
     return [memo[p] for p in pieces]
 
 
-def encoded(texts: list[str | None], name: str = TOKENIZER) -> list[bytes]:
-    """Ids of every text, little-endian unsigned 32-bit."""
-    texts = [t or "" for t in texts]
+def encoded(texts: list[str | None], name: str = TOKENIZER) -> Iterator[bytes]:
+    """Ids of every text, little-endian unsigned 32-bit; works on texts of bounded size together."""
+    at = 0
+    while at < len(texts):
+        to, held = at, 0
+        while to < len(texts) and (to == at or held + len(texts[to] or "") <= TOGETHER):
+            held += len(texts[to] or "")
+            to += 1
+        yield from _encoded([t or "" for t in texts[at:to]], name)
+        at = to
+
+
+def _encoded(texts: list[str], name: str) -> list[bytes]:
     out: list[bytes] = [b""] * len(texts)
     fine, spaces = [], []
     for k, t in enumerate(texts):
@@ -221,10 +241,11 @@ def _writer(name: str, end: int, most: int) -> Callable:
 
 
 def write(docs: DataFrame, path: str, name: str = TOKENIZER, end: int = END, id_column: str = "doc_id", text_column: str = "text",
-          most: int = SHARD_TOKENS, partitions: int | None = None) -> str:
+          most: int = SHARD_TOKENS, task_bytes: int = TEXT_BYTES_PER_TASK) -> str:
     """Encode all documents in ascending id order into shards at ``path``."""
     pairs = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
-    ordered = pairs.repartitionByRange(*([partitions] if partitions else []), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
+    size = pairs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ordered = pairs.repartitionByRange(max(1, -(-size // task_bytes)), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
     ordered.mapInArrow(_writer(name, end, most), SHARD).write.option("compression", "zstd").parquet(path)
     return path
 
@@ -232,7 +253,8 @@ def write(docs: DataFrame, path: str, name: str = TOKENIZER, end: int = END, id_
 def _reader() -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 values = WaveletMatrix(row["n"], row["planes"], row["zeros"]).values().astype("<u4")
                 edge = np.concatenate(([0], np.cumsum(row["lengths"]))).astype(np.int64)
                 crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(edge, edge[1:])]
