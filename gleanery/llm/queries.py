@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gleanery.llm import (
     decontamination, jaccard_join, language_id, line_dedup, lm_scoring, quality_classifier, quality_rules, sentencepiece_fst,
     token_counts, token_output,
@@ -122,3 +123,8 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     out = lm_scoring.scored(docs, F.coalesce(remainder(7) != 2, F.lit(True))).withColumnRenamed("id", "doc_id")
     return out.select("doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
