@@ -17,7 +17,7 @@ text columns are read.  ``start`` counts the ids of all rows with a smaller plac
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -35,22 +35,24 @@ TOKENIZER = "byte_bpe_50k.json"
 END = 2
 SHARD_TOKENS = 1 << 20
 BLOCK = 512
-MEMO = 400_000
+MEMO = 800_000
 # Characters of texts cut together.
 TOGETHER = 6 << 20
 TEXT_BYTES_PER_TASK = 32 << 20
 
 _CUT = "\x00"
-# Where a cut could fall inside a piece: spaces that follow spaces, marks beside other marks, and the cut sign itself.
-_UNSAFE = re.compile(r"[\x00\x1c-\x1f]|\s\s|[.,](?:[^\w\s]|_)|(?:[^\w\s]|_)[.,]")
-_UNSAFE_SPACES = re.compile(r"[\x00\x1c-\x1f]|\s\s")
-_memo: dict[str, tuple[dict[str, bytes], set[str]]] = {}
+# Where a cut could fall inside a piece: spaces beside spaces, marks beside other marks, and control signs.
+_BLANK = r"[\s\v\x85\p{Z}]"
+_UNSAFE_SPACES = rf"[\x00\x1c-\x1f]|{_BLANK}{_BLANK}"
+_UNSAFE = rf"{_UNSAFE_SPACES}|[.,][^\s\v\x85\p{{Z}}\p{{L}}\p{{N}}]|[^\s\v\x85\p{{Z}}\p{{L}}\p{{N}}][.,]"
+_memo: dict[str, dict[str, bytes]] = {}
 _tokenizers: dict[str, object] = {}
 
 
 def tokenizer(name: str = TOKENIZER):
-    """The library's tokenizer, loaded once per process."""
+    """The library's tokenizer, loaded once per process; tasks already use all cores."""
     if name not in _tokenizers:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -59,28 +61,21 @@ def tokenizer(name: str = TOKENIZER):
 
 
 def _ids(pieces: list[str], name: str) -> list[bytes]:
-    """Ids of each piece as 32-bit words.  Pieces seen before in this process are not encoded again; when there are too many,
-    only those that came up more than once are kept."""
-    memo, again = _memo.setdefault(name, ({}, set()))
-    if len(memo) + len(pieces) > MEMO:
-        kept = {p: memo[p] for p in again} if len(again) < MEMO // 2 else {}
-        memo.clear()
-        again.clear()
-        memo.update(kept)
-    missing = []
-    for p in pieces:
-        if p in memo:
-            again.add(p)
-        else:
-            missing.append(p)
-    for piece, done in zip(missing, tokenizer(name).encode_batch_fast(missing, add_special_tokens=False)):
-        ids = done.ids
-        memo[piece] = struct.pack(f"<{len(ids)}I", *ids)
-    return [memo[p] for p in pieces]
-
-
-def encoded(texts: list[str | None], name: str = TOKENIZER) -> Iterator[bytes]:
-    """Ids of every text, little-endian unsigned 32-bit; works on texts of bounded size together."""
+    """Ids of each piece as 32-bit words.  The first MEMO pieces of a process, the frequent ones among them, are kept."""
+    memo = _memo.setdefault(name, {})
+    found = list(map(memo.get, pieces))
+    missing = [k for k, ids in enumerate(found) if ids is None]
+    if missing:
+        for k, done in zip(missing, tokenizer(name).encode_batch_fast([pieces[k] for k in missing], add_special_tokens=False)):
+            ids = done.ids
+            found[k] = struct.pack(f"<{len(ids)}I", *ids)
+        for k in missing[: max(0, MEMO - len(memo))]:
+            memo[pieces[k]] = found[k]
+    return found
+
+
+def encoded(texts: list[str | None], name: str = TOKENIZER) -> Iterator[np.ndarray]:
+    """Ids of every text; works on texts of bounded size together."""
     at = 0
     while at < len(texts):
         to, held = at, 0
@@ -91,28 +86,31 @@ def encoded(texts: list[str | None], name: str = TOKENIZER) -> Iterator[bytes]:
         at = to
 
 
-def _encoded(texts: list[str], name: str) -> list[bytes]:
-    out: list[bytes] = [b""] * len(texts)
-    fine, spaces = [], []
-    for k, t in enumerate(texts):
-        if not _UNSAFE.search(t):
-            fine.append(k)
-        elif not _UNSAFE_SPACES.search(t):
-            spaces.append(k)
-        else:
-            out[k] = np.array(tokenizer(name).encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-    for places, marks in ((fine, ",.\n"), (spaces, "")):
-        if not places:
+def _encoded(texts: list[str], name: str) -> list[np.ndarray]:
+    out: list[np.ndarray] = [np.empty(0, "<u4")] * len(texts)
+    column = pa.array(texts, pa.large_string())
+    whole = pc.match_substring_regex(column, _UNSAFE_SPACES).to_numpy(zero_copy_only=False)
+    marks_too = ~pc.match_substring_regex(column, _UNSAFE).to_numpy(zero_copy_only=False)
+    for k in np.flatnonzero(whole):
+        out[k] = np.array(tokenizer(name).encode(texts[k], add_special_tokens=False).ids, "<u4")
+    for places, marks in ((np.flatnonzero(marks_too), ",.\n"), (np.flatnonzero(~marks_too & ~whole), "")):
+        if not len(places):
             continue
-        cut = pc.replace_substring(pa.array([texts[k] for k in places], pa.large_string()), " ", f"{_CUT} ")
+        cut = pc.replace_substring(column.take(pa.array(places)), " ", f"{_CUT} ")
         for mark in marks:
             cut = pc.replace_substring(cut, mark, f"{_CUT}{mark}{_CUT}")
         parts = pc.split_pattern(cut, _CUT)
         coded = parts.flatten().dictionary_encode()
-        held = np.array(_ids(coded.dictionary.to_pylist(), name), object)[coded.indices.to_numpy()].tolist()
-        edge = parts.offsets.to_pylist()
+        held = _ids(coded.dictionary.to_pylist(), name)
+        flat = np.frombuffer(b"".join(held), "<u4")
+        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        code = coded.indices.to_numpy()
+        each = size[code]
+        reach = np.concatenate(([0], np.cumsum(each)))
+        ids = flat[np.repeat((np.cumsum(size) - size)[code] - reach[:-1], each) + np.arange(reach[-1])]
+        edge = reach[parts.offsets.to_numpy()]
         for k, a, b in zip(places, edge, edge[1:]):
-            out[k] = b"".join(held[a:b])
+            out[k] = ids[a:b]
     return out
 
 
@@ -210,17 +208,17 @@ class WaveletMatrix:
 SHARD = "place bigint, ids array<bigint>, lengths array<bigint>, n bigint, zeros array<bigint>, planes array<binary>"
 
 
-def _shard(place: int, ids: list, parts: list[bytes]) -> pa.RecordBatch:
-    values = np.frombuffer(b"".join(parts), "<u4")
+def _shard(place: int, ids: list, parts: list[np.ndarray]) -> pa.RecordBatch:
+    values = np.concatenate(parts)
     _, planes, zeros = build(values)
     return pa.RecordBatch.from_arrays([
-        pa.array([place]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(p) // 4 for p in parts]], pa.list_(pa.int64())),
+        pa.array([place]), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(p) for p in parts]], pa.list_(pa.int64())),
         pa.array([len(values)]), pa.array([zeros], pa.list_(pa.int64())), pa.array([planes], pa.list_(pa.binary())),
     ], names=["place", "ids", "lengths", "n", "zeros", "planes"])
 
 
 def _writer(name: str, end: int, most: int) -> Callable:
-    tail = np.array([end], "<u4").tobytes()
+    tail = np.array([end], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -228,12 +226,12 @@ def _writer(name: str, end: int, most: int) -> Callable:
         place, ids, parts, held = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
             for doc, got in zip(batch.column(0).to_pylist(), encoded(batch.column(1).to_pylist(), name)):
-                if parts and held + len(got) // 4 + 1 > most:
+                if parts and held + len(got) + 1 > most:
                     yield _shard(place, ids, parts)
                     place, ids, parts, held = place + 1, [], [], 0
                 ids.append(doc)
-                parts.append(got + tail)
-                held += len(got) // 4 + 1
+                parts.append(np.concatenate((got, tail)))
+                held += len(got) + 1
         if parts:
             yield _shard(place, ids, parts)
 
