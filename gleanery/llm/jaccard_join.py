@@ -41,12 +41,14 @@ GROUP_SIZE = 64
 ROUNDS = 4
 MEETINGS = 1
 # Tokens of more classes than this gather groups first; all others go straight to the matrix.
-MANY = 16
+MANY = 64
+# Tokens by which a class meets others while groups are gathered: the first frequent ones in its order.
+MEETING_TOKENS = 8
 # Ids that are broadcast at most (16 bytes each); beyond, texts are fetched by a shuffled join.
 BROADCAST_IDS = 1_000_000
-# A shingle in so many classes of one batch is reported as frequent; the most frequent ones of all are put last.
-FREQUENT_IN_BATCH = 8
-MOST_FREQUENT = 1 << 18
+# A shingle in so many classes of one batch is reported; the most frequent ones of all batches are put last (8 MB at most).
+FREQUENT_IN_BATCH = 2
+MOST_FREQUENT = 1 << 20
 _SHORT = np.uint64(0xA5A5A5A5DEADBEEF)
 
 
@@ -186,17 +188,20 @@ def similar_components(
     texts = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
     first = stored(texts.mapInArrow(_first_pass(shingle), "id bigint, n bigint, cls bigint, token bigint, times bigint"), "shingles")
     members = first.where("token is null").select("id", "n", "cls")
-    top = first.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(MOST_FREQUENT)
+    top = first.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(
+        F.col("times") > MANY // 2).orderBy(F.desc("times"), "token").limit(MOST_FREQUENT)
     frequent = spark.sparkContext.broadcast(np.sort(np.array(top.select("token").toArrow().column(0).to_pylist(), np.int64).view(np.uint64)))
 
     probes = texts.select("text").mapInArrow(_probe_pass(shingle, percent, frequent), "token bigint, cls bigint, n bigint, pos bigint")
-    met = probes.groupBy("token").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("shared"))
-    rows = stored(probes.join(met.where("least <> most").select("token", "shared"), "token").distinct(), "probes")
+    # Copies in other batches count as well; a token of one class alone is of no use later on and does no harm.
+    met = probes.groupBy("token").agg(F.count("*").alias("shared")).where("shared > 1")
+    rows = stored(probes.join(met, "token").distinct(), "probes")
     classes = members.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"))
     nodes = stored(rows.select("cls").distinct(), "nodes")
 
     state, links = nodes.withColumn("comp", F.col("cls")), None
-    many = rows.where(F.col("shared") > MANY)
+    first_ones = F.row_number().over(Window.partitionBy("cls").orderBy("pos"))
+    many = stored(rows.where(F.col("shared") > MANY).withColumn("k", first_ones).where(F.col("k") <= MEETING_TOKENS).drop("k"), "meeting")
     sets = _sets(texts, classes, many.select("cls").distinct(), shingle)
     for turn in range(rounds):
         weight = state.groupBy("comp").agg(F.count("*").alias("weight"))
@@ -231,18 +236,20 @@ def similar_components(
         .groupBy("cls", "n", "comp", "piece", "weight")
         .agg(F.count("*").alias("hits"), F.max("pos").alias("last"), F.max("place").alias("place"), F.min("low").alias("low"))
         .where((F.col("weight") > 1) | ((F.col("hits") + after) * (100 + percent) >= (F.col("n") + F.col("low")) * percent))
-        .select("cls", "n", "comp", "piece")
+        .select("cls", "n", "comp", "piece", "weight")
     )
     asks = stored(asks, "asks")
-    groups = asks.select("comp", "piece").distinct()
-    inside = left.select("cls", "n", "comp", "piece").distinct()
-    inside = stored(inside.join(groups, ["comp", "piece"]).select("cls", F.col("n").alias("m"), "comp", "piece"), "members")
+    inside = left.select("cls", F.col("n").alias("m"), "comp", "piece", "weight").distinct()
+    inside = stored(inside.join(asks.select("comp", "piece").distinct(), ["comp", "piece"]), "members")
     sets = _sets(texts, classes, asks.select("cls").unionByName(inside.select("cls")).distinct(), shingle)
-    # A piece holds about group_size members, so its union is bounded.
-    unions = inside.join(sets, "cls").groupBy("comp", "piece").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
+    # A piece holds about group_size members, so its union is bounded; the union of one class is the class itself.
+    unions = inside.where("weight > 1").join(sets, "cls").groupBy("comp", "piece").agg(
+        F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
     bound = F.size(F.array_intersect("tokens", "union")) * 100 >= F.col("n") * percent
-    qualified = asks.join(sets, "cls").join(unions, ["comp", "piece"]).where(bound).select(F.col("cls").alias("a"), "n", "comp", "piece")
-    opened = qualified.join(inside.withColumnRenamed("cls", "b"), ["comp", "piece"]).where(_fits(F.col("n"), F.col("m"), percent)).select("a", "b")
+    qualified = asks.where("weight > 1").join(sets, "cls").join(unions, ["comp", "piece"]).where(bound).select("cls", "n", "comp", "piece")
+    qualified = qualified.unionByName(asks.where("weight = 1").select("cls", "n", "comp", "piece"))
+    opened = qualified.withColumnRenamed("cls", "a").join(inside.withColumnRenamed("cls", "b"), ["comp", "piece"]).where(
+        _fits(F.col("n"), F.col("m"), percent)).select("a", "b")
     found = stored(_verified(opened, sets, percent), "links")
     final = _components(found if links is None else links.unionByName(found), nodes)
 
