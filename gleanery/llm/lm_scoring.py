@@ -40,7 +40,9 @@ EPOCHS = 2
 BATCH = 2048
 RATE = 0.1
 LEAST_STEPS = 100
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 8 << 20
+# Characters of training texts counted together.
+TOGETHER = 6 << 20
 END = 0
 OTHER = 1
 END_KEY = np.int64(-7046029254386353131)
@@ -101,12 +103,17 @@ def _grams(vocabulary) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, number = vocabulary.value
         for batch in batches:
-            tokens, edge = _tokens(batch.column(0).to_pylist())
-            if not len(tokens):
-                continue
-            ids = _numbers(tokens, keys, number).astype(np.int64)
-            gram, times = np.unique(_contexts(ids, edge) * VOCABULARY + ids, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(times.astype(np.int64))], schema=schema)
+            texts, at = batch.column(0).to_pylist(), 0
+            while at < len(texts):
+                to, held = at, 0
+                while to < len(texts) and (to == at or held + len(texts[to]) <= TOGETHER):
+                    held += len(texts[to])
+                    to += 1
+                tokens, edge = _tokens(texts[at:to])
+                ids = _numbers(tokens, keys, number).astype(np.int64)
+                gram, times = np.unique(_contexts(ids, edge) * VOCABULARY + ids, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(times.astype(np.int64))], schema=schema)
+                at = to
 
     return run
 
