@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import text, urls
 from gleanery.functions.binding import bind, let
+from gleanery.operators import merging
 
 SAME_PAGE, OTHER_PAGE, MIN_QUOTE = 0.82, 0.95, 24
 
@@ -85,16 +89,41 @@ def with_deduped(df: DataFrame, policy: urls.TrustPolicy, trusted_only: bool = F
     return reduced.withColumn("evidence", entries("details"))
 
 
-def union(rows: DataFrame, group: str, salt_size: int = 500) -> DataFrame:
+def _fold_citations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kept citations of each group; rows come sorted by group, strongest citation first."""
+    current, kept, schema = None, None, None
+    for batch in batches:
+        schema = batch.schema
+        for row in batch.to_pylist():
+            if row["g"] != current:
+                if kept:
+                    yield pa.RecordBatch.from_pylist(kept.rows, schema)
+                current, kept = row["g"], _Group()
+            kept.offer(row)
+    if kept:
+        yield pa.RecordBatch.from_pylist(kept.rows, schema)
+
+
+class _Group(merging.Kept):
+    def __init__(self):
+        super().__init__()
+        self.rows: list[dict] = []
+
+    def offer(self, row: dict) -> None:
+        before = len(self.all)
+        super().offer({"page": row["d"]["page"], "key": row["d"]["key"], "set": frozenset(row["d"]["grams"])})
+        if len(self.all) > before:
+            self.rows.append(row)
+
+
+def union(rows: DataFrame, group: str) -> DataFrame:
     """(group, details): the de-duplicated citations of all rows of a group.
 
-    Exact copies are combined before the shuffle, then salted parts of the group are reduced on
-    their own, so only what survives is brought together.
+    Exact copies are combined before the shuffle.  The rest is dropped in order, strongest first, which is one pass over the
+    sorted citations of a group; the task holds the citations that stay, not the group.
     """
-    cited = rows.select(group, F.explode("details").alias("d"))
-    distinct = cited.groupBy(group, F.col("d.page").alias("page"), F.col("d.key").alias("key")).agg(F.min("d").alias("d"))
-    share = distinct.groupBy(group).agg(F.ceil(F.count("*") / salt_size).alias("salts"))
-    salted = distinct.join(share, group).withColumn("salt", F.pmod(F.xxhash64("page", "key"), "salts"))
-    parts = salted.groupBy(group, "salt").agg(F.collect_list("d").alias("p")).select(group, dedupe("p").alias("p"))
-    whole = parts.groupBy(group).agg(F.flatten(F.collect_list("p")).alias("p"))
-    return whole.select(group, dedupe("p").alias("details"))
+    cited = rows.select(F.col(group).alias("g"), F.explode("details").alias("d"))
+    distinct = cited.groupBy("g", F.col("d.page").alias("page"), F.col("d.key").alias("key")).agg(F.min("d").alias("d")).select("g", "d")
+    ordered = distinct.repartition("g").sortWithinPartitions("g", "d")
+    kept = ordered.mapInArrow(_fold_citations, distinct.schema)
+    return kept.groupBy("g").agg(F.array_sort(F.collect_list("d")).alias("details")).withColumnRenamed("g", group)

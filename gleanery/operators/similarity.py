@@ -1,4 +1,4 @@
-"""Exact Dice similarity joins: rare-gram prefixes, length filter, hot blocks burnt off by leaders.
+"""Exact Dice similarity joins: rare-gram prefixes, length filter, leaders in hot blocks.
 
 Two sets with Dice >= t overlap in at least ceil(n*t/(2-t)) elements, n being the size of either
 set.  So each set only indexes its ``n - ceil(n*t/(2-t)) + 1`` rarest grams, and qualifying pairs
@@ -37,54 +37,53 @@ def comparable(size_a: Column, size_b: Column, threshold: float) -> Column:
 
 
 def linked(
-    blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], bound: int = 200, rounds: int = 4
+    blocks: DataFrame, verify: Callable[[DataFrame], DataFrame], bound: int = 200, rounds: int = 3
 ) -> DataFrame:
     """Edges (a, b) that connect all nodes which share a block and pass ``verify``.
 
-    ``blocks`` has (node, block, size, ratio, open): pairs of one block must have set sizes within
-    ``ratio`` of each other, and at least one of the two must be ``open``.  A block above ``bound`` is first compared with its
-    smallest node only: members that match are linked to it and leave that block, so a large group
-    of copies costs one comparison per member instead of one per pair.  What is left in the block
-    afterwards is compared pair by pair, except for pairs that are connected already.  ``verify`` maps (a, b) to the
-    rows that match.
+    ``blocks`` has (node, block, size, ratio, open): pairs of one block must have set sizes within ``ratio`` of each other, and
+    at least one of the two must be ``open``.  In blocks above ``bound`` every node is first compared with one leader of the
+    block, another in each round, so a large group of copies is connected with a few comparisons per member.  Afterwards all
+    pairs of a block that are not connected yet are compared, whether they met a leader or not; ``bound`` and ``rounds`` change
+    the cost and never the components.  ``verify`` maps (a, b) to the rows that match.
     """
     shape = blocks.groupBy("node", "block").agg(
         F.min("size").alias("low"), F.max("size").alias("high"), F.min("ratio").alias("ratio"), F.max("open").alias("open")
     )
     current, found = cut_lineage(shape), None
-    for _ in range(rounds):
-        sizes = current.groupBy("block").agg(F.count("*").alias("_n"), F.min("node").alias("leader"))
-        hot = sizes.where(F.col("_n") > bound).select("block", "leader")
-        if hot.isEmpty():
-            break
-        inside = cut_lineage(current.join(hot, "block"))
-        pairs = inside.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    hot = current.groupBy("block").agg(F.count("*").alias("_n")).where(F.col("_n") > bound).select("block")
+    inside = cut_lineage(current.join(hot, "block"))
+    for turn in range(0 if inside.isEmpty() else rounds):
+        placed = _placed(inside, found)
+        leaders = placed.groupBy("block").agg(F.min_by(F.struct("node", "part", "open"), F.xxhash64("node", "block", F.lit(turn))).alias("l"))
+        apart = placed.join(leaders, "block").where((F.col("part") != F.col("l.part")) & (F.col("open") | F.col("l.open")))
+        pairs = apart.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
         matched = cut_lineage(verify(pairs).select("a", "b"))
+        if matched.isEmpty():
+            break
         found = matched if found is None else found.unionByName(matched)
-        spent = (
-            inside.join(matched.select(F.col("a").alias("leader"), F.col("b").alias("node")), ["leader", "node"], "left_semi")
-            .select("block", "node")
-            .unionByName(inside.where("node = leader").select("block", "node"))
-        )
-        current = cut_lineage(current.join(spent, ["block", "node"], "left_anti"))
-    part = F.col("node")
-    if found is not None:
-        current = current.join(connected_components(found), "node", "left")
-        part = F.coalesce("component", "node")
+    current = _placed(current, found)
+    # One side is open, so only open nodes are paired with all others of their block.
     left, right = (
         current.select(
-            "block", "ratio", *[F.col(c).alias(f"{c}_{side}") for c in ("low", "high", "open")],
-            F.col("node").alias(side), part.alias(f"part_{side}"),
+            "block", "ratio", *[F.col(c).alias(f"{c}_{side}") for c in ("low", "high", "open", "part")], F.col("node").alias(side)
         )
         for side in "ab"
     )
     fits = (F.col("high_a") >= F.col("low_b") * F.col("ratio") - 1e-9) & (F.col("high_b") >= F.col("low_a") * F.col("ratio") - 1e-9)
-    useful = (F.col("part_a") != F.col("part_b")) & (F.col("open_a") | F.col("open_b"))
-    pairs = left.join(right.drop("ratio"), "block").where((F.col("a") < F.col("b")) & useful & fits)
-    rest = verify(pairs.select("a", "b").distinct()).select("a", "b")
+    once = (F.col("a") < F.col("b")) | (~F.col("open_b") & (F.col("a") != F.col("b")))
+    pairs = left.where("open_a").join(right.drop("ratio"), "block").where(once & (F.col("part_a") != F.col("part_b")) & fits)
+    rest = verify(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).select("a", "b")
     return rest if found is None else found.unionByName(rest).distinct()
 
 
+def _placed(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Adds ``part``: the component of each node by the edges found so far."""
+    if found is None:
+        return rows.withColumn("part", F.col("node"))
+    return rows.join(connected_components(found), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+
+
 def dice_pairs(sets: DataFrame, threshold: float, node: str = "node", grams: str = "grams") -> DataFrame:
     """All pairs (a, b, similarity) of distinct sets at or above the threshold.
 
