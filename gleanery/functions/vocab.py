@@ -241,6 +241,7 @@ NON_PUBLIC_V4 = [
 # ---- fixed values: limits -------------------------------------------------------------------
 WINDOW_DAYS = 30
 MERGE_DAYS = 7
+# The lengths that a small deployment may cut texts and titles to; nothing is cut unless they are passed on.
 TEXT_CAP = 10_000
 TITLE_CAP = 300
 MIN_BODY = 120

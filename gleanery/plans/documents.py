@@ -10,11 +10,11 @@ from gleanery.plans.urls import HOST_SQL
 from gleanery.sources import extraction, feeds, pages
 
 DECODE = "replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
-TITLE_SQL = "substr(trim(" + DECODE.format("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')") + "), 1, 300)"
+TITLE_SQL = "trim(" + DECODE.format("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')") + ")"
 BODY_SQL = (
-    "substr(trim(regexp_replace(" + DECODE.format(
+    "trim(regexp_replace(" + DECODE.format(
         "regexp_replace(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<[^>]*>', '', 'g')"
-    ) + ", '\\s+', ' ', 'g')), 1, 10000)"
+    ) + ", '\\s+', ' ', 'g'))"
 )
 STATE_SQL = f"""CASE WHEN regexp_matches(lower(substr(title || ' ' || body, 1, 500)), '{vocab.RESTRICTED_PATTERN}') THEN 'restricted'
    WHEN length(body) < 120 THEN 'empty' ELSE 'ok' END"""

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +27,29 @@ def build_session(app: str = "gleanery", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+ROOT = Path(__file__).resolve().parents[1]
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Lets Python workers find this package wherever the program was started.
+
+    Local masters, whose workers see this disk, get its folder; on a cluster the package is sent along once per application.
+    """
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if str(ROOT) not in paths:
+            context.environment["PYTHONPATH"] = os.pathsep.join([str(ROOT), *paths])
+    elif context.applicationId not in _shipped:
+        folder = tempfile.mkdtemp(prefix="spark-")
+        with zipfile.ZipFile(f"{folder}/gleanery.zip", "w") as archive:
+            for file in sorted([*ROOT.glob("gleanery/**/*.py"), *ROOT.glob("*.py")]):
+                archive.write(file, file.relative_to(ROOT))
+        context.addPyFile(f"{folder}/gleanery.zip")
+        _shipped.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder.
 

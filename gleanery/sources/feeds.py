@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from gleanery.functions import urls, vocab
+from gleanery.sources.pages import limited
 from gleanery.functions.binding import bind
 from gleanery.functions.records import parse_date
 from gleanery.functions.text import SPACE, strip_space
@@ -92,7 +93,7 @@ def read_feed(bodies: pa.Array) -> pa.Array:
     return pa.array([_read(b) for b in bodies.to_pylist()], kind)
 
 
-def parse_feeds(feeds: DataFrame, deep: bool = False, body: str = "body") -> DataFrame:
+def parse_feeds(feeds: DataFrame, deep: bool = False, body: str = "body", text_length: int | None = None) -> DataFrame:
     """First 6 (deep) or 3 entries of every feed; entries without an acceptable link are skipped."""
     entries = feeds.withColumn("_e", F.slice(read_feed(F.col(body)), 1, 6 if deep else 3)).drop(body)
     rows = entries.select(*[c for c in entries.columns if c != "_e"], F.posexplode("_e").alias("entry_no", "_r"))
@@ -101,7 +102,7 @@ def parse_feeds(feeds: DataFrame, deep: bool = False, body: str = "body") -> Dat
         bind(rows, url=urls.canonical_url(strip_space(link)))
         .where(F.col("url").isNotNull())
         .withColumn("title", F.col("_r.title"))
-        .withColumn("text", F.substring(F.regexp_replace("_r.text", f"{SPACE}+", " "), 1, vocab.TEXT_CAP))
+        .withColumn("text", limited(F.regexp_replace("_r.text", f"{SPACE}+", " "), text_length))
         .withColumn("published_at", parse_date("_r.date"))
         .drop("_r")
     )

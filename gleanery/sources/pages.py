@@ -166,14 +166,19 @@ def page_state(title: Column, body: Column, notice: Column, shell: Column) -> Co
     )
 
 
-def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Adds title, text, published_at, hrefs and state; the HTML itself is dropped."""
+def limited(text: Column, length: int | None) -> Column:
+    """The text, cut only where a length is given."""
+    return text if length is None else F.substring(text, 1, length)
+
+
+def parse_pages(pages: DataFrame, html: str = "html", text_length: int | None = None, title_length: int | None = None) -> DataFrame:
+    """Adds title, text, published_at, hrefs and state; the HTML itself is dropped.  Texts stay whole unless lengths are given."""
     parsed = pages.withColumn("_p", read_html(F.col(html))).drop(html)
     dates = F.filter(F.transform("_p.data_dates", parse_date), lambda d: d.isNotNull())
     staged = bind(
         parsed,
-        text=F.substring(collapse_space("_p.body"), 1, vocab.TEXT_CAP),
-        title=F.substring(strip_space("_p.title"), 1, vocab.TITLE_CAP),
+        text=limited(collapse_space("_p.body"), text_length),
+        title=limited(strip_space("_p.title"), title_length),
         published_at=F.coalesce(parse_date("_p.stated_date"), F.try_element_at(dates, F.lit(-1))),
         hrefs=F.col("_p.hrefs"),
     )

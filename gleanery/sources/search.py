@@ -11,7 +11,7 @@ from gleanery.functions.records import parse_date
 from gleanery.functions.text import collapse_space, identity_text, strip_space
 from gleanery.operators.ledger import first_failure
 from gleanery.operators.selection import best_candidates
-from gleanery.sources.pages import is_restricted
+from gleanery.sources.pages import is_restricted, limited
 from gleanery.sources.settings import official_website
 
 REASONS = ["invalid", "untrusted", "domain_mismatch", "company_mismatch"]
@@ -23,7 +23,7 @@ def _string(value: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get(value, path, "string"))
 
 
-def parse_results(payloads: DataFrame, body: str = "body") -> DataFrame:
+def parse_results(payloads: DataFrame, body: str = "body", text_length: int | None = None) -> DataFrame:
     """One row per search result; every field is typed defensively."""
     results = F.try_variant_get(F.try_parse_json(F.col(body)), "$.results", "array<variant>")
     others = [c for c in payloads.columns if c != body]
@@ -35,7 +35,7 @@ def parse_results(payloads: DataFrame, body: str = "body") -> DataFrame:
         raw_url=_string(F.col("_r"), "$.url"),
         title=strip_space(_string(F.col("_r"), "$.title")),
         snippet=strip_space(_string(F.col("_r"), "$.content")),
-        raw_content=F.substring(collapse_space(_string(F.col("_r"), "$.raw_content")), 1, vocab.TEXT_CAP),
+        raw_content=limited(collapse_space(_string(F.col("_r"), "$.raw_content")), text_length),
         published_at=parse_date(_string(F.col("_r"), "$.published_date")),
         score=F.when(numeric, F.try_variant_get("_r", "$.score", "double")),
     )
@@ -102,7 +102,8 @@ def unread(candidates: DataFrame, documents: DataFrame, url: str = "url") -> Dat
 
 
 def accepted_documents(
-    candidates: DataFrame, policy: urls.TrustPolicy, websites: dict[str, str] | None = None
+    candidates: DataFrame, policy: urls.TrustPolicy, websites: dict[str, str] | None = None,
+    text_length: int | None = None, title_length: int | None = None,
 ) -> DataFrame:
     """Candidates whose search body, or on the company's own site whose snippet, is usable text."""
     ready = bind(
@@ -132,11 +133,11 @@ def accepted_documents(
     by_body = F.col("retrieval_method") == "search-raw-content"
     chosen = bind(keyed, retrieval_method=method).where(F.col("retrieval_method").isNotNull())
     short_title = F.when(title == "", F.when(by_body, F.col("coverage_key")).otherwise(focus)).otherwise(
-        F.when(by_body, F.substring(title, 1, vocab.TITLE_CAP)).otherwise(title)
+        F.when(by_body, limited(title, title_length)).otherwise(title)
     )
     return chosen.select(
         "url", short_title.alias("title"),
-        F.substring(F.when(by_body, body).otherwise(snippet), 1, vocab.TEXT_CAP).alias("text"),
+        limited(F.when(by_body, body).otherwise(snippet), text_length).alias("text"),
         F.when(by_body, F.col("published_at")).alias("published_at"),
         F.concat("lane", F.lit(" · "), "coverage_key").alias("source"),
         F.lit(None).cast("string").alias("profile_company"), "focus_company", "retrieval_method", "arrival",
