@@ -12,6 +12,7 @@
    queries to a group; the smaller component asks.  A query opens a group only if
    - the sizes fit,
    - for a group of one class, the probe tokens shared so far and the shingles left after the last of them allow the overlap,
+     and so do the parities of both sets (see ``parities``), which are far smaller than the sets,
    - the group's union holds at least ceil(t n) of the query's n shingles.
 5. Members of opened groups are compared exactly; all links give the components.
 
@@ -73,26 +74,37 @@ def digest(tokens: np.ndarray) -> int:
         return int(W.mix(np.array([total + W.U64(len(tokens))], np.uint64)).view(np.int64)[0])
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Whether an odd number of tokens falls on each of 2,048 places, as 32 words.
+
+    A token in one of two sets only changes one place, so places that differ are at most as many as such tokens.
+    """
+    odd = np.bincount((tokens >> W.U64(53)).astype(np.int64), minlength=2048) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def needed(n: int, percent: int) -> int:
     """Least overlap of a set of n with any set that it links with."""
     return -(-n * percent // 100)
 
 
 def _first_pass(size: int) -> Callable:
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("token", pa.int64()), ("times", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("odd", pa.list_(pa.int64())), ("token", pa.int64()), ("times", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            sizes, keys, seen, held = [], [], set(), []
+            sizes, keys, odd, seen, held = [], [], [], set(), []
             for tokens in shingle_sets(batch.column(1).to_pylist(), size):
                 sizes.append(len(tokens))
                 keys.append(digest(tokens) if len(tokens) else None)
+                odd.append(parities(tokens) if len(tokens) else None)
                 if len(tokens) and keys[-1] not in seen:
                     seen.add(keys[-1])
                     held.append(tokens)
             none = [None] * len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, sizes, keys, none, none)], schema=schema)
+            ids, sizes, keys, none = (pa.array(x, pa.int64()) for x in (ids, sizes, keys, none))
+            yield pa.RecordBatch.from_arrays([ids, sizes, keys, pa.array(odd, pa.list_(pa.int64())), none, none], schema=schema)
             if held:
                 every = np.sort(np.concatenate(held))
                 edge = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1], [True])))
@@ -100,7 +112,7 @@ def _first_pass(size: int) -> Callable:
                 often = times >= FREQUENT_IN_BATCH
                 token, times = every[edge[:-1][often]].view(np.int64), times[often]
                 none = pa.nulls(len(token), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, pa.array(token), pa.array(times)], schema=schema)
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(token), pa.list_(pa.int64())), pa.array(token), pa.array(times)], schema=schema)
 
     return run
 
@@ -186,7 +198,7 @@ def similar_components(
     """(id, n_shingles, component_id): size of each document's set and the smallest id reachable by links."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
-    first = stored(texts.mapInArrow(_first_pass(shingle), "id bigint, n bigint, cls bigint, token bigint, times bigint"), "shingles")
+    first = stored(texts.mapInArrow(_first_pass(shingle), "id bigint, n bigint, cls bigint, odd array<bigint>, token bigint, times bigint"), "shingles")
     members = first.where("token is null").select("id", "n", "cls")
     top = first.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(
         F.col("times") > MANY // 2).orderBy(F.desc("times"), "token").limit(MOST_FREQUENT)
@@ -236,21 +248,31 @@ def similar_components(
         .groupBy("cls", "n", "comp", "piece", "weight")
         .agg(F.count("*").alias("hits"), F.max("pos").alias("last"), F.max("place").alias("place"), F.min("low").alias("low"))
         .where((F.col("weight") > 1) | ((F.col("hits") + after) * (100 + percent) >= (F.col("n") + F.col("low")) * percent))
-        .select("cls", "n", "comp", "piece", "weight")
+        .select("cls", "n", "comp", "piece", "weight", "low")
     )
     asks = stored(asks, "asks")
-    inside = left.select("cls", F.col("n").alias("m"), "comp", "piece", "weight").distinct()
+    # A component of one class is named after it.
+    pairs = asks.where("weight = 1").select(F.col("cls").alias("a"), F.col("comp").alias("b"), "n", F.col("low").alias("m"))
+    mine = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    odd = first.where("cls is not null").select("cls", "odd").join(mine, "cls").groupBy("cls").agg(F.any_value("odd").alias("odd"))
+    differ = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    overlap = F.ceil((F.col("n") + F.col("m")) * percent / F.lit(100 + percent) - 1e-9)
+    lone = stored(
+        pairs.join(odd.select(F.col("cls").alias("a"), F.col("odd").alias("oa")), "a").join(odd.select(F.col("cls").alias("b"), F.col("odd").alias("ob")), "b")
+        .where(differ <= F.col("n") + F.col("m") - 2 * overlap).select("a", "b"), "pairs")
+    asks = asks.where("weight > 1")
+    inside = left.where("weight > 1").select("cls", F.col("n").alias("m"), "comp", "piece").distinct()
     inside = stored(inside.join(asks.select("comp", "piece").distinct(), ["comp", "piece"]), "members")
-    sets = _sets(texts, classes, asks.select("cls").unionByName(inside.select("cls")).distinct(), shingle)
+    asked = lone.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(asks.select("cls")).unionByName(inside.select("cls"))
+    sets = _sets(texts, classes, asked.distinct(), shingle)
     # A piece holds about group_size members, so its union is bounded; the union of one class is the class itself.
-    unions = inside.where("weight > 1").join(sets, "cls").groupBy("comp", "piece").agg(
+    unions = inside.join(sets, "cls").groupBy("comp", "piece").agg(
         F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
     bound = F.size(F.array_intersect("tokens", "union")) * 100 >= F.col("n") * percent
-    qualified = asks.where("weight > 1").join(sets, "cls").join(unions, ["comp", "piece"]).where(bound).select("cls", "n", "comp", "piece")
-    qualified = qualified.unionByName(asks.where("weight = 1").select("cls", "n", "comp", "piece"))
+    qualified = asks.join(sets, "cls").join(unions, ["comp", "piece"]).where(bound).select("cls", "n", "comp", "piece")
     opened = qualified.withColumnRenamed("cls", "a").join(inside.withColumnRenamed("cls", "b"), ["comp", "piece"]).where(
         _fits(F.col("n"), F.col("m"), percent)).select("a", "b")
-    found = stored(_verified(opened, sets, percent), "links")
+    found = stored(_verified(opened.unionByName(lone), sets, percent), "links")
     final = _components(found if links is None else links.unionByName(found), nodes)
 
     placed = classes.join(final, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
