@@ -104,6 +104,14 @@ def facet_counts(items: DataFrame, column: str = "category") -> DataFrame:
     return items.groupBy(column).agg(F.count("*").alias("n"))
 
 
+def dashboard_metrics(items: DataFrame, major: Column, companies: DataFrame, sources: DataFrame, most: int = 3) -> DataFrame:
+    """One row: published items, signals shown (``most`` at the most), companies and sources."""
+    counted = items.agg(F.count("*").alias("items"), F.least(F.lit(most), F.count_if(major)).alias("signals"))
+    # One-row aggregates.
+    return counted.join(F.broadcast(companies.agg(F.count("*").alias("companies")))).join(
+        F.broadcast(sources.agg(F.count("*").alias("sources"))))
+
+
 def latest_items(items: DataFrame, runs: DataFrame, run_events: DataFrame) -> DataFrame:
     latest = latest_daily_run(runs, run_events).select(F.col("id").alias("run_id"))
     return items.join(F.broadcast(latest), "run_id", "left_semi")

@@ -184,13 +184,16 @@ def extraction_drop_counts(spark, sf):
 @register(
     """
   WITH n AS (SELECT conv_id, count(*) AS turns,
-       count(*) FILTER (length(text) BETWEEN 10 AND 900 AND length(role) BETWEEN 4 AND 9) AS kept FROM conversations GROUP BY 1)
+       count(*) FILTER (length(role) BETWEEN 5 AND 180 AND length(text) BETWEEN 12 AND 350 AND turn >= 0) AS kept FROM conversations GROUP BY 1)
   SELECT conv_id, turns, kept, kept <= 4 AS accepted FROM n
 """
 )
 def batch_constraints(spark, sf):
     """Per-record limits first, then the limit on the size of the whole batch."""
-    good = F.length("text").between(10, 900) & F.length("role").between(4, 9)
+    record = F.struct(
+        F.col("role").alias("title"), F.col("text").alias("summary"), F.lit("").alias("implication"), F.lit("").alias("company"),
+        F.col("role").alias("event_key"), F.array(F.struct(F.col("turn").alias("document"), F.col("text").alias("quote"))).alias("citations"))
+    good = extraction.valid_item(record)
     counted = table(spark, sf, "conversations").groupBy("conv_id").agg(
         F.count("*").alias("turns"), F.count_if(good).alias("kept")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanery.functions import records, vocab
+from gleanery.operators import portfolio
 from gleanery.plans.registry import register, table
 
 AS_OF = "1998-01-01 00:00:00"
@@ -172,5 +173,5 @@ def priority_scores(spark, sf):
 @register(SCORED_SQL + "SELECT o_orderkey, round(score, 6)::DOUBLE AS score FROM s WHERE major ORDER BY score DESC, o_orderkey LIMIT 3")
 def priority_signals(spark, sf):
     """The three strongest major signals."""
-    strongest = scored_orders(spark, sf).where("major").orderBy(F.desc("score"), "o_orderkey").limit(3)
+    strongest = portfolio.top_signals(scored_orders(spark, sf), 3, "o_orderkey")
     return strongest.select("o_orderkey", F.round("score", 6).alias("score"))

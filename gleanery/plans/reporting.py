@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleanery.functions import vocab
-from gleanery.operators import ledger
+from gleanery.operators import evidence, ledger
 from gleanery.plans.registry import register, table
 
 
@@ -52,8 +52,12 @@ def lane_distribution(spark, sf):
 @register("SELECT l_orderkey, count(DISTINCT l_suppkey) AS pages, count(DISTINCT l_suppkey % 5) AS publishers FROM lineitem GROUP BY 1")
 def distinct_sources(spark, sf):
     """Distinct pages and publishers behind every record."""
-    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.countDistinct("l_suppkey").alias("pages"), F.countDistinct(F.col("l_suppkey") % 5).alias("publishers")
+    cited = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.collect_list(F.struct(F.col("l_suppkey").alias("page"), (F.col("l_suppkey") % 5).alias("publisher"))).alias("details")
+    )
+    publishers = F.transform("details", lambda d: F.struct(d["publisher"].alias("page")))
+    return cited.select(
+        "l_orderkey", evidence.page_count("details").cast("bigint").alias("pages"), evidence.page_count(publishers).cast("bigint").alias("publishers")
     )
 
 
@@ -146,9 +150,6 @@ def feed_by_date(spark, sf):
 """
 )
 def dashboard_metrics(spark, sf):
-    items = table(spark, sf, "orders").agg(
-        F.count("*").alias("items"), F.least(F.lit(3), F.count_if(F.col("o_orderpriority") == "1-URGENT")).alias("signals")
-    )
-    companies = table(spark, sf, "supplier").agg(F.count("*").alias("companies"))
-    sources = table(spark, sf, "customer").where("c_acctbal > 0").agg(F.count("*").alias("sources"))
-    return items.join(F.broadcast(companies)).join(F.broadcast(sources))
+    return ledger.dashboard_metrics(
+        table(spark, sf, "orders"), F.col("o_orderpriority") == "1-URGENT", table(spark, sf, "supplier"),
+        table(spark, sf, "customer").where("c_acctbal > 0"))
