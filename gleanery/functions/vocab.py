@@ -273,3 +273,18 @@ STANDING_QUERIES = [
     ("全球产业政策", "(manufacturing AI OR industrial AI OR advanced manufacturing) (government policy OR national strategy OR regulation OR public funding OR standard)", "news", "advanced", "primary", 12),
     ("资本市场", "(工业软件 OR manufacturing AI OR 3D AI) (融资 OR 投资 OR 并购 OR acquisition OR funding)", "news", "advanced", "trusted", 12),
 ]
+
+# Fixed texts of a configured company without a profile; results show them.
+PLACEHOLDER_NARRATIVE = "尚未获得可核验官网资料，请核对来源配置中的企业官网后开展研究。"
+PLACEHOLDER_POSITIONING = "企业官网研究待完成"
+PLACEHOLDER_IMPLICATION = "持续跟踪技术、产品、战略与资本变化。"
+
+# Fixed query tails of the search plan.
+TAIL_TOPIC_FULL = " (研究 OR 技术突破 OR 产品 OR 解决方案 OR 应用 OR 融资)"
+TAIL_TOPIC = " (发布 OR 研究 OR 产品 OR 政策)"
+TAIL_KEYWORD = " (研究 OR 技术 OR 产品 OR 应用 OR 市场 OR 融资)"
+TAIL_COMPANY = " (产品 OR 技术 OR 客户 OR 融资 OR 投资 OR 并购 OR 战略 OR 发布)"
+TAIL_COMPANY_NEWS = " (产品发布 OR 新版本 OR 解决方案 OR 客户落地 OR 中标 OR 技术突破 OR 专利 OR 标准)"
+TAIL_COMPANY_CAPITAL = " (融资 OR 投资 OR 并购 OR 收购 OR 上市 OR 营收 OR 战略 OR 组织调整)"
+TAIL_COMPANY_SITE = " (news OR 新闻 OR 发布 OR 产品 OR 技术 OR 客户 OR 融资 OR 投资 OR 并购)"
+TAIL_SITE = " (news OR research OR product OR solution OR 新闻 OR 研究 OR 产品)"

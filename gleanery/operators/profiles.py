@@ -91,11 +91,11 @@ def configured_profiles(companies: DataFrame, profiles: DataFrame, now: Column,
     filler = {
         "id": F.concat(F.lit("configured-"), text.short_hash(text.fold_key("_wanted"))),
         "name": F.col("_wanted"),
-        "narrative": F.lit("尚未获得可核验官网资料，请核对来源配置中的企业官网后开展研究。"),
-        "positioning": F.lit("企业官网研究待完成"),
+        "narrative": F.lit(vocab.PLACEHOLDER_NARRATIVE),
+        "positioning": F.lit(vocab.PLACEHOLDER_POSITIONING),
         "solutions": F.array().cast("array<string>"), "capabilities": F.array().cast("array<string>"),
         "funding": F.lit(vocab.UNDISCLOSED),
-        "implication": F.lit("持续跟踪技术、产品、战略与资本变化。"),
+        "implication": F.lit(vocab.PLACEHOLDER_IMPLICATION),
         "evidence": F.array().cast(dict(profiles.dtypes)["evidence"]),
         "updated_at": now, "basis": F.lit(None).cast("string"), "arrival": F.lit(None).cast("bigint"),
     }

@@ -206,3 +206,21 @@ def insight_violations(spark, sf):
 )
 def corpus_fingerprint(spark, sf):
     return ledger.fingerprint(table(spark, sf, "customer"), "c_custkey", "c_name", "c_mktsegment")
+
+
+@register(
+    """
+  SELECT 'run-' || (user_id % 30) AS run_id, ts AS at, event_type AS node, 'event ' || event_id AS message,
+         CASE WHEN value > 50 THEN 'completed' ELSE 'running' END AS status FROM events
+"""
+)
+def run_log(spark, sf):
+    """Log rows appended in two parts and read back."""
+    rows = table(spark, sf, "events").select(
+        F.concat(F.lit("run-"), F.col("user_id") % 30).alias("run_id"), F.col("ts").alias("at"), F.col("event_type").alias("node"),
+        F.concat(F.lit("event "), "event_id").alias("message"), F.when(F.col("value") > 50, "completed").otherwise("running").alias("status"),
+        (F.col("event_id") % 2).alias("part"))
+    root = new_folder(spark)
+    for part in (0, 1):
+        snapshots.append_log(spark, root, rows.where(F.col("part") == part))
+    return snapshots.read_log(spark, root)

@@ -54,8 +54,8 @@ def _standing(workspaces: DataFrame, mode: str) -> DataFrame:
 
 
 def _topics(workspaces: DataFrame, mode: str) -> DataFrame:
-    size, tail, most = (1, " (研究 OR 技术突破 OR 产品 OR 解决方案 OR 应用 OR 融资)", 10) if mode == FULL else (
-        3, " (发布 OR 研究 OR 产品 OR 政策)", 12)
+    size, tail, most = (1, vocab.TAIL_TOPIC_FULL, 10) if mode == FULL else (
+        3, vocab.TAIL_TOPIC, 12)
     groups = [vocab.TOPICS[i:i + size] for i in range(0, len(vocab.TOPICS), size)]
     rows = F.array(*[F.array(*[F.lit(t) for t in g]) for g in groups])
     spread = workspaces.select("workspace", F.posexplode(rows).alias("n", "g"))
@@ -69,7 +69,7 @@ def _topics(workspaces: DataFrame, mode: str) -> DataFrame:
 def _keywords(keywords: DataFrame, mode: str) -> DataFrame:
     return _chunks(keywords, "keyword", 4).select(*_question(
         vocab.LANE_KEYWORD, F.concat(F.lit("关键词:"), F.array_join("values", "、")),
-        F.concat(_any_of(F.col("values")), F.lit(" (研究 OR 技术 OR 产品 OR 应用 OR 市场 OR 融资)")),
+        F.concat(_any_of(F.col("values")), F.lit(vocab.TAIL_KEYWORD)),
         "general" if mode == FULL else "news", "basic", "trusted", 10, [F.lit(2), F.col("chunk"), F.lit(0)],
     ))
 
@@ -94,11 +94,11 @@ def _companies(companies: DataFrame, mode: str) -> list[DataFrame]:
         ))
 
     if mode == INCREMENTAL:
-        tail = " (产品 OR 技术 OR 客户 OR 融资 OR 投资 OR 并购 OR 战略 OR 发布)"
+        tail = vocab.TAIL_COMPANY
         return [ask(named, "企业:", tail, "general", 5, "basic", "trusted", 12, 0)]
-    news = " (产品发布 OR 新版本 OR 解决方案 OR 客户落地 OR 中标 OR 技术突破 OR 专利 OR 标准)"
-    capital = " (融资 OR 投资 OR 并购 OR 收购 OR 上市 OR 营收 OR 战略 OR 组织调整)"
-    own = " (news OR 新闻 OR 发布 OR 产品 OR 技术 OR 客户 OR 融资 OR 投资 OR 并购)"
+    news = vocab.TAIL_COMPANY_NEWS
+    capital = vocab.TAIL_COMPANY_CAPITAL
+    own = vocab.TAIL_COMPANY_SITE
     sited = named.where(F.col("_site").isNotNull())
     return [
         ask(named, "企业:", news, "news", 3, "basic", "trusted", 10, 0),
@@ -111,7 +111,7 @@ def _sites(sources: DataFrame, policy: urls.TrustPolicy) -> DataFrame:
     usable = sources.where(F.col("enabled") & urls.is_public_url("url")).withColumn("_host", urls.host_of("url"))
     hosts = usable.groupBy("workspace", "_host").agg(F.min("ordinal").alias("_first"))
     trusted = hosts.where(policy.is_trusted(F.concat(F.lit("https://"), "_host")))
-    query = F.concat(F.lit("site:"), "_host", F.lit(" (news OR research OR product OR solution OR 新闻 OR 研究 OR 产品)"))
+    query = F.concat(F.lit("site:"), "_host", F.lit(vocab.TAIL_SITE))
     return trusted.select(*_question(
         vocab.LANE_SITE, F.concat(F.lit("网站:"), "_host"), query, "general", "basic", "trusted", 10,
         [F.lit(4), F.col("_first"), F.lit(0)], domains=F.array("_host"),
