@@ -32,7 +32,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: the one with the smallest id."""
+    """One document of each group of similar ones: the one with the smallest id.
+
+    Rows that repeat an id are one document and stay together; rows without an id can't be named and go.
+    """
     first = jaccard_join.similar_components(docs).where("id = component_id").select("id").distinct()
     return docs.join(first, docs["doc_id"] == first["id"], "left_semi").select(*COLUMNS)
 
