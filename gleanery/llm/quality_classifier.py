@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from gleanery.llm import words as W
 
 BITS = 18
-TRAIN = 10_000
+TRAIN = 5_000
 EPOCHS = 12
 RATE = 3.0
 DECAY = 1e-6
@@ -187,11 +187,13 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     sample = texts.join(F.broadcast(rated), "id").select("id", "grade", "text").mapInArrow(
         _sparse(), "id bigint, grade bigint, index array<int>, value array<float>").toArrow()
     order = np.lexsort((sample["grade"].to_numpy(), sample["id"].to_numpy()))
-    index, value = sample["index"].combine_chunks(), sample["value"].combine_chunks()
-    rows = [(index[int(k)].values.to_numpy().astype(np.int64), value[int(k)].values.to_numpy()) for k in order] if len(order) else []
-    grades = sample["grade"].to_numpy()[order].astype(np.int64)
-    if not len(rows):
+    if not len(order):
         return Ordinal(np.zeros(1 << BITS, np.float32), np.full(GRADES - 1, -60.0))
+    grades = sample["grade"].to_numpy()[order].astype(np.int64)
+    index, value = sample["index"].combine_chunks(), sample["value"].combine_chunks()
+    del sample
+    edge, keys, values = index.offsets.to_numpy(), index.values.to_numpy(), value.values.to_numpy()
+    rows = [(keys[edge[k] : edge[k + 1]], values[edge[k] : edge[k + 1]]) for k in order]  # views, not copies
     return fit(rows, grades)
 
 
