@@ -1,26 +1,30 @@
 """Language-model scores: a log-bilinear neural model trained with noise-contrastive estimation.
 
 Tokens are words in lower case (A-Z) and one end mark per text.  The base score is the add-one unigram model over all training
-tokens.  The log-bilinear model has the ``VOCABULARY - 2`` most frequent words, the end mark and one symbol for all other
-words: the vectors of the two tokens before, each times a matrix of its place, sum to a prediction; its products with the target
-vectors plus a bias are normalised over the vocabulary.  A word outside the vocabulary takes the symbol's probability times its
-share of the base model among such words, so the scores are probabilities over all texts.
+tokens.  The log-bilinear model has every word that occurs at least ``LEAST`` times in the training texts, the end mark and one
+symbol for all rarer words: the vectors of the two tokens before, each times a matrix of its place, sum to a prediction.  The
+output has two levels.  Numbers are given by falling frequency and n of them are cut into classes of about sqrt(n) numbers;
+P(token | before) = P(class | before) P(token | class, before), each from products of the prediction with vectors plus biases,
+so that normalising a token takes about 2 sqrt(n) products.  A word outside the vocabulary takes the symbol's probability times
+its share of the base model among such words, so the scores are probabilities over all texts.
 
 Work on the cluster:
 1. Documents are dealt into buckets of bounded size by a hash of their ids.  A bucket sends one row per distinct word with its
    count in training texts; counts are added up per word over the whole corpus.
-2. Every task reduces its training texts to counts of (two tokens before, token).  There are at most VOCABULARY**3 of these,
-   whatever the size of the corpus.  They are dealt to a fixed number of parts; in each round every part trains on its counts
-   by NCE from the same start, and the weighted mean of the parts is the next start.
-3. A bucket's documents meet the counts of just the words of that bucket.  Normalising constants are computed once per process
-   for each pair of preceding tokens by batched matrix products.
+2. Every task reduces its training texts to counts of (two tokens before, token).  They are dealt to parts of about
+   ``PART_GRAMS`` rows; in each round every part trains on its counts by NCE from the same start.  A part sends the vectors it
+   touched in slices of rows; the next start is, row by row, their mean weighted by how often each part touched the row.
+3. A bucket's documents meet the counts of just the words of that bucket.  Tokens are normalised class by class in matrix
+   products of bounded size.
 
+The vocabulary and the model (``2 * SIZE + 1`` numbers a word) grow with the words of the corpus, and every worker holds one.
 A null text is an empty one: it has the end mark alone.  Repeated rows are scored each for itself, and count each in training.
 Extra columns are not read.  Words are held by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,14 +35,23 @@ from pyspark.sql import functions as F
 from gleanery.llm import words as W
 from gleanery.session import stored
 
-VOCABULARY = 512
+# Base of the numbers of (two before, one before, token) where they are packed into one.
+VOCABULARY = 1 << 21
+# Training occurrences of a word with a vector of its own.
+LEAST = 5
 SIZE = 24
 NOISE = 64
-PARTS = 12
+# Noise words per token, drawn in the token's class.
+WITHIN = 5
+PART_GRAMS = 1 << 20
+# Rows of the model that are averaged in one task.
+SLICE = 1 << 13
 ROUNDS = 2
 EPOCHS = 2
 BATCH = 2048
 RATE = 0.1
+# Adagrad's sum of squares at the start.
+START = 1e-8
 LEAST_STEPS = 100
 BUCKET_BYTES = 8 << 20
 # Characters of training texts counted together.
@@ -85,8 +98,8 @@ def _numbers(tokens: np.ndarray, keys: np.ndarray, number: np.ndarray) -> np.nda
     return np.where(keys[at] == tokens, number[at], OTHER)
 
 
-def _contexts(ids: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """The two numbers before each token as one number; the end mark stands before a text."""
+def _contexts(ids: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number two and the number one before each token; the end mark stands before a text."""
     one, two = np.empty_like(ids), np.empty_like(ids)
     one[1:], two[2:] = ids[:-1], ids[:-2]
     starts = edge[:-1]
@@ -94,11 +107,11 @@ def _contexts(ids: np.ndarray, edge: np.ndarray) -> np.ndarray:
     two[starts] = END
     second = starts[np.diff(edge) > 1] + 1
     two[second] = END
-    return two * VOCABULARY + one
+    return two, one
 
 
 def _grams(vocabulary) -> Callable:
-    schema = pa.schema([("gram", pa.int64()), ("times", pa.int64())])
+    schema = pa.schema([("two", pa.int32()), ("one", pa.int32()), ("token", pa.int32()), ("times", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, number = vocabulary.value
@@ -110,86 +123,159 @@ def _grams(vocabulary) -> Callable:
                     held += len(texts[to])
                     to += 1
                 tokens, edge = _tokens(texts[at:to])
-                ids = _numbers(tokens, keys, number).astype(np.int64)
-                gram, times = np.unique(_contexts(ids, edge) * VOCABULARY + ids, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(times.astype(np.int64))], schema=schema)
+                ids = _numbers(tokens, keys, number).astype(np.int32)
+                gram = np.stack((*_contexts(ids, edge), ids))
+                gram = gram[:, np.lexsort(gram[::-1])]
+                first = np.flatnonzero(np.append(True, (gram[:, 1:] != gram[:, :-1]).any(0)))
+                times = np.diff(np.append(first, gram.shape[1]))
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(g[first])) for g in gram], pa.array(times.astype(np.int64))], schema=schema)
                 at = to
 
     return run
 
 
+def _chance(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(-x, -30, 30)))
+
+
+def _log_sums(r: np.ndarray, target: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Log of the sum over all targets of the exponential of product plus bias, for each row."""
+    out, ones = np.empty(len(r), np.float32), np.ones(len(bias), np.float32)
+    for x in range(0, len(r), 1 << 11):
+        s = r[x : x + (1 << 11)] @ target.T
+        s += bias
+        if -60 < s.min() and s.max() < 60:
+            out[x : x + len(s)] = np.log(np.exp(s, out=s) @ ones)
+        else:
+            top = s.max(1)
+            out[x : x + len(s)] = np.log(np.exp(s - top[:, None]) @ ones) + top
+    return out
+
+
 class LogBilinear:
-    """Vectors of preceding tokens, matrices of their places, target vectors and biases."""
+    """Vectors of preceding tokens, matrices of their places, and target vectors and biases of tokens and of their classes."""
 
-    NAMES = ("before", "near", "far", "target", "bias")
+    NAMES = ("before", "near", "far", "target", "bias", "class_target", "class_bias")
 
     def __init__(self, **arrays: np.ndarray):
         self.__dict__.update(arrays)
+        self.width = self.shapes(len(self.bias))[0]
+        # How often training touched each row, as context and as target or noise.
+        self.used = np.zeros((2, len(self.bias)), np.float32)
+
+    @staticmethod
+    def shapes(n: int) -> tuple[int, tuple]:
+        """Numbers in a class, and the shape of every array."""
+        width = math.isqrt(n - 1) + 1
+        classes = -(-n // width)
+        return width, ((n, SIZE), (SIZE, SIZE), (SIZE, SIZE), (n, SIZE), (n,), (classes, SIZE), (classes,))
 
     @classmethod
     def start(cls, unigram: np.ndarray) -> LogBilinear:
         rng = np.random.default_rng(5)
         small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-        return cls(before=small(len(unigram), SIZE), near=np.eye(SIZE, dtype=np.float32), far=0.5 * np.eye(SIZE, dtype=np.float32),
-                   target=small(len(unigram), SIZE), bias=np.log(unigram).astype(np.float32))
-
-    def predicted(self, context: np.ndarray) -> np.ndarray:
-        two, one = np.divmod(context, VOCABULARY)
-        return self.before[one] @ self.near + self.before[two] @ self.far
+        n = len(unigram)
+        width = cls.shapes(n)[0]
+        mass = np.add.reduceat(unigram, np.arange(0, n, width))
+        return cls(before=small(n, SIZE), near=np.eye(SIZE, dtype=np.float32), far=0.5 * np.eye(SIZE, dtype=np.float32),
+                   target=small(n, SIZE), bias=(np.log(unigram) - np.log(mass)[np.arange(n) // width]).astype(np.float32),
+                   class_target=small(len(mass), SIZE), class_bias=np.log(mass).astype(np.float32))
 
     def train(self, gram: np.ndarray, times: np.ndarray, unigram: np.ndarray, epochs: int, seed: int) -> None:
-        """NCE with NOISE samples shared by a batch; batches are drawn by how often (context, token) occurs."""
-        rng = np.random.default_rng(seed)
+        """``learn`` from packed numbers."""
         context, token = np.divmod(gram, VOCABULARY)
-        log_noise = (np.log(unigram) + np.log(NOISE)).astype(np.float32)
-        seen = {name: np.full_like(getattr(self, name), 1e-2) for name in self.NAMES}
-        reach = np.cumsum(times)
-        for _ in range(max(LEAST_STEPS, epochs * -(-len(gram) // BATCH))):
-            some = np.searchsorted(reach, rng.integers(0, reach[-1], BATCH), "right")
-            weight = np.float32(1 / BATCH)
-            two, one = np.divmod(context[some], VOCABULARY)
-            y = token[some]
-            noise = rng.choice(len(unigram), NOISE, p=unigram)
-            r1, r2 = self.before[one], self.before[two]
-            r = r1 @ self.near + r2 @ self.far
-            q, qn = self.target[y], self.target[noise]
-            good = 1 / (1 + np.exp(np.clip(log_noise[y] - (r * q).sum(1) - self.bias[y], -30, 30)))
-            bad = 1 / (1 + np.exp(np.clip(log_noise[noise][None, :] - r @ qn.T - self.bias[noise][None, :], -30, 30)))
-            g = (good - 1) * weight
-            b = bad * weight
-            d_r = g[:, None] * q + b @ qn
-            grads = {name: np.zeros_like(getattr(self, name)) for name in self.NAMES}
-            np.add.at(grads["target"], y, g[:, None] * r)
-            np.add.at(grads["target"], noise, b.T @ r)
-            np.add.at(grads["bias"], y, g)
-            np.add.at(grads["bias"], noise, b.sum(0))
-            np.add.at(grads["before"], one, d_r @ self.near.T)
-            np.add.at(grads["before"], two, d_r @ self.far.T)
-            grads["near"], grads["far"] = r1.T @ d_r, r2.T @ d_r
-            for name, value in grads.items():
-                seen[name] += value * value
-                getattr(self, name)[...] -= RATE * value / np.sqrt(seen[name])
-
-    def normalisers(self) -> np.ndarray:
-        """Log of the sum over the vocabulary for every pair of preceding tokens."""
-        if "_z" not in self.__dict__:
-            n = len(self.bias)
-            near, far = self.before @ self.near, self.before @ self.far
-            out = np.full(VOCABULARY * VOCABULARY, np.nan, np.float32)
-            for two in range(n):
-                s = (near + far[two]) @ self.target.T + self.bias
-                top = s.max(1, keepdims=True)
-                out[two * VOCABULARY : two * VOCABULARY + n] = np.log(np.exp(s - top).sum(1)) + top[:, 0]
-            self._z = out
-        return self._z
+        self.learn(*np.divmod(context, VOCABULARY), token, times, unigram, epochs, seed)
+
+    def learn(self, two: np.ndarray, one: np.ndarray, token: np.ndarray, times: np.ndarray, unigram: np.ndarray, epochs: int, seed: int) -> None:
+        """NCE of the class with NOISE samples shared by a batch, and of the token with WITHIN samples shared by the tokens of
+        its class in the batch; batches are drawn by how often (context, token) occurs."""
+        rng = np.random.default_rng(seed)
+        order = np.argsort(token, kind="stable")
+        two, one, token, times = two[order], one[order], token[order], times[order]
+        n, width = len(unigram), self.width
+        mass = np.add.reduceat(unigram, np.arange(0, n, width))
+        low, reach_word = np.append(0.0, np.cumsum(unigram))[np.arange(0, n, width)], np.cumsum(unigram)
+        log_word = (np.log(unigram) - np.log(mass)[np.arange(n) // width] + np.log(WITHIN)).astype(np.float32)
+        log_class = (np.log(mass) + np.log(NOISE)).astype(np.float32)
+        reach_class, reach = np.cumsum(mass), np.cumsum(times)
+        seen = {name: np.full_like(getattr(self, name), START) for name in self.NAMES}
+
+        def step(name: str, rows: np.ndarray, grads: np.ndarray) -> None:
+            """Adagrad on different rows."""
+            total = seen[name][rows]
+            total += grads * grads
+            seen[name][rows] = total
+            grads = RATE * grads
+            grads /= np.sqrt(total)
+            getattr(self, name)[rows] -= grads
+
+        def edges(ordered: np.ndarray) -> np.ndarray:
+            return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+
+        def added(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Rows without repeats, the sums of their gradients, and how often each was there."""
+            by = np.argsort(rows)
+            rows = rows[by]
+            first = edges(rows)
+            return rows[first], np.add.reduceat(grads[by], first), np.diff(np.append(first, len(rows)))
+
+        weight = np.float32(1 / BATCH)
+        for _ in range(max(LEAST_STEPS, epochs * -(-len(token) // BATCH))):
+            # In order of the tokens, hence of the classes.
+            some = np.searchsorted(reach, np.sort(rng.integers(0, reach[-1], BATCH)), "right")
+            r1, r2, y = one[some], two[some], token[some]
+            k = y // width
+            start, y_start = edges(k), edges(y)
+            size, here = np.diff(np.append(start, BATCH)), k[start]
+            other = np.minimum(np.searchsorted(reach_class, rng.random(NOISE) * reach_class[-1], "right"), len(mass) - 1)
+            drawn = np.searchsorted(reach_word, low[here][:, None] + rng.random((len(here), WITHIN)) * mass[here][:, None], "right")
+            drawn = np.clip(drawn, (here * width)[:, None], np.minimum((here + 1) * width, n)[:, None] - 1)
+            b1, b2 = self.before[r1], self.before[r2]
+            r = b1 @ self.near + b2 @ self.far
+            q, qn, t = self.class_target[k], self.class_target[other], self.target[y]
+            tn = np.repeat(self.target[drawn], size, 0)
+            g = (_chance(np.einsum("bd,bd->b", r, q) + self.class_bias[k] - log_class[k]) - 1) * weight
+            b = _chance(r @ qn.T + (self.class_bias[other] - log_class[other])) * weight
+            w = (_chance(np.einsum("bd,bd->b", r, t) + (self.bias[y] - log_word[y])) - 1) * weight
+            v = _chance(np.einsum("bd,bkd->bk", r, tn) + np.repeat(self.bias[drawn] - log_word[drawn], size, 0)) * weight
+            d_r = g[:, None] * q + b @ qn + w[:, None] * t + np.einsum("bk,bkd->bd", v, tn)
+            # The last column is the gradient of the bias.
+            r = np.concatenate((r, np.ones((BATCH, 1), np.float32)), 1)
+            by_class = np.add.reduceat((v[:, :, None] * r[:, None, :]).reshape(BATCH, -1), start).reshape(-1, SIZE + 1)
+            rows, grads, _ = added(np.append(y[y_start], drawn.ravel()), np.concatenate((np.add.reduceat(w[:, None] * r, y_start), by_class)))
+            step("target", rows, grads[:, :-1])
+            step("bias", rows, grads[:, -1])
+            rows, grads, _ = added(np.append(here, other), np.concatenate((np.add.reduceat(g[:, None] * r, start), b.T @ r)))
+            step("class_target", rows, grads[:, :-1])
+            step("class_bias", rows, grads[:, -1])
+            near, far = b1.T @ d_r, b2.T @ d_r
+            rows, grads, uses = added(np.append(r1, r2), np.concatenate((d_r @ self.near.T, d_r @ self.far.T)))
+            step("before", rows, grads)
+            step("near", slice(None), near)
+            step("far", slice(None), far)
+            self.used[0, rows] += uses
+            np.add.at(self.used[1], y, np.float32(1))
+            np.add.at(self.used[1], drawn.ravel(), np.repeat(size, WITHIN).astype(np.float32))
 
     def log_probabilities(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """Natural log of P(token | context), worked in slices of bounded size."""
+        """``log_p`` of packed contexts."""
+        return self.log_p(*np.divmod(context, VOCABULARY), token)
+
+    def log_p(self, two: np.ndarray, one: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Natural log of P(token | two, one before), worked in slices of bounded size."""
         out = np.empty(len(token))
-        z = self.normalisers()
         for at in range(0, len(token), 1 << 17):
-            c, t = context[at : at + (1 << 17)], token[at : at + (1 << 17)]
-            out[at : at + len(c)] = np.einsum("ij,ij->i", self.predicted(c), self.target[t]) + self.bias[t] - z[c]
+            t = token[at : at + (1 << 17)]
+            r = self.before[one[at : at + len(t)]] @ self.near + self.before[two[at : at + len(t)]] @ self.far
+            k = t // self.width
+            p = np.einsum("ij,ij->i", r, self.class_target[k] + self.target[t]) + self.class_bias[k] + self.bias[t]
+            p -= _log_sums(r, self.class_target, self.class_bias)
+            order = np.argsort(k, kind="stable")
+            edge = np.searchsorted(k[order], np.arange(len(self.class_bias) + 1))
+            for c in np.flatnonzero(np.diff(edge)):
+                some, mine = order[edge[c] : edge[c + 1]], slice(c * self.width, (c + 1) * self.width)
+                p[some] -= _log_sums(r[some], self.target[mine], self.bias[mine])
+            out[at : at + len(t)] = p
         return out
 
     def packed(self) -> bytes:
@@ -198,52 +284,109 @@ class LogBilinear:
     @classmethod
     def unpacked(cls, data: bytes, n: int) -> LogBilinear:
         flat, out, at = np.frombuffer(data, np.float32), {}, 0
-        for name, shape in zip(cls.NAMES, ((n, SIZE), (SIZE, SIZE), (SIZE, SIZE), (n, SIZE), (n,))):
+        for name, shape in zip(cls.NAMES, cls.shapes(n)[1]):
             size = int(np.prod(shape))
             out[name] = flat[at : at + size].reshape(shape).copy()
             at += size
         return cls(**out)
 
 
-def _train_part(model, unigram: np.ndarray, n: int, turn: int) -> Callable:
+ROWS = "slice long, part long, at binary, used binary, value binary"
+SHARED = ("near", "far", "class_target", "class_bias")
+
+
+def _train_part(model, unigram, n: int, turn: int) -> Callable:
+    """The rows of the model that one part touched, in slices; slice -1 has the arrays that all tokens share."""
     def run(key: tuple, table: pa.Table) -> pa.Table:
         # A fixed order makes the part independent of how its rows arrived.
-        gram, times = table["gram"].to_numpy(), table["times"].to_numpy()
-        order = np.argsort(gram)
-        own = LogBilinear.unpacked(model.value, n)
-        own.train(gram[order], times[order], unigram, EPOCHS, 100 * turn + key[0].as_py())
-        return pa.table({"weights": pa.array([own.packed()], pa.binary()), "rows": pa.array([int(times.sum())], pa.int64())})
+        two, one, token, times = (table[c].to_numpy().astype(np.int64) for c in ("two", "one", "token", "times"))
+        order = np.lexsort((token, one, two))
+        own, part = LogBilinear.unpacked(model.value, n), key[0].as_py()
+        own.learn(two[order], one[order], token[order], times[order], unigram.value, EPOCHS, 1_000_003 * turn + part)
+        shared = np.concatenate([getattr(own, name).ravel() for name in SHARED])
+        out = [(-1, part, b"", np.float32(times.sum()).tobytes(), shared.tobytes())]
+        for first in range(0, n, SLICE):
+            used = own.used[:, first : first + SLICE]
+            at = np.flatnonzero(used.any(0))
+            if len(at):
+                value = np.concatenate((own.before[first + at], own.target[first + at], own.bias[first + at, None]), 1)
+                out.append((first // SLICE, part, at.astype(np.int32).tobytes(), np.ascontiguousarray(used[:, at]).tobytes(), value.tobytes()))
+        return pa.table([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
+                        names=["slice", "part", "at", "used", "value"])
 
     return run
 
 
-def train(texts: DataFrame, words: DataFrame) -> tuple[np.ndarray, np.ndarray, LogBilinear, np.ndarray]:
-    """(sorted word keys, their numbers, model, unigram) from training texts and the total counts of words."""
+def _mean(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weighted mean of one slice over the parts, which arrive one at a time; at binary has the rows that any part touched."""
+    number = key[0].as_py()
+    total, used = None, None
+    for batch in batches:
+        for at, weights, value in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+            value, weights = np.frombuffer(value, np.float32).astype(np.float64), np.frombuffer(weights, np.float32).astype(np.float64)
+            if number < 0:
+                total, used = (0 if total is None else total) + weights * value, (0 if used is None else used) + weights
+                continue
+            if total is None:
+                total, used = np.zeros((SLICE, 2 * SIZE + 1)), np.zeros((2, SLICE))
+            at, weights = np.frombuffer(at, np.int32), weights.reshape(2, -1)
+            value = value.reshape(-1, 2 * SIZE + 1)
+            total[at, :SIZE] += weights[0][:, None] * value[:, :SIZE]
+            total[at, SIZE:] += weights[1][:, None] * value[:, SIZE:]
+            used[:, at] += weights
+    if number < 0:
+        at, value = b"", total / used
+    else:
+        value = np.concatenate((total[:, :SIZE] / np.maximum(used[0], 1)[:, None], total[:, SIZE:] / np.maximum(used[1], 1)[:, None]), 1)
+        at = (used > 0).astype(np.int8).tobytes()
+    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([at], pa.binary()), pa.array([value.astype(np.float32).tobytes()], pa.binary())],
+                                     names=["slice", "at", "value"])
+
+
+def _next_start(model: LogBilinear, rows: pa.Table) -> None:
+    """Puts the means into the model; rows that no part touched stay."""
+    for number, at, value in zip(*(rows[c].to_pylist() for c in ("slice", "at", "value"))):
+        value = np.frombuffer(value, np.float32)
+        if number < 0:
+            for name in SHARED:
+                held = getattr(model, name)
+                held[...], value = value[: held.size].reshape(held.shape), value[held.size :]
+            continue
+        context, target = np.frombuffer(at, np.int8).reshape(2, -1) > 0
+        value, first = value.reshape(-1, 2 * SIZE + 1), number * SLICE
+        context, target = np.flatnonzero(context), np.flatnonzero(target)
+        model.before[first + context] = value[context, :SIZE]
+        model.target[first + target], model.bias[first + target] = value[target, SIZE:-1], value[target, -1]
+
+
+def train(texts: DataFrame, words: DataFrame, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, LogBilinear, np.ndarray, np.ndarray]:
+    """(sorted word keys, their numbers, model, unigram, totals of the keys) from training texts and the total counts of words."""
     spark = texts.sparkSession
-    top = words.where(F.col("word") != int(END_KEY)).where("total > 0").orderBy(F.desc("total"), "word").limit(VOCABULARY - 2).toArrow()
-    keys = np.array([int(END_KEY), *top["word"].to_pylist()], np.int64)
-    number = np.array([END, *range(2, len(keys) + 1)], np.int64)
+    top = words.where(F.col("word") != int(END_KEY)).where(F.col("total") >= least).orderBy(F.desc("total"), "word").toArrow()
+    ends, rare = words.agg(
+        F.coalesce(F.sum(F.when(F.col("word") == int(END_KEY), F.col("total"))), F.lit(0)),
+        F.coalesce(F.sum(F.when((F.col("word") != int(END_KEY)) & (F.col("total") < least), F.col("total"))), F.lit(0))).first()
+    total = top["total"].to_numpy()
+    keys = np.append(int(END_KEY), top["word"].to_numpy())
+    number = np.append(END, np.arange(2, len(keys) + 1)).astype(np.int32)
+    count = np.concatenate(([ends, rare], total)) + 1.0
     order = np.argsort(keys)
     keys, number = keys[order], number[order]
-    n = len(keys) + 1
+    n = len(count)
     grams = stored(
-        texts.mapInArrow(_grams(spark.sparkContext.broadcast((keys, number))), "gram bigint, times bigint").groupBy("gram")
+        texts.mapInArrow(_grams(spark.sparkContext.broadcast((keys, number))), "two int, one int, token int, times bigint").groupBy("two", "one", "token")
         .agg(F.sum("times").alias("times")), "grams")
-    by_token = grams.groupBy((F.col("gram") % VOCABULARY).alias("token")).agg(F.sum("times").alias("times")).toArrow()
-    count = np.ones(n)
-    count[by_token["token"].to_numpy()] += by_token["times"].to_numpy()
+    parts = max(1, -(-grams.count() // PART_GRAMS))
     unigram = count / count.sum()
     model = LogBilinear.start(unigram)
+    noise = spark.sparkContext.broadcast(unigram)
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(model.packed())
-        parts = grams.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(PARTS))).groupBy("part").applyInArrow(
-            _train_part(start, unigram, n, turn), "weights binary, rows bigint").orderBy("rows", "weights").toArrow()
-        if not len(parts):
-            break
-        share = parts["rows"].to_numpy() / parts["rows"].to_numpy().sum()
-        mean = sum(s * np.frombuffer(w, np.float32).astype(np.float64) for s, w in zip(share, parts["weights"].to_pylist()))
-        model = LogBilinear.unpacked(mean.astype(np.float32).tobytes(), n)
-    return keys, number, model, unigram
+        trained = stored(grams.withColumn("part", F.pmod(F.xxhash64("two", "one", "token"), F.lit(parts))).groupBy("part").applyInArrow(
+            _train_part(start, noise, n, turn), ROWS), "model-parts")
+        means = trained.groupBy("slice").applyInArrow(_mean, "slice long, at binary, value binary").toArrow()
+        _next_start(model, means)
+    return keys, number, model, unigram, np.append(ends, total)
 
 
 _models: dict[int, LogBilinear] = {}
@@ -267,8 +410,7 @@ def _scorer(held, trained_tokens: int, distinct: int) -> Callable:
         c = total[np.searchsorted(word, tokens)] if len(word) else np.zeros(len(tokens), np.int64)
         base = np.log10((c + 1) / (trained_tokens + distinct + 1))
         ids = _numbers(tokens, keys, number).astype(np.int64)
-        context = _contexts(ids, edge)
-        score = model.log_probabilities(context, ids) / np.log(10)
+        score = model.log_p(*_contexts(ids, edge), ids) / np.log(10)
         # Words outside the vocabulary share its symbol's probability in proportion to the base model.
         score += np.where(ids == OTHER, np.log10((c + 1) / other_mass), 0.0)
         at = edge[:-1]
@@ -293,8 +435,8 @@ def scored(docs: DataFrame, teaches: Column, id_column: str = "doc_id", text_col
         .groupBy("bucket", "word").agg(F.sum("times").alias("times")), "bucket-words")
     words = stored(per_bucket.groupBy("word").agg(F.sum("times").alias("total")), "words")
     trained, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum((F.col("total") > 0).cast("bigint")), F.lit(0))).first()
-    keys, number, model, _ = train(rows.where("teaches").select("text"), words)
-    known = words.where(F.col("word").isin([int(k) for k in keys])).agg(F.coalesce(F.sum(F.col("total") + 1), F.lit(0))).first()[0]
+    keys, number, model, _, totals = train(rows.where("teaches").select("text"), words)
+    known = int((totals + 1).sum())
     # Base mass of all words outside the vocabulary and of one unseen word.
     other_mass = float(trained + distinct + 1 - known) if trained else 1.0
     held = spark.sparkContext.broadcast((keys, number, model.packed(), len(keys) + 1, max(1.0, other_mass)))

@@ -434,6 +434,21 @@ def test_log_bilinear_probabilities_sum_to_one_and_learn():
     assert (again.target == model.target).all()
 
 
+def test_vocabulary_follows_the_data(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PART_GRAMS", 500)
+    rows = [(k, " ".join(f"w{(15 * k + j) % 900}" for j in range(300)) + f" rare{k}", "en", "s", 1) for k in range(60)]
+    docs = spark.createDataFrame(rows, DOCS)
+    totals = spark.createDataFrame([(int(w), int(c)) for w, c in zip(*np.unique(lm_scoring._tokens([r[1] for r in rows])[0], return_counts=True))],
+                                   "word bigint, total bigint")
+    keys, number, model, unigram, _ = lm_scoring.train(docs.select("text"), totals)
+    assert len(keys) == 901 and sorted(number) == [0, *range(2, 902)] and unigram.sum() == pytest.approx(1)
+    for before in (5, 700):
+        p = np.exp(model.log_p(np.full(902, before), np.full(902, before + 1), np.arange(902)))
+        assert p.sum() == pytest.approx(1, abs=1e-3)
+    got = lm_scoring.scored(docs, F.col("doc_id") < 50).where("id >= 50").agg(F.sum("base_score"), F.sum("score")).first()
+    assert got[1] > 0.9 * got[0]
+
+
 # pipeline
 
 
