@@ -11,8 +11,8 @@ its share of the base model among such words, so the scores are probabilities ov
 Work on the cluster:
 1. Documents are dealt into buckets of bounded size by a hash of their ids.  A bucket sends one row per distinct word with its
    count in training texts; counts are added up per word over the whole corpus.
-2. Every task reduces its training texts to counts of (two tokens before, token).  They are dealt to parts of about
-   ``PART_GRAMS`` rows; in each round every part trains on its counts by NCE from the same start.  A part sends the vectors it
+2. The n-grams (two tokens before, token) of the training texts are dealt to parts of about ``PART_GRAMS`` tokens and counted
+   there; in each round every part trains on its counts by NCE from the same start.  A part sends the vectors it
    touched in slices of rows; the next start is, row by row, their mean weighted by how often each part touched the row.
 3. A bucket's documents meet the counts of just the words of that bucket.  Tokens are normalised class by class in matrix
    products of bounded size.
@@ -41,8 +41,9 @@ VOCABULARY = 1 << 21
 LEAST = 5
 SIZE = 24
 NOISE = 64
-# Noise words per token, drawn in the token's class.
+# Noise words per token, drawn in the token's class, and tokens that share them.
 WITHIN = 5
+RUN = 4
 PART_GRAMS = 1 << 20
 # Rows of the model that are averaged in one task.
 SLICE = 1 << 13
@@ -110,8 +111,9 @@ def _contexts(ids: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return two, one
 
 
-def _grams(vocabulary) -> Callable:
-    schema = pa.schema([("two", pa.int32()), ("one", pa.int32()), ("token", pa.int32()), ("times", pa.int64())])
+def _dealt(vocabulary, parts: int) -> Callable:
+    """(two before, one before, token) of all tokens of the training texts, packed in one row per part and run of texts."""
+    schema = pa.schema([("part", pa.int64()), ("grams", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, number = vocabulary.value
@@ -125,15 +127,28 @@ def _grams(vocabulary) -> Callable:
                 tokens, edge = _tokens(texts[at:to])
                 ids = _numbers(tokens, keys, number).astype(np.int32)
                 gram = np.stack((*_contexts(ids, edge), ids))
-                gram = gram[:, np.lexsort(gram[::-1])]
-                first = np.flatnonzero(np.append(True, (gram[:, 1:] != gram[:, :-1]).any(0)))
-                times = np.diff(np.append(first, gram.shape[1]))
-                yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(g[first])) for g in gram], pa.array(times.astype(np.int64))], schema=schema)
+                with np.errstate(over="ignore"):
+                    part = W.mix((gram.astype(np.uint64) * W.STEP[:3, None]).sum(0)) % W.U64(parts)
+                order = np.argsort(part, kind="stable")
+                bound = np.searchsorted(part[order], np.arange(parts + 1))
+                some = np.flatnonzero(np.diff(bound))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(some), pa.array([gram[:, order[bound[k] : bound[k + 1]]].tobytes() for k in some], pa.binary())], schema=schema)
                 at = to
 
     return run
 
 
+def _counted(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different n-grams of one part in a fixed order, whatever the order of arrival, with their counts, packed in one row."""
+    gram = np.concatenate([np.frombuffer(g, np.int32).reshape(3, -1) for batch in batches for g in batch.column(1).to_pylist()], 1)
+    gram = gram[:, np.lexsort(gram)]
+    first = np.flatnonzero(np.append(True, (gram[:, 1:] != gram[:, :-1]).any(0)))
+    times = np.diff(np.append(first, gram.shape[1])).astype(np.int32)
+    packed = np.concatenate((gram[:, first], times[None, :])).tobytes()
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([packed], pa.binary())], names=["part", "grams"])
+
+
 def _chance(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(-x, -30, 30)))
 
@@ -187,8 +202,8 @@ class LogBilinear:
         self.learn(*np.divmod(context, VOCABULARY), token, times, unigram, epochs, seed)
 
     def learn(self, two: np.ndarray, one: np.ndarray, token: np.ndarray, times: np.ndarray, unigram: np.ndarray, epochs: int, seed: int) -> None:
-        """NCE of the class with NOISE samples shared by a batch, and of the token with WITHIN samples shared by the tokens of
-        its class in the batch; batches are drawn by how often (context, token) occurs."""
+        """NCE of the class with NOISE samples shared by a batch, and of the token with WITHIN samples of its class shared
+        by up to RUN tokens of the class in the batch; batches are drawn by how often (context, token) occurs."""
         rng = np.random.default_rng(seed)
         order = np.argsort(token, kind="stable")
         two, one, token, times = two[order], one[order], token[order], times[order]
@@ -226,6 +241,7 @@ class LogBilinear:
             r1, r2, y = one[some], two[some], token[some]
             k = y // width
             start, y_start = edges(k), edges(y)
+            start = np.flatnonzero((np.arange(BATCH) - np.repeat(start, np.diff(np.append(start, BATCH)))) % RUN == 0)
             size, here = np.diff(np.append(start, BATCH)), k[start]
             other = np.minimum(np.searchsorted(reach_class, rng.random(NOISE) * reach_class[-1], "right"), len(mass) - 1)
             drawn = np.searchsorted(reach_word, low[here][:, None] + rng.random((len(here), WITHIN)) * mass[here][:, None], "right")
@@ -295,24 +311,25 @@ ROWS = "slice long, part long, at binary, used binary, value binary"
 SHARED = ("near", "far", "class_target", "class_bias")
 
 
-def _train_part(model, unigram, n: int, turn: int) -> Callable:
-    """The rows of the model that one part touched, in slices; slice -1 has the arrays that all tokens share."""
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        # A fixed order makes the part independent of how its rows arrived.
-        two, one, token, times = (table[c].to_numpy().astype(np.int64) for c in ("two", "one", "token", "times"))
-        order = np.lexsort((token, one, two))
-        own, part = LogBilinear.unpacked(model.value, n), key[0].as_py()
-        own.learn(two[order], one[order], token[order], times[order], unigram.value, EPOCHS, 1_000_003 * turn + part)
-        shared = np.concatenate([getattr(own, name).ravel() for name in SHARED])
-        out = [(-1, part, b"", np.float32(times.sum()).tobytes(), shared.tobytes())]
-        for first in range(0, n, SLICE):
-            used = own.used[:, first : first + SLICE]
-            at = np.flatnonzero(used.any(0))
-            if len(at):
-                value = np.concatenate((own.before[first + at], own.target[first + at], own.bias[first + at, None]), 1)
-                out.append((first // SLICE, part, at.astype(np.int32).tobytes(), np.ascontiguousarray(used[:, at]).tobytes(), value.tobytes()))
-        return pa.table([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
-                        names=["slice", "part", "at", "used", "value"])
+def _train_parts(model, unigram, n: int, turn: int) -> Callable:
+    """The rows of the model that each part touched, in slices; slice -1 has the arrays that all tokens share."""
+    schema = pa.schema([("slice", pa.int64()), ("part", pa.int64()), ("at", pa.binary()), ("used", pa.binary()), ("value", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                two, one, token, times = np.frombuffer(packed.as_buffer(), np.int32).reshape(4, -1).astype(np.int64)
+                own = LogBilinear.unpacked(model.value, n)
+                own.learn(two, one, token, times, unigram.value, EPOCHS, 1_000_003 * turn + part)
+                shared = np.concatenate([getattr(own, name).ravel() for name in SHARED])
+                out = [(-1, part, b"", np.float32(times.sum()).tobytes(), shared.tobytes())]
+                for first in range(0, n, SLICE):
+                    used = own.used[:, first : first + SLICE]
+                    at = np.flatnonzero(used.any(0))
+                    if len(at):
+                        value = np.concatenate((own.before[first + at], own.target[first + at], own.bias[first + at, None]), 1)
+                        out.append((first // SLICE, part, at.astype(np.int32).tobytes(), np.ascontiguousarray(used[:, at]).tobytes(), value.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return run
 
@@ -373,17 +390,17 @@ def train(texts: DataFrame, words: DataFrame, least: int = LEAST) -> tuple[np.nd
     order = np.argsort(keys)
     keys, number = keys[order], number[order]
     n = len(count)
+    parts = max(1, -(-int(count.sum()) // PART_GRAMS))
+    # Every part is one packed row.
     grams = stored(
-        texts.mapInArrow(_grams(spark.sparkContext.broadcast((keys, number))), "two int, one int, token int, times bigint").groupBy("two", "one", "token")
-        .agg(F.sum("times").alias("times")), "grams")
-    parts = max(1, -(-grams.count() // PART_GRAMS))
+        texts.mapInArrow(_dealt(spark.sparkContext.broadcast((keys, number)), parts), "part long, grams binary").groupBy("part")
+        .applyInArrow(_counted, "part long, grams binary"), "grams")
     unigram = count / count.sum()
     model = LogBilinear.start(unigram)
     noise = spark.sparkContext.broadcast(unigram)
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(model.packed())
-        trained = stored(grams.withColumn("part", F.pmod(F.xxhash64("two", "one", "token"), F.lit(parts))).groupBy("part").applyInArrow(
-            _train_part(start, noise, n, turn), ROWS), "model-parts")
+        trained = stored(grams.repartition(parts, "part").mapInArrow(_train_parts(start, noise, n, turn), ROWS), "model-parts")
         means = trained.groupBy("slice").applyInArrow(_mean, "slice long, at binary, value binary").toArrow()
         _next_start(model, means)
     return keys, number, model, unigram, np.append(ends, total)
