@@ -179,6 +179,22 @@ def test_classifier_separates_grades_and_keeps_rows(spark, nothing):
     assert all(r["_kept"] for r in quality_classifier.scored(df.where("doc_id < 3"), rated.limit(0)).collect())
 
 
+def test_few_toxic_words_count_in_long_texts(spark):
+    rng = random.Random(3)
+    docs, labels = [], []
+    for k in range(600):
+        text, toxic = prose(rng, 1200, 5000), k % 6 == 0
+        if toxic:
+            text[rng.randrange(1200)] = f"nasty{rng.randrange(8)}"
+        docs.append((k, " ".join(text), "en", "s", 1))
+        if k < 420:
+            labels.append((k, 1, int(toxic)))
+    df, rated = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    held = quality_classifier.scored(df, rated).where("doc_id >= 420").select("doc_id", "_p_top").collect()
+    toxic, good = ([r["_p_top"] for r in held if (r.doc_id % 6 == 0) == t] for t in (True, False))
+    assert np.mean([t < g for t in toxic for g in good]) > 0.75
+
+
 # 4 language
 
 
