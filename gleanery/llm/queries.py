@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gleanery.llm import (
-    decontamination, jaccard_join, language_id, line_dedup, lm_scoring, quality_classifier, quality_rules, sentencepiece_fst,
+    collocations, decontamination, jaccard_join, language_id, line_dedup, lm_scoring, quality_classifier, quality_rules, sentencepiece_fst,
     token_counts, token_output,
 )
 
@@ -125,6 +125,11 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query(collocations.SQL)
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
