@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gleanery.llm import (
-    chat_format, collocations, decontamination, jaccard_join, language_id, line_dedup, lm_scoring, quality_classifier, quality_rules, sentencepiece_fst,
-    token_counts, token_output,
+    chat_format, collocations, decontamination, jaccard_join, language_id, line_dedup, lm_scoring, prefix_trie, quality_classifier,
+    quality_rules, sentencepiece_fst, token_counts, token_output,
 )
 from gleanery.session import stored
 
@@ -131,6 +131,11 @@ def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
 
 
+@query(prefix_trie.SQL)
+def op12_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.shared_prefixes(table(spark, folder, "conversations"))
+
+
 @query(chat_format.SQL)
 def op13_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     told = "</s>[INST] ok [/INST]"
