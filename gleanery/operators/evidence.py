@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text, urls
 from gleanery.functions.binding import bind, let
-from gleanery.operators import merging
+from gleanery.operators.similarity import prefix_index
+from gleanery.session import stored
 
 SAME_PAGE, OTHER_PAGE, MIN_QUOTE = 0.82, 0.95, 24
 
@@ -89,41 +87,84 @@ def with_deduped(df: DataFrame, policy: urls.TrustPolicy, trusted_only: bool = F
     return reduced.withColumn("evidence", entries("details"))
 
 
-def _fold_citations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kept citations of each group; rows come sorted by group, strongest citation first."""
-    current, kept, schema = None, None, None
-    for batch in batches:
-        schema = batch.schema
-        for row in batch.to_pylist():
-            if row["g"] != current:
-                if kept:
-                    yield pa.RecordBatch.from_pylist(kept.rows, schema)
-                current, kept = row["g"], _Group()
-            kept.offer(row)
-    if kept:
-        yield pa.RecordBatch.from_pylist(kept.rows, schema)
+SMALL, STRONGEST, ROUNDS = 64, 32, 4
+
+
+def _pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Nodes that meet under the keys, each pair once."""
+    met = left.withColumnRenamed("node", "a").join(right.withColumnRenamed("node", "b"), keys)
+    return met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-class _Group(merging.Kept):
-    def __init__(self):
-        super().__init__()
-        self.rows: list[dict] = []
+def _conflicts(nodes: DataFrame) -> DataFrame:
+    """(strong, weak): citations of one group that repeat each other.
 
-    def offer(self, row: dict) -> None:
-        before = len(self.all)
-        super().offer({"page": row["d"]["page"], "key": row["d"]["key"], "set": frozenset(row["d"]["grams"])})
-        if len(self.all) > before:
-            self.rows.append(row)
+    Candidates share a rare bigram: similar ones by the prefix of their bigram sets, contained ones because the longer holds the
+    rarest bigram of the shorter.  Keys of less than two characters have no bigram and meet their whole page.
+    """
+    sets = nodes.select("node", "g", F.col("d.page").alias("page"), F.col("d.grams").alias("grams"), F.length("d.key").alias("_len"))
+    where = sets.select("node", "g", "page")
+    apart = prefix_index(sets.where(F.col("_len") >= MIN_QUOTE), OTHER_PAGE).drop("size").join(where, "node").select("node", "g", "gram")
+    close = prefix_index(sets, SAME_PAGE).drop("size").join(where, "node")
+    rarest = prefix_index(sets, 1.0).drop("size").join(where, "node")
+    every = sets.select("node", "g", "page", F.explode("grams").alias("gram"))
+    tiny = where.join(sets.where(F.size("grams") == 0).select("node"), "node", "left_semi")
+    pairs = (
+        _pairs(apart, apart, ["g", "gram"]).unionByName(_pairs(close, close, ["g", "page", "gram"]))
+        .unionByName(_pairs(rarest, every, ["g", "page", "gram"])).unionByName(_pairs(tiny, where, ["g", "page"])).distinct()
+    )
+    x, y = nodes.select(F.col("node").alias("a"), F.col("d").alias("da")), nodes.select(F.col("node").alias("b"), F.col("d").alias("db"))
+    met = pairs.join(x, "a").join(y, "b").where(_repeats(F.col("da"), F.col("db")))
+    first = F.struct("da", "a") < F.struct("db", "b")
+    return met.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("strong"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("weak"))
 
 
-def union(rows: DataFrame, group: str) -> DataFrame:
-    """(group, details): the de-duplicated citations of all rows of a group.
+def settle(conflicts: DataFrame) -> DataFrame:
+    """Nodes that go when conflicts are settled from the strongest node on: a node goes if a stronger one that stays repeats it.
 
-    Exact copies are combined before the shuffle.  The rest is dropped in order, strongest first, which is one pass over the
-    sorted citations of a group; the task holds the citations that stay, not the group.
+    Each round settles all nodes that no open stronger node repeats, everywhere at once; rounds follow the longest chain of
+    conflicts, not the number of nodes.
+    """
+    open_ones, gone = stored(conflicts, "conflicts"), None
+    while not open_ones.isEmpty():
+        stays = open_ones.select(F.col("strong").alias("node")).distinct().join(open_ones.select(F.col("weak").alias("node")), "node", "left_anti")
+        goes = stored(open_ones.join(stays, open_ones["strong"] == stays["node"], "left_semi").select(F.col("weak").alias("node")).distinct(), "repeats")
+        gone = goes if gone is None else gone.unionByName(goes)
+        done = goes.unionByName(stays)
+        left = open_ones.join(done, open_ones["strong"] == done["node"], "left_anti")
+        open_ones = stored(left.join(goes, left["weak"] == goes["node"], "left_anti"), "conflicts")
+    return conflicts.select(F.col("weak").alias("node")).limit(0) if gone is None else gone
+
+
+def union(rows: DataFrame, group: str, small: int = SMALL, strongest: int = STRONGEST, rounds: int = ROUNDS) -> DataFrame:
+    """(group, details): the de-duplicated citations of all rows of a group, strongest first.
+
+    The result is that of ``dedupe`` over each whole group.  Exact copies are combined before the shuffle.  Groups of up to
+    ``small`` citations are arrays.  In larger ones, which stay spread over tasks, the strongest open citations are settled among
+    themselves and drop everything that repeats them; after ``rounds`` rounds, which empty groups of many near copies, the
+    conflicts left are found by rare bigrams and settled by strength.  The bounds change the cost, never the result.
     """
     cited = rows.select(F.col(group).alias("g"), F.explode("details").alias("d"))
     distinct = cited.groupBy("g", F.col("d.page").alias("page"), F.col("d.key").alias("key")).agg(F.min("d").alias("d")).select("g", "d")
-    ordered = distinct.repartition("g").sortWithinPartitions("g", "d")
-    kept = ordered.mapInArrow(_fold_citations, distinct.schema)
-    return kept.groupBy("g").agg(F.array_sort(F.collect_list("d")).alias("details")).withColumnRenamed("g", group)
+    distinct = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "citations")
+    sizes = distinct.groupBy("g").agg(F.count("*").alias("_n"))
+    few = distinct.join(sizes.where(F.col("_n") <= small).select("g"), "g", "left_semi")
+    few = few.groupBy("g").agg(F.collect_list("d").alias("details")).select("g", dedupe("details").alias("details"))
+    large = sizes.where(F.col("_n") > small).select("g")
+    if large.isEmpty():
+        return few.withColumnRenamed("g", group)
+    rest, kept = stored(distinct.join(large, "g", "left_semi"), "open"), []
+    top = Window.partitionBy("g").orderBy("d", "node")
+    for _ in range(rounds):
+        first = rest.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= strongest)
+        leaders = stored(first.groupBy("g").agg(F.collect_list("d").alias("_l"), F.max(F.struct("d", "node")).alias("_last")).select("g", "_last", dedupe("_l").alias("_l")), "leaders")
+        kept.append(leaders.select("g", F.explode("_l").alias("d")))
+        later = rest.join(leaders, "g").where(F.struct("d", "node") > F.col("_last"))
+        rest = stored(later.where(~F.exists("_l", lambda k: _repeats(k, F.col("d")))).select(*distinct.columns), "open")
+    if not rest.isEmpty():
+        kept.append(rest.join(settle(_conflicts(rest)), "node", "left_anti").select("g", "d"))
+    every = kept[0]
+    for more in kept[1:]:
+        every = every.unionByName(more)
+    many = every.groupBy("g").agg(F.array_sort(F.collect_list("d")).alias("details"))
+    return few.unionByName(many).withColumnRenamed("g", group)
