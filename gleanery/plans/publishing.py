@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from gleanery.functions import vocab
-from gleanery.operators import gate, insights, ledger, portfolio
+from gleanery.operators import fusion, gate, insights, ledger, portfolio
 from gleanery.plans import research
 from gleanery.plans.matching import CLUSTER_SQL, page_items
 from gleanery.plans.records import SCORED_SQL, scored_orders
 from gleanery.plans.registry import register, table
 from gleanery.plans.urls import PAGE_POLICY
-from gleanery.schemas import ITEM
+from gleanery.schemas import EVIDENCE, INSIGHT, ITEM, PROFILE, RUN
 from gleanery.session import shared_folder
 from gleanery.sources import snapshots
 
@@ -142,6 +143,76 @@ def snapshot_roundtrip(spark, sf):
     )
 
 
+@register(
+    GATE_SQL + """SELECT 'items' AS name, page_id::VARCHAR AS key FROM r WHERE len(reasons) = 0 AND page_id % 4 = 0
+      UNION ALL SELECT 'profiles', s_name FROM supplier UNION ALL SELECT 'insights', conv_id || '-' || turn FROM conversations
+      UNION ALL SELECT 'runs', 'run-' || (o_custkey % 30) FROM orders GROUP BY 2
+      UNION ALL SELECT 'archived items', page_id::VARCHAR FROM r WHERE len(reasons) = 0 AND page_id % 4 IN (1, 2)
+      UNION ALL SELECT 'archived profiles', s_name FROM supplier WHERE s_suppkey % 2 = 0
+      UNION ALL SELECT 'archive', 'run-a' UNION ALL SELECT 'refused', 'run-late'"""
+)
+def snapshot_tables(spark, sf):
+    """Items, profiles, insights and run cards in one commit; an incremental publish brings insights only, a late publisher is refused."""
+    root, now = new_folder(spark), F.lit("2024-01-21").cast("timestamp")
+    passed = gate.publishable(assessed_pages(spark, sf))
+    suppliers = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), *[F.lit("").alias(c) for c in ("narrative", "positioning")],
+        *[F.array().cast("array<string>").alias(c) for c in ("solutions", "capabilities")], *[F.lit("").alias(c) for c in ("funding", "implication")],
+        F.array().cast(EVIDENCE).alias("evidence"), now.alias("updated_at"), F.lit("official").alias("basis"), F.col("s_suppkey").alias("arrival"))
+    runs = table(spark, sf, "orders").select(F.concat(F.lit("run-"), F.col("o_custkey") % 30).alias("id")).distinct().select(
+        "id", F.lit(None).cast("date").alias("run_date"), *[F.lit("x").alias(c) for c in ("mode", "status")], now.alias("started_at"),
+        now.alias("finished_at"), F.lit(0).alias("item_count"))
+    reports = conversation_reports(spark, sf).withColumn("basis", F.lit("x"))
+    first = snapshots.publish({"items": passed.where("importance = 'high'"), "profiles": suppliers.where("arrival % 2 = 0")}, root, "run-a", now)
+    snapshots.publish({"items": passed.where("importance = 'critical'"), "profiles": suppliers, "insights": reports.limit(0), "runs": runs}, root, "run-b", now)
+    try:
+        snapshots.publish({"items": passed.limit(0)}, root, "run-late", now, base=first)
+        refused = []
+    except snapshots.Superseded:
+        refused = [("refused", "run-late")]
+    snapshots.publish({"insights": reports}, root, "run-c", now, snapshots.INCREMENTAL)
+
+    def listed(name, df, key):
+        return df.select(F.lit(name).alias("name"), F.col(key).cast("string").alias("key"))
+
+    parts = [
+        listed("items", snapshots.read_snapshot(spark, root, "items", ITEM), "arrival"), listed("profiles", snapshots.read_snapshot(spark, root, "profiles", PROFILE), "name"),
+        listed("insights", snapshots.read_snapshot(spark, root, "insights", INSIGHT), "run_id"), listed("runs", snapshots.read_snapshot(spark, root, "runs", RUN), "id"),
+        listed("archived items", snapshots.read_archive(spark, root, "run-a", "items", ITEM), "arrival"),
+        listed("archived profiles", snapshots.read_archive(spark, root, "run-a", "profiles", PROFILE), "name"),
+        listed("archive", snapshots.archives(spark, root), "run_id"), spark.createDataFrame(refused, "name string, key string"),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@register(
+    GATE_SQL + """SELECT a.page_id AS page_id, title, summary AS fact, company,
+      CASE page_id % 3 WHEN 0 THEN '产品发布' WHEN 1 THEN '解决方案' ELSE '企业战略' END AS category, left(summary, 350) AS quote
+      FROM r JOIN a USING (page_id) WHERE len(reasons) = 0"""
+)
+def cross_event_input(spark, sf):
+    """The compact view of publishable records that a cross-event report is written from."""
+    passed = gate.publishable(assessed_pages(spark, sf)).withColumn("id", F.col("arrival"))
+    return research.cross_event_view(passed).select(F.col("id").alias("page_id"), "title", "fact", "company", "category", F.col("evidence")[0]["quote"].alias("quote"))
+
+
+@register(ITEM_SQL + " SELECT page_id, page_id % 20 AS day FROM c ORDER BY page_id % 20 DESC, page_id LIMIT 54")
+def merged_order(spark, sf):
+    """Records newest observation first, the first ones of equal age in arrival order."""
+    newest = fusion.latest_first(page_items(spark, sf)).limit(vocab.PORTFOLIO_MAX)
+    return newest.select(F.col("arrival").alias("page_id"), F.pmod(F.col("arrival"), F.lit(20)).alias("day"))
+
+
+@register("SELECT conv_id || '-' || turn AS run_id FROM conversations WHERE turn % 2 = 0")
+def current_insights(spark, sf):
+    """Reports that rest on exactly the published events; those of an older corpus are dropped."""
+    items = document_events(spark, sf)
+    reports, older = conversation_reports(spark, sf), items.where("id <> '0'")
+    fresh = F.split("run_id", "-")[1].cast("int") % 2 == 0
+    stamped = reports.where(fresh).join(F.broadcast(insights.corpus_basis(items))).unionByName(reports.where(~fresh).join(F.broadcast(insights.corpus_basis(older))))
+    return insights.current_reports(stamped, items).select("run_id")
+
+
 def conversation_reports(spark, sf):
     """Conversations as conclusions that cite documents of the same number and its neighbours."""
     turns = table(spark, sf, "conversations")
