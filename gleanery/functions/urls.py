@@ -266,6 +266,15 @@ def host_suffixes(host: Column) -> Column:
     )
 
 
+def trustable_host(url: Column | str) -> Column:
+    """Host of a web address without credentials, else NULL."""
+    def host(parts: Column) -> Column:
+        plain = F.regexp_replace(parts[_CREDENTIALS], "[:@]", "") == ""
+        return F.when(_is_web(parts) & plain, parts[_HOST])
+
+    return let(_parse(url), host)
+
+
 @dataclass(frozen=True)
 class TrustPolicy:
     """Domain lists of the three trusted tiers; at most a few hundred fixed entries.
@@ -283,7 +292,7 @@ class TrustPolicy:
 
     def __post_init__(self) -> None:
         if len(self.domains()) > self.limit:
-            raise ValueError(f"more than {self.limit} trusted domains; load them as a table instead")
+            raise ValueError(f"more than {self.limit} trusted domains; use operators.trust.with_tiers")
 
     @staticmethod
     def _root(website: str) -> str | None:
@@ -299,13 +308,6 @@ class TrustPolicy:
     def domains(self) -> list[str]:
         return list(dict.fromkeys([*self.primary_domains(), *self.authoritative, *self.professional]))
 
-    def _trustable_host(self, url: Column | str) -> Column:
-        def host(parts: Column) -> Column:
-            plain = F.regexp_replace(parts[_CREDENTIALS], "[:@]", "") == ""
-            return F.when(_is_web(parts) & plain, parts[_HOST])
-
-        return let(_parse(url), host)
-
     def tier(self, url: Column | str) -> Column:
         ranked = [
             ("professional", list(self.professional)),
@@ -320,7 +322,7 @@ class TrustPolicy:
                     tier = F.when(F.arrays_overlap(suffixes, _strings(domains)), F.lit(name)).otherwise(tier)
             return tier
 
-        return let(host_suffixes(self._trustable_host(url)), rank)
+        return let(host_suffixes(trustable_host(url)), rank)
 
     def publisher(self, url: Column | str) -> Column:
         """First listed trusted domain that the host belongs to, empty when there is none."""

@@ -1,8 +1,8 @@
-"""Joins between pages and company sites."""
+"""Joins of pages with company sites and with tables of trusted domains."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import urls
@@ -26,3 +26,29 @@ def official_pages(
     window = Window.partitionBy("company").orderBy(order_by)
     joined = site_pages(pages, companies, url)
     return joined.withColumn("place", F.row_number().over(window)).where(F.col("place") <= limit)
+
+
+TIERS = ("primary", "authoritative", "professional")
+
+
+def domain_table(spark: SparkSession, policy: urls.TrustPolicy) -> DataFrame:
+    """The domains of a policy as a table (domain, tier, ordinal), in list order."""
+    lists = (policy.primary_domains(), policy.authoritative, policy.professional)
+    rows = [(domain, tier) for tier, domains in zip(TIERS, lists) for domain in domains]
+    return spark.createDataFrame([(domain, tier, n) for n, (domain, tier) in enumerate(rows)], "domain string, tier string, ordinal bigint")
+
+
+def with_tiers(df: DataFrame, domains: DataFrame, url: str = "url") -> DataFrame:
+    """Adds ``tier`` and ``publisher`` by a domain table of any size (domain, tier, ordinal).
+
+    Every distinct host meets the table once, by equality of its dot-suffixes; the best tier and the first listed domain win.  Spark
+    broadcasts the table if its size allows.
+    """
+    names = [c for c in df.columns if c not in ("tier", "publisher")]
+    keyed = df.select(*names, urls.host_of(url).alias("_host"), urls.trustable_host(url).isNotNull().alias("_trustable"))
+    listed = domains.select(F.lower("domain").alias("domain"), F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col("tier")).alias("rank"), "tier", "ordinal")
+    hosts = keyed.select("_host").distinct().select("_host", F.explode(urls.host_suffixes(F.col("_host"))).alias("domain"))
+    found = hosts.join(listed, "domain").groupBy("_host").agg(F.min_by("tier", "rank").alias("tier"), F.min_by("domain", "ordinal").alias("publisher"))
+    joined = keyed.join(found, "_host", "left")
+    tier = F.when(F.col("_trustable"), F.coalesce("tier", F.lit("untrusted"))).otherwise("untrusted")
+    return joined.select(*names, tier.alias("tier"), F.coalesce("publisher", F.lit("")).alias("publisher"))

@@ -86,26 +86,55 @@ def order_candidates(spark, sf):
 FOCUS = ["NATION_3 BUILDING", "nation 4 machinery", "NATION-5 AUTOMOBILE", "absent company"]
 
 
-@register()
-def balanced_portfolio(spark, sf):
-    """The published 54: company and category caps, configured companies and categories first."""
-    picked = portfolio.balanced_portfolio(order_candidates(spark, sf), FOCUS, tie="o_orderkey")
-    return picked.select("o_orderkey", "company_key", "category", F.round("score", 6).alias("score"), "pick_no", "o_orderdate")
-
-
-@register(
-    SCORED_SQL
+EXTRACT_SQL = (
+    SCORED_SQL.replace("WITH", "WITH RECURSIVE", 1)
     + """,
-  j AS (SELECT s.o_orderkey, s.score, o.o_orderpriority AS category,
+  j AS (SELECT s.o_orderkey, s.score, o.o_orderdate, o.o_orderpriority AS category,
      CASE WHEN c_nationkey < 2 THEN '行业' ELSE lower(regexp_replace(n_name || c_mktsegment, '[\\s\\p{P}\\p{S}]', '', 'g')) END AS company
      FROM s JOIN orders o USING (o_orderkey) JOIN customer ON o.o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
   p AS (SELECT *, row_number() OVER (PARTITION BY company, category ORDER BY score DESC, o_orderkey) AS n FROM j),
   q AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, o_orderkey) AS m FROM p WHERE n <= CASE WHEN company = '行业' THEN 22 ELSE 3 END),
-  l AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY score DESC, o_orderkey) AS f FROM p)
-  SELECT o_orderkey, company AS company_key, category FROM q WHERE m <= 128
-  UNION SELECT o_orderkey, company, category FROM l WHERE f = 1 AND company IN ('nation3building', 'nation4machinery', 'nation5automobile', 'absentcompany')
+  l AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY score DESC, o_orderkey) AS f FROM p),
+  k(place, key) AS (VALUES (1, 'nation3building'), (2, 'nation4machinery'), (3, 'nation5automobile'), (4, 'absentcompany')),
+  x AS (SELECT o_orderkey, company, category, score, o_orderdate FROM q WHERE m <= 119
+    UNION SELECT o_orderkey, company, category, score, o_orderdate FROM l WHERE f = 1 AND company IN (SELECT key FROM k))
+"""
+)
+
+
+@register(
+    EXTRACT_SQL
+    + """,
+  y AS (SELECT *, row_number() OVER (ORDER BY score DESC, o_orderkey) AS r FROM x),
+  agenda AS (
+    SELECT 1 AS phase, place AS part, min(r) AS r FROM y JOIN k ON company = key GROUP BY place
+    UNION ALL SELECT 2, min(r) OVER (PARTITION BY category), r FROM y
+    UNION ALL SELECT 3, 0, r FROM y UNION ALL SELECT 4, 0, r FROM y),
+  a AS (SELECT row_number() OVER (ORDER BY phase, part, r) AS i, phase, part, y.* FROM agenda JOIN y USING (r)),
+  t AS (SELECT least(45, count(*)) AS target FROM j),
+  g(i, picks, companies, categories, served, strict) AS (
+    SELECT 0::BIGINT, []::BIGINT[], []::VARCHAR[], []::VARCHAR[], -1::BIGINT, 0::BIGINT
+    UNION ALL
+    SELECT v.i, CASE WHEN ok THEN list_append(picks, r) ELSE picks END, CASE WHEN ok THEN list_append(companies, company) ELSE companies END,
+      CASE WHEN ok THEN list_append(categories, category) ELSE categories END, CASE WHEN ok AND phase = 2 THEN part ELSE served END,
+      CASE WHEN phase = 4 THEN strict ELSE len(picks) + CASE WHEN ok THEN 1 ELSE 0 END END
+    FROM (SELECT a.*, g.picks, g.companies, g.categories, g.served, g.strict,
+        len(picks) < 54 AND NOT list_contains(picks, r) AND (phase <> 2 OR served <> part) AND (phase < 4 OR strict < (SELECT target FROM t))
+        AND len(list_filter(categories, lambda c: c = category)) < CASE WHEN phase = 4 THEN 16 ELSE 14 END
+        AND len(list_filter(companies, lambda c: c = company)) < CASE WHEN company = '行业' THEN CASE WHEN phase = 4 THEN 22 ELSE 18 END
+          WHEN phase = 4 OR company IN (SELECT key FROM k) THEN 3 ELSE 2 END AS ok
+      FROM g JOIN a ON a.i = g.i + 1) v),
+  e AS (SELECT unnest(picks) AS r, generate_subscripts(picks, 1) AS pick_no FROM g WHERE i = (SELECT max(i) FROM a))
+  SELECT o_orderkey, company AS company_key, category, round(score, 6)::DOUBLE AS score, pick_no::INTEGER AS pick_no, o_orderdate FROM e JOIN y USING (r)
 """
 )
+def balanced_portfolio(spark, sf):
+    """The published 54: company and category caps, configured companies and categories first."""
+    picked = portfolio.balanced_portfolio(order_candidates(spark, sf), FOCUS, tie="o_orderkey")
+    return picked.select("o_orderkey", "company_key", "category", F.round("score", 6).alias("score"), "pick_no", "o_orderdate")
+
+
+@register(EXTRACT_SQL + "SELECT o_orderkey, company AS company_key, category FROM x")
 def portfolio_extract(spark, sf):
     """The fixed-size extract that the greedy pick runs on."""
     keys = [portfolio.text.identity_key(c) for c in FOCUS]

@@ -97,8 +97,7 @@ def public_urls(spark, sf):
 HOST_SQL = "lower(regexp_extract(url, '^https?://([^/?#]+)', 1))"
 
 
-@register(
-    f"""
+TIER_SQL = f"""
   WITH h AS (SELECT page_id, {HOST_SQL} AS host FROM pages),
   d(domain, tier, rank, place) AS (VALUES
     ('example.org', 'primary', 1, 1), ('ththre.example.com', 'primary', 1, 2), ('ththhe.example.com', 'primary', 1, 3),
@@ -111,13 +110,25 @@ HOST_SQL = "lower(regexp_extract(url, '^https?://([^/?#]+)', 1))"
   FROM h LEFT JOIN d ON host = domain OR ends_with(host, '.' || domain)
   GROUP BY page_id
 """
-)
+
+
+@register(TIER_SQL)
 def source_tiers(spark, sf):
     return table(spark, sf, "pages").select(
         "page_id", PAGE_POLICY.tier("url").alias("tier"), PAGE_POLICY.publisher("url").alias("publisher")
     )
 
 
+@register(TIER_SQL)
+def source_tiers_by_table(spark, sf):
+    """The same tiers from a domain table that holds a site for every customer beside the listed domains."""
+    more = table(spark, sf, "customer").select(
+        F.concat(F.lit("shop"), "c_custkey", F.lit(".example.biz")).alias("domain"), F.lit("professional").alias("tier"), (F.col("c_custkey") + 1000).alias("ordinal"))
+    domains = trust.domain_table(spark, PAGE_POLICY).unionByName(more)
+    return trust.with_tiers(table(spark, sf, "pages"), domains).select("page_id", "tier", "publisher")
+
+
+
 @register(
     """
   WITH u AS (SELECT c_custkey, c_custkey % 12 AS k FROM customer)

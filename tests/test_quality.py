@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import urls
 from gleanery.functions.text import identity_key
-from gleanery.operators import gate, portfolio
+from gleanery.operators import gate, portfolio, trust
 from tests.fixtures import item, items
 
 POLICY = urls.TrustPolicy()
@@ -92,7 +92,7 @@ def test_portfolio_caps_a_prolific_company(spark):
 
 def test_reduced_portfolio_equals_the_greedy_pick_over_everything(spark):
     rng = random.Random(7)
-    for trial in range(4):
+    for trial, most in enumerate((54, 54, 9, 54, 150, 300)):
         focus = [f"重点{i}" for i in range(rng.randint(0, 20))]
         names = focus + [f"其他{i}" for i in range(rng.randint(1, 40))] + ["行业"]
         weights = [rng.random() ** 3 for _ in names]
@@ -104,11 +104,25 @@ def test_reduced_portfolio_equals_the_greedy_pick_over_everything(spark):
         })
         ranked = frame.sort_values(["score", "arrival"], ascending=[False, True]).reset_index(drop=True)
         keys = list(dict.fromkeys(identity_key(f) for f in focus))
-        expected = [int(ranked["arrival"][i]) for i in portfolio.pick(ranked, keys, count, 54)]
-        got = portfolio.balanced_portfolio(spark.createDataFrame(frame), focus).orderBy("pick_no").collect()
+        expected = [int(ranked["arrival"][i]) for i in portfolio.pick(ranked, keys, count, most)]
+        got = portfolio.balanced_portfolio(spark.createDataFrame(frame), focus, most).orderBy("pick_no").collect()
         assert [r["arrival"] for r in got] == expected, trial
 
 
+def test_a_table_of_many_domains_gives_the_tiers_of_the_lists(spark):
+    listed = [f"site{i}.example" for i in range(100_000)]
+    policy = urls.TrustPolicy(professional=tuple(listed), authoritative=("site5.example", "a.site7.example"), limit=200_000)
+    hosts = ["x.site3.example", "site5.example", "a.site7.example", "b.a.site7.example", "site7.example", "notsite7.example", "www.siemens.com", "site99999.example"]
+    rows = [f"https://{h}/p?{k}" for k, h in enumerate(hosts)] + ["https://u:p@site3.example/", "ftp://site3.example/", "no url", None, "https://SITE3.example:443/"]
+    df = spark.createDataFrame([(u, 1) for u in rows], "url string, tier int")
+    small = urls.TrustPolicy(professional=("site3.example", "site7.example", "site99999.example"), authoritative=policy.authoritative)
+    expected = sorted(map(tuple, df.select("url", small.tier("url").alias("t"), small.publisher("url").alias("p")).collect()), key=str)
+    table = trust.domain_table(spark, policy)
+    assert table.count() > 100_000
+    got = trust.with_tiers(df, table)
+    assert got.columns == ["url", "tier", "publisher"] and sorted(map(tuple, got.collect()), key=str) == expected
+
+
 def test_tiers_reject_look_alike_hosts(spark):
     cases = {
         "https://press.siemens.com/news": "primary", "https://www.miit.gov.cn/policy": "primary",

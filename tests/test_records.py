@@ -134,12 +134,16 @@ def test_insights_need_two_events_two_pages_and_expire(spark):
     assert insights.current_reports(valid, changed).count() == 0
 
 
-def test_mentions_by_literal_and_by_anchor_agree(spark):
-    docs = spark.createDataFrame([(i, f"文档{i}说明平台{i % 7}号产品与能力{i % 5}级") for i in range(60)], "url int, text_key string")
-    terms = spark.createDataFrame([(i, f"平台{i}号产品与能力") for i in range(9)] + [(20, "能力3"), (21, "文档5")], "term_id int, term_key string")
-    literal = {tuple(r) for r in coverage.mentions(docs, terms).collect()}
-    anchored = {tuple(r) for r in coverage.mentions(docs, terms, limit=1).collect()}
-    assert literal == anchored and len(literal) > 50
+def test_mentions_of_many_terms_equal_containment(spark):
+    docs = [(i, f"文档{i}说明平台{i % 7}号产品与能力{i % 5}级") for i in range(60)] + [(90, ""), (91, None), (92, "term 77 and term 7")]
+    terms = [(i, f"平台{i}号产品与能力") for i in range(9)] + [(20, "能力3"), (21, "文档5"), (22, "能力3"), (23, ""), (24, None)] + [(100 + i, f"term {i}") for i in range(100_000)]
+    df, listed = spark.createDataFrame(docs, "url int, text_key string"), spark.createDataFrame(terms, "term_id int, term_key string")
+    seen = [t for t in terms if t[0] < 100 or t[1] in ("term 7", "term 77")]
+    expected = sorted((u, n) for u, text in docs if text is not None for n, term in seen if term is not None and term in text)
+    for block in (coverage.BLOCK, 200_000):
+        got = coverage.mentions(df, listed, block=block)
+        assert got.columns == ["url", "term_id"] and sorted(map(tuple, got.collect())) == expected
+    assert coverage.mentions(df, listed.limit(0)).count() == 0
 
 
 def test_company_coverage_keeps_zero_counts(spark):
