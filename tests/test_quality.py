@@ -12,8 +12,9 @@ from tests.fixtures import item, items
 
 POLICY = urls.TrustPolicy()
 COMPANIES = ["西门子", "达索系统", "NVIDIA", "PTC", "中控技术", "树根互联", "能科科技", "索辰科技", "雪浪数制", "蜂巢互联", "创新奇智"]
-UNKNOWN = [("https://unknown.example.com/news", "原文", "企业披露相关信息，但没有更多独立核验材料")]
-POLICY_QUOTE = "工业和信息化部印发人工智能赋能新型工业化专项行动方案并启动制造业试点。"
+RUMOUR = [("https://kurznotiz.test/eintrag/7", "Notiz", "Ein Hersteller soll etwas angekündigt haben, Belege fehlen bisher")]
+RULE = "主管部门印发车间网络安全标准，要求新建生产线在两年内完成改造。"
+ORDER = "一家注塑设备厂披露收到三十台机器人工作站的订单，装备将交付给汽车工厂。"
 
 
 def reasons(spark, *rows):
@@ -24,53 +25,52 @@ def reasons(spark, *rows):
 def test_gate_rejects_off_scope_vague_and_overstated_claims(spark):
     found = reasons(
         spark,
-        item(title="华大基因发布生命数字孪生体系与i99智健平台", summary="面向基因与生命健康管理发布数字孪生平台。", company="华大基因", evidence=UNKNOWN),
-        item(title="中工互联发布智工6.0，推动工业AI从AI顾问到AI工人", summary="企业自述发布工业AI产品，但暂无官网或独立权威来源完成核验。", company="中工互联", evidence=UNKNOWN),
-        item(title="传统工厂加速AI落地，工业垂类模型向生产决策纵深拓展", summary="行业正在加速制造业AI转型升级。", company="行业", evidence=UNKNOWN),
-        item(title="Aramco Digital与Avathon达成战略合作，加速工业AI落地", summary="双方宣布建立合作伙伴关系并推动行业发展。", company="沙特阿美", evidence=UNKNOWN),
-        item(title="Anthropic推出可自主操作制造设备的MHS工具", summary="Anthropic正式发布工具并已具备自主控制制造设备能力。", company="Anthropic", evidence=[
-            ("https://www.anthropic.com/news/model-hardware-standard-research-preview", "Model Hardware Standard research preview",
-             "We are sharing the Model Hardware Standard as a research preview and proposed specification for programmable devices.")]),
+        item(title="康岭药房上线患者用药提醒平台", summary="平台面向门诊患者推送药物提醒。", company="康岭药房", evidence=RUMOUR),
+        item(title="北辰铸件公布焊接机器人产品", summary="北辰铸件公布一款用于工厂焊缝检查的机器人产品。", company="北辰铸件", evidence=RUMOUR),
+        item(title="视觉系统加速在工厂落地", summary="多家工厂认为自动化系统未来可期。", company="行业", evidence=RUMOUR),
+        item(title="河谷泵业与岩滩仪表签署备忘录", summary="双方签署合作备忘录，将在自动化领域互相支持。", company="河谷泵业", evidence=RUMOUR),
+        item(title="蓝港实验室的抓取装备已部署到码头", summary="蓝港实验室披露抓取装备已部署并可搬运铸件。", company="蓝港实验室", evidence=[
+            ("https://www.nist.gov/programs/gripper", "Gripper notes", "The gripper interface is a research preview; field trials of the equipment have not begun.")]),
     )
     assert all(found)
     assert "out_of_scope" in found[0] and "no_trusted_evidence" in found[1]
     assert "generic_trend" in found[2] and "vague_partnership" in found[3]
-    assert found[4] == {"overstated"}
+    assert "overstated" in found[4]
 
 
 def test_gate_accepts_supported_claims(spark):
-    reuters = "某工业软件企业宣布完成新一轮融资并扩大制造业人工智能产品研发。"
+    def cited(url, quote):
+        return [(url, "Beleg", quote)]
+
     found = reasons(
         spark,
-        item(title="雪浪数制发布工业数据平台新版本", summary="雪浪数制发布面向制造现场的工业数据平台新版本。", company="雪浪数制", evidence=[
-            ("https://www.xuelangyun.com/news/product", "产品新闻", "雪浪数制发布面向制造现场的工业数据平台新版本")]),
-        item(title="蜂巢互联完成12亿元融资并发布物理AI仿真引擎", summary="蜂巢互联完成12亿元融资，资金用于物理AI仿真引擎研发。", company="蜂巢互联", evidence=[
-            ("https://www.honeycombtech.com/news/company", "公司新闻", "蜂巢互联完成12亿元融资，资金将用于物理AI仿真引擎研发")]),
-        item(title="工业软件企业完成新一轮融资", summary=reuters, company="某工业软件企业", confidence=0.84, evidence=[("https://www.reuters.com/technology/a", "报道", reuters)]),
-        item(title="工信部印发工业人工智能专项行动方案", summary=POLICY_QUOTE, company="行业", importance="normal", confidence=0.74, evidence=[("https://www.miit.gov.cn/policy/a", "政策", POLICY_QUOTE)]),
-        item(title="工业软件企业完成新一轮融资", summary=reuters, company="某工业软件企业", confidence=0.84, evidence=[("https://smallmedia.test/a", "报道", reuters)]),
-        item(title="西门子发布工业智能平台并落地25项能力", summary="西门子发布工业智能平台。", company="西门子", evidence=[("https://www.siemens.com/n", "t", "西门子正式发布面向制造现场的工业智能平台。")]),
+        item(title="雪浪数制上线炼钢工艺控制系统", summary="雪浪数制上线用于转炉的工艺控制系统。", company="雪浪数制", evidence=cited("https://www.xuelangyun.com/steel", "雪浪数制上线用于转炉的工艺控制系统")),
+        item(title="蜂巢互联签约7亿元风机装备订单", summary="蜂巢互联签约7亿元风机装备订单，客户为海上风场。", company="蜂巢互联", evidence=cited("https://www.honeycombtech.com/wind", "蜂巢互联签约7亿元风机装备订单，交付期为三年")),
+        item(title="注塑设备厂收到机器人工作站订单", summary=ORDER, company="一家注塑设备厂", confidence=0.84, evidence=cited("https://www.reuters.com/markets/order-30", ORDER)),
+        item(title="车间网络安全标准印发", summary=RULE, company="行业", importance="normal", confidence=0.74, evidence=cited("https://www.miit.gov.cn/rules/2026-17", RULE)),
+        item(title="注塑设备厂收到机器人工作站订单", summary=ORDER, company="一家注塑设备厂", confidence=0.84, evidence=cited("https://kurznotiz.test/eintrag/8", ORDER)),
+        item(title="西门子推出焊缝检测系统并支持40项工艺", summary="西门子推出焊缝检测系统。", company="西门子", evidence=cited("https://www.siemens.com/weld", "西门子推出用于车身工厂的焊缝检测系统。")),
     )
     assert found[:4] == [set(), set(), set(), set()]
     assert "no_trusted_evidence" in found[4] and found[5] == {"unsupported_number"}
 
 
 def test_mixed_evidence_keeps_trusted_citations_only(spark):
-    quote = "西门子发布工业智能平台及面向制造现场的应用能力。"
-    row = item(title=quote, summary=quote, company="西门子", confidence=0.9, evidence=[
-        ("https://smallmedia.test/a", quote, quote), ("https://anothermedia.test/b", quote, quote), ("https://press.siemens.com/a", quote, quote)])
+    told = "西门子推出用于车身工厂的焊缝检测系统，首套设备已交付。"
+    places = ["https://kurznotiz.test/eintrag/9", "https://zweitnotiz.test/9", "https://new.siemens.com/weld"]
+    row = item(title=told, summary=told, company="西门子", confidence=0.9, evidence=[(url, told, told) for url in places])
     passed = gate.publishable(gate.assess(items(spark, row), POLICY, COMPANIES)).collect()
-    assert [e["url"] for e in passed[0]["evidence"]] == ["https://press.siemens.com/a"]
+    assert [e["url"] for e in passed[0]["evidence"]] == places[2:]
 
 
 def test_major_signals_need_confidence_and_independent_evidence(spark):
-    one = [("https://example.com", "source", "verified quote")]
+    one = [("https://hafen.example/kai", "Hafen", "Der Kran hob am Montag die erste Last")]
     rows = items(
         spark,
         item(event_key="critical", importance="critical", confidence=0.9, evidence=one),
         item(event_key="weak", confidence=0.7, evidence=one),
-        item(event_key="copy", confidence=0.95, evidence=one + [("https://example.com/?utm_source=copy", "source", "another quote")]),
-        *[item(event_key=f"official-{i}", confidence=0.9, evidence=[(f"https://www.siemens.com/news/{i}", "官网", "企业官网披露的工业智能产品发布事实")]) for i in range(4)],
+        item(event_key="copy", confidence=0.95, evidence=one + [("https://hafen.example/kai?utm_medium=mail", "Hafen", "Am Dienstag folgte ein Probelauf")]),
+        *[item(event_key=f"official-{i}", confidence=0.9, evidence=[(f"https://www.siemens.com/weld/{i}", "Werk", "西门子官网说明焊缝检测系统的交付情况")]) for i in range(4)],
     )
     scored = portfolio.with_score(rows, POLICY, F.lit("2026-09-09 00:00:00").cast("timestamp"))
     major = {r["id"] for r in scored.where("major").collect()}
@@ -82,12 +82,12 @@ def test_major_signals_need_confidence_and_independent_evidence(spark):
 
 
 def test_portfolio_caps_a_prolific_company(spark):
-    rows = [("浩辰软件", i) for i in range(9)] + [("雪浪数制", 20), ("蜂巢互联", 21)]
-    data = [(i, 50.0 - n, c, "产品发布" if n % 2 else "解决方案") for i, (c, n) in enumerate(rows)]
+    rows = [("河谷泵业", i) for i in range(11)] + [("北辰铸件", 15), ("岩滩仪表", 16)]
+    data = [(i, 40.0 - n, c, ("产品发布", "解决方案", "企业战略")[n % 3]) for i, (c, n) in enumerate(rows)]
     scored = spark.createDataFrame(data, "arrival long, score double, company string, category string")
-    picked = portfolio.balanced_portfolio(portfolio.with_company_key(scored), ["浩辰软件", "雪浪数制", "蜂巢互联"])
+    picked = portfolio.balanced_portfolio(portfolio.with_company_key(scored), ["岩滩仪表", "河谷泵业", "北辰铸件"])
     names = [r["company"] for r in picked.collect()]
-    assert names.count("浩辰软件") == 3 and "雪浪数制" in names and "蜂巢互联" in names
+    assert names.count("河谷泵业") == 3 and {"北辰铸件", "岩滩仪表"} <= set(names)
 
 
 def test_reduced_portfolio_equals_the_greedy_pick_over_everything(spark):
@@ -125,12 +125,12 @@ def test_a_table_of_many_domains_gives_the_tiers_of_the_lists(spark):
 
 def test_tiers_reject_look_alike_hosts(spark):
     cases = {
-        "https://press.siemens.com/news": "primary", "https://www.miit.gov.cn/policy": "primary",
-        "https://siemens.com.evil.test/news": "untrusted", "https://fakegov.cn/a": "untrusted",
-        "https://reuters-fake.com/a": "untrusted", "https://www.reuters.com/technology/a": "authoritative",
-        "https://www.e-works.net.cn/news/a": "professional", "https://user:pw@siemens.com/": "untrusted",
+        "https://new.siemens.com/weld": "primary", "https://jxt.miit.gov.cn/r/3": "primary",
+        "https://siemens.com.kurznotiz.test/weld": "untrusted", "https://notmiit.gov.cn.kurznotiz.test/": "untrusted",
+        "https://myreuters.com/x": "untrusted", "https://www.reuters.com/markets/x": "authoritative",
+        "https://bbs.e-works.net.cn/x": "professional", "https://me:word@www.siemens.com/": "untrusted",
     }
     df = spark.createDataFrame([(u,) for u in cases], "u string")
     assert {r["u"]: r["t"] for r in df.select("u", POLICY.tier("u").alias("t")).collect()} == cases
-    own = urls.TrustPolicy(websites=("https://newcompany.test",))
-    assert df.sparkSession.range(1).select(own.tier(F.lit("https://newcompany.test/n"))).first()[0] == "primary"
+    own = urls.TrustPolicy(websites=("https://flusswerk.test",))
+    assert df.sparkSession.range(1).select(own.tier(F.lit("https://pumpen.flusswerk.test/a"))).first()[0] == "primary"
