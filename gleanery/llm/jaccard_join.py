@@ -20,7 +20,9 @@ No pair of different classes in different provisional components escapes steps 4
 Shingles are 64-bit hashes and classes 64-bit digests of their sets (see ``words``).
 
 Nulls, empty texts and texts without words have an empty set and link with nothing.  A text with fewer words than a shingle
-has its whole sequence as its one shingle.  Repeated ids are each a row of their own.  Extra columns are not read.
+has its whole sequence as its one shingle.  Repeated ids are each a row of their own.  A null id links like any other: such rows
+carry a stand-in from their text on the way, return a null id, and a null component if no row with an id is reachable.  Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -50,6 +52,8 @@ BROADCAST_IDS = 1_000_000
 # A shingle in so many classes of one batch is reported; the most frequent ones of all batches are put last (8 MB at most).
 FREQUENT_IN_BATCH = 2
 MOST_FREQUENT = 1 << 20
+# Stand-ins for null ids begin here; given ids are smaller.
+NO_ID = 1 << 62
 _SHORT = np.uint64(0xA5A5A5A5DEADBEEF)
 
 
@@ -197,7 +201,9 @@ def similar_components(
 ) -> DataFrame:
     """(id, n_shingles, component_id): size of each document's set and the smallest id reachable by links."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
+    text = F.col(text_column).cast("string")
+    stand_in = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text), 2)
+    texts = docs.select(F.coalesce(F.col(id_column).cast("bigint"), stand_in).alias("id"), text.alias("text"))
     first = stored(texts.mapInArrow(_first_pass(shingle), "id bigint, n bigint, cls bigint, odd array<bigint>, token bigint, times bigint"), "shingles")
     members = first.where("token is null").select("id", "n", "cls")
     top = first.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(
@@ -278,4 +284,6 @@ def similar_components(
     placed = classes.join(final, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = placed.groupBy("comp").agg(F.min("id").alias("component"))
     named = placed.join(least, "comp").select("cls", "component")
-    return members.join(named, "cls", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    given = lambda c: F.when(c < NO_ID, c)
+    return members.join(named, "cls", "left").select(
+        given(F.col("id")).alias("id"), F.col("n").alias("n_shingles"), given(F.coalesce("component", "id")).alias("component_id"))

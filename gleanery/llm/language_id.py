@@ -36,7 +36,8 @@ _OTHER = re.compile(r"[\W\d_]+")
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     """(indexes, counts) of a text's n-grams; None without letters."""
-    if not text or not _LETTER.search(text):
+    # The pattern also finds numbers such as fractions and Roman numerals, which aren't letters.
+    if not text or not any(found[0].isalpha() for found in _LETTER.finditer(text)):
         return None
     plain = f" {_OTHER.sub(' ', text.lower()).strip()} "
     count = np.zeros(1 << BITS, np.float32)

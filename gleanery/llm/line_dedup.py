@@ -4,13 +4,14 @@ A line's key is the line without spaces (0x20, 0x09-0x0D) at both ends and with
 points that occur in at least 3 documents lose all their lines except in the largest id that holds them.
 
 1. Every task sends one row per key and batch: a 128-bit hash of the key, the number of documents and the largest id.
-   Counts are added map-side, so a line in all documents costs one row per batch.
+   Counts are added map-side, so a line in all documents costs one row per batch.  Rows that repeat an id are one document: they
+   send (key, id), and each such pair counts once.
 2. The repeated keys are dealt to shards by their hash.  A shard is built in one task: hash-and-displace gives every key its
    own slot out of exactly as many slots as keys, with arrays of fingerprints, counts and largest ids.
 3. Shards are read in blocks of bounded size.  Each block is one broadcast, and documents pass through the blocks one after
    the other within one stage: a line is looked up by one displacement and one fingerprint.  No line is joined or shuffled.
 
-A null or empty text is one empty line.  Ties of ids: when an id repeats, all its rows keep the line.  Null ids count as
+A null or empty text is one empty line.  Repeated ids count once, and if such an id is the largest, all its rows keep the line.  Null ids count as
 documents of their own and never keep a repeated line.  Only the id and text columns are read.
 """
 
@@ -47,7 +48,8 @@ def key_hashes(text: str | None, least: int = MIN_CHARS) -> tuple[list[str], lis
     return lines, out
 
 
-def _counts(least: int) -> Callable:
+def _counts(least: int, each: bool = False) -> Callable:
+    """Documents and largest id per key; with ``each`` one row per key and id, which counts as one document."""
     schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("docs", pa.int64()), ("largest", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,13 +58,15 @@ def _counts(least: int) -> Callable:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 doc = LOWEST if doc is None else doc
                 for key in {h for h in key_hashes(text, least)[1] if h}:
+                    if each:
+                        key += doc.to_bytes(8, "little", signed=True)
                     held = found.get(key)
                     if held is None:
                         found[key] = [1, doc]
                     else:
-                        held[0] += 1
+                        held[0] = 1 if each else held[0] + 1
                         held[1] = max(held[1], doc)
-            both = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+            both = np.frombuffer(b"".join(key[:16] for key in found), np.int64).reshape(-1, 2)
             values = np.array(list(found.values()), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in (both[:, 0], both[:, 1], values[:, 0], values[:, 1])], schema=schema)
 
@@ -188,9 +192,15 @@ def dropped_lines(
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_column}`").cast("string"), F.lit(""))
     pairs = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), text.alias("text"))
+    counted = "h1 bigint, h2 bigint, docs bigint, largest bigint"
+    again = stored(pairs.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated-ids")
+    if again.isEmpty():
+        keys = pairs.mapInArrow(_counts(least), counted)
+    else:
+        once = pairs.join(again, "id", "left_anti").mapInArrow(_counts(least), counted)
+        keys = once.unionByName(pairs.join(again, "id", "left_semi").mapInArrow(_counts(least, True), counted).distinct())
     repeated = stored(
-        pairs.mapInArrow(_counts(least), "h1 bigint, h2 bigint, docs bigint, largest bigint").groupBy("h1", "h2")
-        .agg(F.sum("docs").alias("docs"), F.max("largest").alias("largest")).where(F.col("docs") >= min_docs), "lines")
+        keys.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("largest").alias("largest")).where(F.col("docs") >= min_docs), "lines")
     total = repeated.count()
     modulus = max(1, -(-total // keys_per_shard))
     shard = F.shiftrightunsigned("h1", 1) % modulus

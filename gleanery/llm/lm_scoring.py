@@ -25,6 +25,7 @@ Extra columns are not read.  Words are held by 64-bit hashes.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -406,18 +407,19 @@ def train(texts: DataFrame, words: DataFrame, least: int = LEAST) -> tuple[np.nd
     return keys, number, model, unigram, np.append(ends, total)
 
 
-_models: dict[int, LogBilinear] = {}
+# The model of the last broadcast that this worker has used, by the broadcast's own token.
+_models: dict[str, LogBilinear] = {}
 
 
 def _scorer(held, trained_tokens: int, distinct: int) -> Callable:
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(key: tuple, docs: Iterator[pa.RecordBatch] | pa.Table, counts: pa.Table) -> pa.Table:
-        keys, number, packed, n, other_mass = held.value
-        if id(held.value) not in _models:
+        token, keys, number, packed, n, other_mass = held.value
+        if token not in _models:
             _models.clear()
-            _models[id(held.value)] = LogBilinear.unpacked(packed, n)
-        model = _models[id(held.value)]
+            _models[token] = LogBilinear.unpacked(packed, n)
+        model = _models[token]
         word, total = counts["word"].to_numpy(), counts["total"].to_numpy()
         order = np.argsort(word)
         word, total = word[order], total[order]
@@ -456,7 +458,7 @@ def scored(docs: DataFrame, teaches: Column, id_column: str = "doc_id", text_col
     known = int((totals + 1).sum())
     # Base mass of all words outside the vocabulary and of one unseen word.
     other_mass = float(trained + distinct + 1 - known) if trained else 1.0
-    held = spark.sparkContext.broadcast((keys, number, model.packed(), len(keys) + 1, max(1.0, other_mass)))
+    held = spark.sparkContext.broadcast((uuid.uuid4().hex, keys, number, model.packed(), len(keys) + 1, max(1.0, other_mass)))
     counts = per_bucket.select("bucket", "word").join(words, "word")
     out = dealt.select("bucket", "id", "text").groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(
         _scorer(held, int(trained), int(distinct)), "id bigint, n_tokens bigint, n_known bigint, base_score double, score double")

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from gleanery.llm import words as W
 
@@ -67,12 +68,16 @@ def _steps(words: np.ndarray, text: bytes) -> np.ndarray:
     return np.array([k * 64 + int(v * 20) + 1 for k, v in enumerate(values)], np.uint64)
 
 
+# Characters of text whose features are made together.
+WINDOW = 500_000
+
+
 def features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, ...] | None]:
     """Per text the indexes of its words, trigrams, counts, word heads and present words; None for texts without words."""
     at = 0
     while at < len(texts):
         to, held = at, 0
-        while to < len(texts) and (to == at or held < 4_000_000):
+        while to < len(texts) and (to == at or held < WINDOW):
             held += len(texts[to] or "")
             to += 1
         data, begin = W.joined(texts[at:to])
@@ -227,15 +232,16 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     return fit(rows, grades, share / share.mean())
 
 
-def _score(model) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _score(model):
+    """A scalar Arrow function of the text, so that all other columns stay in the JVM."""
+    def run(texts: pa.Array) -> pa.Array:
         m: Ordinal = model.value
-        for batch in batches:
-            position = m.positions(batch.column(0).to_pylist())
-            tails = np.where(np.isnan(position)[:, None], 0.0, m.tails(np.nan_to_num(position)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(1)), pa.array(tails[:, -1]), *batch.columns[3:]], schema=batch.schema)
+        position = m.positions(texts.to_pylist())
+        tails = np.where(np.isnan(position)[:, None], 0.0, m.tails(np.nan_to_num(position)))
+        return pa.StructArray.from_arrays([pa.array(tails.sum(1)), pa.array(tails[:, -1])], names=["e", "p"])
 
-    return run
+    # Not repeated where a filter or a second column asks for the result again.
+    return arrow_udf(run, "e double, p double").asNondeterministic()
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", most: int = TRAIN, select: float = SELECT) -> DataFrame:
@@ -243,9 +249,6 @@ def scored(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_c
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_column, text_column, most))
     named = [f"c{k}" for k in range(len(docs.columns))]
     plain = docs.toDF(*named)
-    out = plain.select(
-        F.col(named[docs.columns.index(text_column)]).cast("string").alias("text"), F.lit(0.0).cast("double").alias("e"),
-        F.lit(0.0).cast("double").alias("p"), F.struct(F.lit(0).alias("_"), *named).alias("row"))
-    out = out.mapInArrow(_score(model), out.schema)
-    return out.select(*[F.col(f"row.{n}").alias(c) for n, c in zip(named, docs.columns)], F.col("e").alias("_expected_grade"),
-                      F.col("p").alias("_p_top"), (F.col("p") >= select).alias("_kept"))
+    out = plain.withColumn("found", _score(model)(F.col(named[docs.columns.index(text_column)]).cast("string")))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(named, docs.columns)], F.col("found.e").alias("_expected_grade"),
+                      F.col("found.p").alias("_p_top"), (F.col("found.p") >= select).alias("_kept"))

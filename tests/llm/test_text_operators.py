@@ -205,7 +205,7 @@ def test_language_on_held_out_rows(spark, nothing):
     for k in range(600):
         lang = rng.choice(list(letters))
         rows.append((k, " ".join("".join(rng.choice(letters[lang]) for _ in range(5)) for _ in range(30)), lang, "s", 1))
-    rows += [(600, None, "aa", "s", 0), (601, "12 34 !", "aa", "s", 0), (602, rows[0][1], None, "s", 0), (603, "", None, "s", 0), rows[1]]
+    rows += [(600, None, "aa", "s", 0), (601, "12 34 !", "aa", "s", 0), (602, rows[0][1], None, "s", 0), (603, "", None, "s", 0), (605, "½ ² ① Ⅷ ٣", None, "s", 0), rows[1]]
     df = spark.createDataFrame(rows, DOCS)
     model = language_id.train(df, F.col("doc_id") % 4 != 2)
     got = language_id.identified(clashing(df), model).collect()
@@ -214,7 +214,7 @@ def test_language_on_held_out_rows(spark, nothing):
     held = [r for r in got if r.doc_id % 4 == 2 and r.doc_id < 600]
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.97 * len(held)
     assert all(0 <= r.score <= 1 for r in got)
-    assert {(r.doc_id, r.lang_pred, r.score) for r in got if r.doc_id in (600, 601, 603)} == {(k, "und", 0.0) for k in (600, 601, 603)}
+    assert {(r.doc_id, r.lang_pred, r.score) for r in got if r.doc_id in (600, 601, 603, 605)} == {(k, "und", 0.0) for k in (600, 601, 603, 605)}
     assert next(r for r in got if r.doc_id == 602).lang_pred == rows[0][2]
     assert (model.weights == 0).mean() > 0.5 and model.temperature > 0
     none = language_id.train(nothing, F.lit(True))
@@ -244,8 +244,20 @@ def components(rows, percent: int = 80):
                 root[find(a)] = find(b)
     least = defaultdict(lambda: 1 << 60)
     for k, (doc, s) in enumerate(sets):
-        least[find(k)] = min(least[find(k)], doc)
-    return sorted((doc, len(s), least[find(k)] if s else doc) for k, (doc, s) in enumerate(sets))
+        if doc is not None:
+            least[find(k)] = min(least[find(k)], doc)
+    named = lambda x: None if x == 1 << 60 else x
+    return sorted(((doc, len(s), named(least[find(k)]) if s else doc) for k, (doc, s) in enumerate(sets)), key=str)
+
+
+def test_jaccard_links_through_rows_without_an_id(spark):
+    rng = random.Random(8)
+    base = prose(rng, 120)
+    steps = [" ".join(base[6 * k :] + [f"new{k}x{j}" for j in range(6 * k)]) for k in range(4)]
+    rows = [(5, steps[0]), (None, steps[1]), (9, steps[2]), (None, steps[1]), (None, steps[3]), (None, "alone in the world of words"), (None, "alone in the world of words"), (None, None), (None, "")]
+    assert any(c == (9, 116, 5) for c in components(rows))
+    got = jaccard_join.similar_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted(((r.id, r.n_shingles, r.component_id) for r in got), key=str) == components(rows)
 
 
 @pytest.mark.parametrize("many, group, rounds, frequent", [(16, 64, 4, 8), (2, 3, 1, 2), (1000, 64, 4, 1000), (2, 8, 0, 2)])
@@ -254,7 +266,7 @@ def test_jaccard_components_do_not_depend_on_bounds(corpus, monkeypatch, many, g
     monkeypatch.setattr(jaccard_join, "MANY", many)
     monkeypatch.setattr(jaccard_join, "FREQUENT_IN_BATCH", frequent)
     got = jaccard_join.similar_components(clashing(df).drop("id"), group_size=group, rounds=rounds).collect()
-    assert sorted((r.id, r.n_shingles, r.component_id) for r in got) == components(rows)
+    assert sorted(((r.id, r.n_shingles, r.component_id) for r in got), key=str) == components(rows)
 
 
 def test_jaccard_of_nothing(nothing, spark):
@@ -396,12 +408,17 @@ def test_line_dedup_against_brute_force(spark, corpus, nothing, shard, block):
     rng = random.Random(1)
     lines = [f"  Line number {k} that comes again {k}" for k in range(30)]
     more = [(200 + k, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 9))), "en", "s", 1) for k in range(80)]
-    unique = [r for r in rows if r[0] != 5] + more
-    df = spark.createDataFrame(unique, DOCS).repartition(5)
+    # Two documents hold a line in three rows; three documents hold another in four.
+    twice, thrice = "held by two documents in three rows", "held by three documents in four rows"
+    more += [(301, twice, "en", "s", 1), (301, f"{twice}\n{thrice}", "en", "s", 1), (300, f"{twice}\n{thrice}", "en", "s", 1), (302, thrice, "en", "s", 1), (302, thrice, "en", "s", 1)]
+    every = rows + more
+    df = spark.createDataFrame(every, DOCS).repartition(5)
     out = line_dedup.dropped_lines(clashing(df), keys_per_shard=shard, keys_per_block=block)
     assert out.columns[:-2] == clashing(df).columns
     got = sorted((r.doc_id, r["_n_lines"], r["_n_lines"] - r["_n_left"], r.text) for r in out.collect())
-    assert got == deduped(unique)
+    assert got == deduped(every)
+    kept = {r.doc_id: r.text for r in out.where("doc_id in (300, 302)").collect()}
+    assert kept == {300: twice, 302: thrice}
     assert line_dedup.dropped_lines(nothing).count() == 0
 
 
@@ -479,12 +496,19 @@ def test_pipeline_stages(spark, tmp_path):
         rows.append([k, " ".join(text), "en", "s", 1])
     for k in range(0, 60):
         rows[k][1] = " ".join(f"{w}%%%" for w in rows[k][1].split())
+    # Copies in lines too short to be dropped, and a text that is one repeated line.
+    pairs = rows[100][1].split()
+    rows[100][1] = "\n".join(" ".join(pairs[k : k + 2]) for k in range(0, len(pairs), 2))
     for k in range(60, 64):
         rows[k][1] = rows[100][1]
+    for k in (220, 221, 222):
+        rows[k][1] = rows[222][1]
     rows[200][1] += " " + bench
     for k in (210, 211, 212):
         rows[k][1] += "\nThis very line is shared by three documents"
+    rows[213][1] = "This very line is shared by three documents"
     rows.append([240, None, None, None, None])
+    rows.append([None, rows[100][1], "en", "s", 1])
     spark.createDataFrame([tuple(r) for r in rows], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(k, int(k >= 60), 0) for k in range(0, 240, 2)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(0, bench)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
@@ -497,8 +521,12 @@ def test_pipeline_stages(spark, tmp_path):
     ids = [{r.doc_id for r in d.select("doc_id").collect()} for d in seen]
     assert not ids[0] & {*range(60), 240} and len(ids[0]) > 170
     texts = {r.doc_id: r.text for r in seen[1].collect()}
-    assert [("shared by" in texts[k]) for k in (210, 211, 212)] == [False, False, True]
-    assert ids[1] - ids[2] == {k for k in (61, 62, 63, 100) if k in ids[1]} if 60 in ids[1] else True
+    assert [("shared by" in texts[k]) for k in (210, 211, 212)] == [False, False, 213 not in ids[0]] and ids[1] == ids[0]
+    assert all(d.where("doc_id IS NULL").count() == seen[0].where("doc_id IS NULL").count() for d in seen[1:4])
+    same = sorted(k for k in (60, 61, 62, 63, 100) if k in ids[1])
+    assert len(same) > 2 and ids[1] - ids[2] == set(same[1:])
+    emptied = {k for k in (220, 221, 222) if k in ids[0]}
+    assert {k for k in emptied if not texts[k]} == emptied - {max(emptied)} and len(emptied) == 3
     assert ids[2] - ids[3] == {200}
     assert all(r.round_trip for r in seen[4].collect()) and ids[4] == ids[3]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids[4]
