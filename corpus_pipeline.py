@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines leave all documents but the last that holds them; a document without a word left goes."""
-    out = line_dedup.dropped_lines(docs).where((F.col("_n_left") == F.col("_n_lines")) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    """Repeated lines leave all documents but the last that holds them; every document stays, an emptied one with an empty text."""
+    out = line_dedup.dropped_lines(docs)
     changed = F.col("_n_left") < F.col("_n_lines")
     return out.withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
@@ -34,10 +34,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones: the one with the smallest id.
 
-    Rows that repeat an id are one document and stay together; rows without an id can't be named and go.
+    Rows that repeat an id are one document and stay together.  Rows without an id can't stand for a group or be told from each
+    other; they stay.
     """
-    first = jaccard_join.similar_components(docs).where("id = component_id").select("id").distinct()
-    return docs.join(first, docs["doc_id"] == first["id"], "left_semi").select(*COLUMNS)
+    found = jaccard_join.similar_components(docs).where("id IS NOT NULL").groupBy("id")
+    later = found.agg(F.bool_and(F.col("id") != F.col("component_id")).alias("later")).where("later").select("id")
+    return docs.join(later, docs["doc_id"] == later["id"], "left_anti").select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
