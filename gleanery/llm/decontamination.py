@@ -144,7 +144,7 @@ def benchmark_hits(
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).orderBy("id", "text").toArrow()
         block = spark.sparkContext.broadcast(Items(part["id"].to_pylist(), part["text"].to_pylist(), least))
-        out = out.mapInArrow(_scan(block, percent), out.schema)
+        out = out.mapInArrow(W.released(_scan(block, percent)), out.schema)
     return out.select(*[F.col(f"row.{n}").alias(c) for n, c in zip(named, docs.columns)], F.col("hits").alias("_hits"))
 
 

@@ -54,21 +54,30 @@ FREQUENT_IN_BATCH = 2
 MOST_FREQUENT = 1 << 20
 # Stand-ins for null ids begin here; given ids are smaller.
 NO_ID = 1 << 62
+# Characters of text that are hashed together.
+WINDOW = 2_000_000
 _SHORT = np.uint64(0xA5A5A5A5DEADBEEF)
 
 
 def shingle_sets(texts: list, size: int = SHINGLE) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    hashed, first = W.word_hashes(texts)
-    every = W.windows(hashed, size)
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-        if b - a >= size:
-            yield np.unique(every[a : b - size + 1])
-        elif b > a:
-            with np.errstate(over="ignore"):
-                yield W.mix(np.array([(hashed[a:b] * W.STEP[10 : 10 + b - a]).sum(dtype=np.uint64) + _SHORT * W.U64(b - a)], np.uint64))
-        else:
-            yield every[:0]
+    """The sorted distinct shingle hashes of each text; texts are hashed together up to ``WINDOW`` characters."""
+    at = 0
+    while at < len(texts):
+        to, held = at, 0
+        while to < len(texts) and (to == at or held < WINDOW):
+            held += len(texts[to] or "")
+            to += 1
+        hashed, first = W.word_hashes(texts[at:to])
+        every = W.windows(hashed, size)
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+            if b - a >= size:
+                yield np.unique(every[a : b - size + 1])
+            elif b > a:
+                with np.errstate(over="ignore"):
+                    yield W.mix(np.array([(hashed[a:b] * W.STEP[10 : 10 + b - a]).sum(dtype=np.uint64) + _SHORT * W.U64(b - a)], np.uint64))
+            else:
+                yield every[:0]
+        at = to
 
 
 def digest(tokens: np.ndarray) -> int:
@@ -192,7 +201,7 @@ def _sets(texts: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) ->
     ids = stored(wanted.join(classes, "cls").select("id"), "wanted")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     # Rows that repeat an id may give a set twice, which only repeats a comparison.
-    return stored(texts.join(ids, "id", "left_semi").select("text").mapInArrow(_set_pass(size), "cls bigint, tokens array<bigint>"), "sets")
+    return stored(texts.join(ids, "id", "left_semi").select("text").mapInArrow(W.released(_set_pass(size)), "cls bigint, tokens array<bigint>"), "sets")
 
 
 def similar_components(
@@ -204,13 +213,13 @@ def similar_components(
     text = F.col(text_column).cast("string")
     stand_in = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text), 2)
     texts = docs.select(F.coalesce(F.col(id_column).cast("bigint"), stand_in).alias("id"), text.alias("text"))
-    first = stored(texts.mapInArrow(_first_pass(shingle), "id bigint, n bigint, cls bigint, odd array<bigint>, token bigint, times bigint"), "shingles")
+    first = stored(texts.mapInArrow(W.released(_first_pass(shingle)), "id bigint, n bigint, cls bigint, odd array<bigint>, token bigint, times bigint"), "shingles")
     members = first.where("token is null").select("id", "n", "cls")
     top = first.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).where(
         F.col("times") > MANY // 2).orderBy(F.desc("times"), "token").limit(MOST_FREQUENT)
     frequent = spark.sparkContext.broadcast(np.sort(np.array(top.select("token").toArrow().column(0).to_pylist(), np.int64).view(np.uint64)))
 
-    probes = texts.select("text").mapInArrow(_probe_pass(shingle, percent, frequent), "token bigint, cls bigint, n bigint, pos bigint")
+    probes = texts.select("text").mapInArrow(W.released(_probe_pass(shingle, percent, frequent)), "token bigint, cls bigint, n bigint, pos bigint")
     # Copies in other batches count as well; a token of one class alone is of no use later on and does no harm.
     met = probes.groupBy("token").agg(F.count("*").alias("shared")).where("shared > 1")
     rows = stored(probes.join(met, "token").distinct(), "probes")

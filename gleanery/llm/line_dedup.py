@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.words import U64, mix
+from gleanery.llm.words import U64, mix, released
 from gleanery.session import stored
 
 MIN_CHARS = 20
@@ -195,10 +195,10 @@ def dropped_lines(
     counted = "h1 bigint, h2 bigint, docs bigint, largest bigint"
     again = stored(pairs.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated-ids")
     if again.isEmpty():
-        keys = pairs.mapInArrow(_counts(least), counted)
+        keys = pairs.mapInArrow(released(_counts(least)), counted)
     else:
-        once = pairs.join(again, "id", "left_anti").mapInArrow(_counts(least), counted)
-        keys = once.unionByName(pairs.join(again, "id", "left_semi").mapInArrow(_counts(least, True), counted).distinct())
+        once = pairs.join(again, "id", "left_anti").mapInArrow(released(_counts(least)), counted)
+        keys = once.unionByName(pairs.join(again, "id", "left_semi").mapInArrow(released(_counts(least, True)), counted).distinct())
     repeated = stored(
         keys.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("largest").alias("largest")).where(F.col("docs") >= min_docs), "lines")
     total = repeated.count()
@@ -214,7 +214,7 @@ def dropped_lines(
     for first in range(0, modulus if total else 0, per_block):
         rows = index.where((F.col("shard") >= first) & (F.col("shard") < first + per_block)).collect()
         block = spark.sparkContext.broadcast([(r[0], r[1], *(bytes(x) for x in r[2:])) for r in rows])
-        out = out.mapInArrow(_probe(block, modulus, least), out.schema)
+        out = out.mapInArrow(released(_probe(block, modulus, least)), out.schema)
     named = {c: F.col(f"_rest.`{c}`") for c in docs.columns if c not in (id_column, text_column)}
     named |= {id_column: F.col("_id"), text_column: F.when(F.col("_left") > 0, F.col("_text")).otherwise("")}
     return out.select(*[named[c].alias(c) for c in docs.columns], F.col("_lines").alias("_n_lines"), F.col("_left").alias("_n_left"))

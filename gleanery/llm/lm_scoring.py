@@ -394,14 +394,14 @@ def train(texts: DataFrame, words: DataFrame, least: int = LEAST) -> tuple[np.nd
     parts = max(1, -(-int(count.sum()) // PART_GRAMS))
     # Every part is one packed row.
     grams = stored(
-        texts.mapInArrow(_dealt(spark.sparkContext.broadcast((keys, number)), parts), "part long, grams binary").groupBy("part")
+        texts.mapInArrow(W.released(_dealt(spark.sparkContext.broadcast((keys, number)), parts)), "part long, grams binary").groupBy("part")
         .applyInArrow(_counted, "part long, grams binary"), "grams")
     unigram = count / count.sum()
     model = LogBilinear.start(unigram)
     noise = spark.sparkContext.broadcast(unigram)
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(model.packed())
-        trained = stored(grams.repartition(parts, "part").mapInArrow(_train_parts(start, noise, n, turn), ROWS), "model-parts")
+        trained = stored(grams.repartition(parts, "part").mapInArrow(W.released(_train_parts(start, noise, n, turn)), ROWS), "model-parts")
         means = trained.groupBy("slice").applyInArrow(_mean, "slice long, at binary, value binary").toArrow()
         _next_start(model, means)
     return keys, number, model, unigram, np.append(ends, total)
@@ -415,6 +415,7 @@ def _scorer(held, trained_tokens: int, distinct: int) -> Callable:
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(key: tuple, docs: Iterator[pa.RecordBatch] | pa.Table, counts: pa.Table) -> pa.Table:
+        W.release()
         token, keys, number, packed, n, other_mass = held.value
         if token not in _models:
             _models.clear()
@@ -450,7 +451,7 @@ def scored(docs: DataFrame, teaches: Column, id_column: str = "doc_id", text_col
     # The text is part of the hash, so that rows that repeat an id don't meet in one bucket.
     dealt = rows.select(F.pmod(F.xxhash64("id", F.octet_length("text"), F.substring("text", 1, 64)), F.lit(buckets)).alias("bucket"), "id", "teaches", "text")
     per_bucket = stored(
-        dealt.repartition(buckets, "bucket").select("bucket", "teaches", "text").mapInArrow(_word_rows(), "bucket bigint, word bigint, times bigint")
+        dealt.repartition(buckets, "bucket").select("bucket", "teaches", "text").mapInArrow(W.released(_word_rows()), "bucket bigint, word bigint, times bigint")
         .groupBy("bucket", "word").agg(F.sum("times").alias("times")), "bucket-words")
     words = stored(per_bucket.groupBy("word").agg(F.sum("times").alias("total")), "words")
     trained, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum((F.col("total") > 0).cast("bigint")), F.lit(0))).first()

@@ -238,6 +238,7 @@ def _score(model):
         m: Ordinal = model.value
         position = m.positions(texts.to_pylist())
         tails = np.where(np.isnan(position)[:, None], 0.0, m.tails(np.nan_to_num(position)))
+        W.release()
         return pa.StructArray.from_arrays([pa.array(tails.sum(1)), pa.array(tails[:, -1])], names=["e", "p"])
 
     # Not repeated where a filter or a second column asks for the result again.

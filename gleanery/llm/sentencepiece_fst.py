@@ -29,6 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.llm.words import released
+
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 _models: dict[str, Transducer] = {}
@@ -317,9 +319,9 @@ def _pairs(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 def pieces(docs: DataFrame, name: str = MODEL, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_pieces, ids, decoded): the ids of every text and the text that they decode to."""
-    return _pairs(docs, id_column, text_column).mapInArrow(_run(name), "id bigint, n_pieces bigint, ids binary, decoded string")
+    return _pairs(docs, id_column, text_column).mapInArrow(released(_run(name)), "id bigint, n_pieces bigint, ids binary, decoded string")
 
 
 def piece_digests(docs: DataFrame, name: str = MODEL, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_pieces, ids_crc32, round_trip): the same, reduced to digests before it leaves the task."""
-    return _pairs(docs, id_column, text_column).mapInArrow(_digests(name), "id bigint, n_pieces bigint, ids_crc32 bigint, round_trip boolean")
+    return _pairs(docs, id_column, text_column).mapInArrow(released(_digests(name)), "id bigint, n_pieces bigint, ids_crc32 bigint, round_trip boolean")
