@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.words import released
+from gleanery.llm.words import bounded, released
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -290,7 +290,7 @@ def _run(name: str) -> Callable:
     schema = pa.schema([("id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             ids = encoded(batch.column(1).to_pylist(), name)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([decoded(x, name) for x in ids], pa.string())],
@@ -303,7 +303,7 @@ def _digests(name: str) -> Callable:
     schema = pa.schema([("id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             texts = batch.column(1).to_pylist()
             ids = encoded(texts, name)
             yield pa.RecordBatch.from_arrays(

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
@@ -98,6 +99,17 @@ def windows(words: np.ndarray, size: int) -> np.ndarray:
         return mix(total + U64(size))
 
 
+def bounded(batches: Iterable[pa.RecordBatch], column: int, most: int = WINDOW) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``most`` bytes of one text column, or of a single row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        total, at = np.cumsum(sizes, dtype=np.int64), 0
+        while at < len(sizes):
+            to = max(at + 1, int(np.searchsorted(total, total[at] - sizes[at] + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def release() -> None:
     """Gives freed memory back to the machine.
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -89,6 +90,15 @@ def test_hashes_do_not_depend_on_the_window():
     assert len(set(hashed[:500_000].tolist())) == 1 and hashed[0] == hashed[-1] != hashed[-2]
 
 
+@given(st.lists(st.one_of(st.none(), st.text(max_size=30)), max_size=30), st.integers(1, 60))
+@settings(max_examples=60, deadline=None)
+def test_bounded_batches_hold_the_same_rows(texts, most):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
+    parts = list(words.bounded([batch], 1, most))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == texts
+    assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column(1).to_pylist()) <= most for p in parts)
+
+
 # 1 quality rules
 
 
