@@ -53,6 +53,33 @@ def settings_violations(spark, sf):
     return settings.violations(*nation_settings(spark, sf))
 
 
+@register(
+    """
+  WITH m AS (SELECT c_custkey AS w, 'BUILDING' AS provider, 'model-' || c_nationkey AS model FROM customer
+    UNION ALL SELECT c_custkey, 'MACHINERY', CASE WHEN c_custkey % 7 = 1 THEN '' ELSE 'model-' || (c_nationkey + c_custkey % 2) END FROM customer WHERE c_custkey % 3 <> 0),
+  o AS (SELECT 'BUILDING' AS provider, 'model-' || n_nationkey AS model FROM nation UNION ALL SELECT 'MACHINERY', 'model-' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0)
+  SELECT w AS workspace, rule, count(*) AS n FROM (
+    SELECT c_custkey AS w, 'revision' AS rule FROM customer WHERE c_acctbal < 0
+    UNION ALL SELECT c_custkey, 'selected_provider' FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')
+    UNION ALL SELECT c_custkey, 'model_missing' FROM customer WHERE c_custkey % 3 = 0
+    UNION ALL SELECT w, 'model_name' FROM m WHERE model = ''
+    UNION ALL SELECT w, 'model_unlisted' FROM m WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.provider = m.provider AND o.model = m.model)) GROUP BY ALL
+"""
+)
+def settings_model_violations(spark, sf):
+    """Every customer is a configuration: the balance is its revision, the segment its provider, the nation its model."""
+    customers, nations = table(spark, sf, "customer"), table(spark, sf, "nation")
+    named = lambda c: F.concat(F.lit("model-"), c.cast("string"))
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    configurations = customers.select(key.alias("workspace"), F.floor("c_acctbal").alias("revision"), F.col("c_mktsegment").alias("selected_provider"))
+    second = F.when(key % 7 == 1, F.lit("")).otherwise(named(nation + key % 2))
+    models = customers.select(key.alias("workspace"), F.lit("BUILDING").alias("provider"), named(nation).alias("model")).unionByName(
+        customers.where(key % 3 != 0).select(key.alias("workspace"), F.lit("MACHINERY").alias("provider"), second.alias("model")))
+    offered = nations.select(F.lit("BUILDING").alias("provider"), named(F.col("n_nationkey")).alias("model")).unionByName(
+        nations.where("n_nationkey % 2 = 0").select(F.lit("MACHINERY").alias("provider"), named(F.col("n_nationkey")).alias("model")))
+    return settings.model_violations(configurations, models, offered)
+
+
 def plan_inputs(spark, sf):
     keywords, companies, sources = nation_settings(spark, sf)
     workspaces = table(spark, sf, "nation").select(F.col("n_nationkey").alias("workspace"))

@@ -35,7 +35,8 @@ def _rules(df: DataFrame, prefix: str, rules: dict[str, Column]) -> DataFrame:
 
 
 def violations(keywords: DataFrame, companies: DataFrame, sources: DataFrame) -> DataFrame:
-    """(workspace, rule, n) for every broken rule; empty for a valid configuration."""
+    """(workspace, rule, n) for every broken rule; empty for a valid configuration.  Ids of sources are checked where given."""
+    named = {"id": F.coalesce(F.length("id") > MAX_NAME, F.lit(True))} if "id" in sources.columns else {}
     return (
         _rules(keywords, "keyword", {"name": _bad_name(F.col("keyword"))})
         .unionByName(
@@ -46,7 +47,7 @@ def violations(keywords: DataFrame, companies: DataFrame, sources: DataFrame) ->
         )
         .unionByName(
             _rules(sources, "source", {
-                "name": _bad_name(F.col("name")), "url": _bad_url(F.col("url")),
+                **named, "name": _bad_name(F.col("name")), "url": _bad_url(F.col("url")),
                 "kind": ~F.coalesce(F.col("kind").isin(vocab.SOURCE_KINDS), F.lit(False)),
                 "enabled": F.col("enabled").isNull(),
             })
@@ -54,6 +55,29 @@ def violations(keywords: DataFrame, companies: DataFrame, sources: DataFrame) ->
     )
 
 
+def model_violations(configurations: DataFrame, models: DataFrame, offered: DataFrame) -> DataFrame:
+    """(workspace, rule, n) for broken rules of revision, provider and model names.
+
+    ``configurations`` (workspace, revision, selected_provider), ``models`` (workspace, provider, model) and the ``offered`` models
+    (provider, model).  A workspace needs one offered model for every offered provider.
+    """
+    providers = offered.select("provider").distinct()
+    known = providers.select(F.col("provider").alias("selected_provider"), F.lit(True).alias("_known"))
+    heads = configurations.join(known, "selected_provider", "left")
+    heads = heads.groupBy("workspace").agg(
+        F.count_if(F.coalesce(F.col("revision") < 0, F.lit(True))).alias("revision"), F.count_if(F.col("_known").isNull()).alias("selected_provider"))
+    listed = offered.select("provider", "model").distinct().withColumn("_listed", F.lit(True))
+    named = models.join(listed, ["provider", "model"], "left").join(providers.withColumn("_asked", F.lit(True)), "provider", "left")
+    named = named.groupBy("workspace").agg(
+        F.count_if(F.coalesce(~F.length("model").between(1, MAX_NAME), F.lit(True))).alias("model_name"),
+        F.count_if(F.col("_asked") & F.col("_listed").isNull()).alias("model_unlisted"), F.countDistinct(F.when(F.col("_asked"), F.col("provider"))).alias("_named"))
+    asked = providers.agg(F.count("*").alias("_all"))
+    missing = configurations.select("workspace").distinct().join(named.select("workspace", "_named"), "workspace", "left").join(F.broadcast(asked)).select(
+        "workspace", (F.col("_all") - F.coalesce("_named", F.lit(0))).alias("model_missing"))
+    wide = heads.join(missing, "workspace").join(named.drop("_named"), "workspace", "left")
+    return wide.unpivot("workspace", [c for c in wide.columns if c != "workspace"], "rule", "n").where("n > 0")
+
+
 def official_website(name: Column | str, websites: dict[str, str] | None = None) -> Column:
     """Configured site of a company by exact name, else the built-in one by identity key."""
     company = F.col(name) if isinstance(name, str) else name
