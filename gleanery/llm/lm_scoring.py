@@ -30,6 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,6 +113,21 @@ def _contexts(ids: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return two, one
 
 
+def _packed(gram: np.ndarray) -> bytes:
+    """Columns of numbers sorted by their third row, as compressed byte planes with differences in that row."""
+    gram = gram.astype(np.int32)
+    gram[2, 1:] -= gram[2, :-1].copy()
+    planes = np.ascontiguousarray(gram).view(np.uint8).reshape(len(gram), -1, 4).transpose(0, 2, 1)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unpacked(data: bytes, rows: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(rows, 4, -1)
+    gram = planes.transpose(0, 2, 1).copy().view(np.int32)[:, :, 0]
+    gram[2] = np.cumsum(gram[2])
+    return gram
+
+
 def _dealt(vocabulary, parts: int) -> Callable:
     """(two before, one before, token) of all tokens of the training texts, packed in one row per part and run of texts."""
     schema = pa.schema([("part", pa.int64()), ("grams", pa.binary())])
@@ -130,11 +146,11 @@ def _dealt(vocabulary, parts: int) -> Callable:
                 gram = np.stack((*_contexts(ids, edge), ids))
                 with np.errstate(over="ignore"):
                     part = W.mix((gram.astype(np.uint64) * W.STEP[:3, None]).sum(0)) % W.U64(parts)
-                order = np.argsort(part, kind="stable")
+                order = np.lexsort((*gram, part))
                 bound = np.searchsorted(part[order], np.arange(parts + 1))
                 some = np.flatnonzero(np.diff(bound))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(some), pa.array([gram[:, order[bound[k] : bound[k + 1]]].tobytes() for k in some], pa.binary())], schema=schema)
+                    pa.array(some), pa.array([_packed(gram[:, order[bound[k] : bound[k + 1]]]) for k in some], pa.binary())], schema=schema)
                 at = to
 
     return run
@@ -142,11 +158,11 @@ def _dealt(vocabulary, parts: int) -> Callable:
 
 def _counted(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The different n-grams of one part in a fixed order, whatever the order of arrival, with their counts, packed in one row."""
-    gram = np.concatenate([np.frombuffer(g, np.int32).reshape(3, -1) for batch in batches for g in batch.column(1).to_pylist()], 1)
+    gram = np.concatenate([_unpacked(g, 3) for batch in batches for g in batch.column(1).to_pylist()], 1)
     gram = gram[:, np.lexsort(gram)]
     first = np.flatnonzero(np.append(True, (gram[:, 1:] != gram[:, :-1]).any(0)))
     times = np.diff(np.append(first, gram.shape[1])).astype(np.int32)
-    packed = np.concatenate((gram[:, first], times[None, :])).tobytes()
+    packed = _packed(np.concatenate((gram[:, first], times[None, :])))
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([packed], pa.binary())], names=["part", "grams"])
 
 
@@ -319,7 +335,7 @@ def _train_parts(model, unigram, n: int, turn: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                two, one, token, times = np.frombuffer(packed.as_buffer(), np.int32).reshape(4, -1).astype(np.int64)
+                two, one, token, times = _unpacked(packed.as_buffer(), 4).astype(np.int64)
                 own = LogBilinear.unpacked(model.value, n)
                 own.learn(two, one, token, times, unigram.value, EPOCHS, 1_000_003 * turn + part)
                 shared = np.concatenate([getattr(own, name).ravel() for name in SHARED])

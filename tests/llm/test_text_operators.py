@@ -461,6 +461,14 @@ def test_language_model_scores(spark, corpus, nothing):
     assert lm_scoring.scored(nothing, teaches).count() == 0
 
 
+@given(st.lists(st.tuples(*[st.integers(0, 2**31 - 1)] * 4), max_size=40))
+@settings(max_examples=40, deadline=None)
+def test_packed_grams_come_back(rows):
+    gram = np.array(rows, np.int64).reshape(-1, 4).T
+    gram = gram[:, np.argsort(gram[2], kind="stable")]
+    assert (lm_scoring._unpacked(lm_scoring._packed(gram), 4) == gram).all()
+
+
 def test_log_bilinear_probabilities_sum_to_one_and_learn():
     rng = np.random.default_rng(0)
     n = 20
