@@ -156,7 +156,26 @@ def grounded_profiles(spark, sf):
     return rows.select("batch_id", "name", "funding")
 
 
-@register()
+DEDUPE_SQL = f"""
+  WITH RECURSIVE l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda s: length(s) >= 12) AS ls FROM documents),
+  c AS (SELECT doc_id, unnest(ls) AS q, generate_subscripts(ls, 1) AS i FROM l),
+  k AS (SELECT *, {identity_sql('q')} AS key FROM c),
+  g AS (SELECT *, {bigram_sql('key')} AS grams FROM k),
+  o AS (SELECT doc_id, list({{'page': i % 2, 'key': key, 'grams': grams}} ORDER BY length(q) DESC, i) AS cs FROM g GROUP BY doc_id),
+  r AS (
+    SELECT doc_id, 0 AS n, cs[1:0] AS kept FROM o
+    UNION ALL
+    SELECT doc_id, n + 1, CASE WHEN len(list_filter(kept, lambda x: CASE WHEN x.page = e.page
+        THEN contains(e.key, x.key) OR contains(x.key, e.key) OR 2.0 * len(list_intersect(x.grams, e.grams)) >= 0.82 * (len(x.grams) + len(e.grams)) AND len(x.grams) * len(e.grams) > 0
+        ELSE length(x.key) >= 24 AND length(e.key) >= 24 AND 2.0 * len(list_intersect(x.grams, e.grams)) >= 0.95 * (len(x.grams) + len(e.grams)) END)) > 0
+      THEN kept ELSE list_append(kept, e) END
+    FROM (SELECT r.*, o.cs[n + 1] AS e FROM r JOIN o USING (doc_id) WHERE n < len(o.cs)))
+  SELECT doc_id, coalesce(len(kept), 0) AS kept, coalesce(len(list_distinct(list_transform(kept, lambda x: x.page))), 0) AS pages
+  FROM documents LEFT JOIN (SELECT r.* FROM r JOIN o USING (doc_id) WHERE n = len(cs)) USING (doc_id)
+"""
+
+
+@register(DEDUPE_SQL)
 def evidence_dedupe(spark, sf):
     """Lines of a document as citations of two pages, repeated ones dropped."""
     page = F.concat(F.lit("https://"), "source", F.lit(".example.org/"))
