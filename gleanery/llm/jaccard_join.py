@@ -12,7 +12,9 @@
    queries to a group; the smaller component asks.  A query opens a group only if
    - the sizes fit,
    - for a group of one class, the probe tokens shared so far and the shingles left after the last of them allow the overlap,
-     and so do the parities of both sets (see ``parities``), which are far smaller than the sets,
+     and so do the parities of both sets (see ``parities``), which are far smaller than the sets.  Only shared tokens with no
+     less than the overlap from their own place on in both sets are looked at, as the first shared one always is such a token,
+     and none whose places alone rule the overlap out,
    - the group's union holds at least ceil(t n) of the query's n shingles.
 5. Members of opened groups are compared exactly; all links give the components.
 
@@ -256,13 +258,18 @@ def similar_components(
         F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("place"))
     queries = left.select("token", "cls", "n", "pos", F.col("comp").alias("own"), F.col("weight").alias("own_weight"))
     after = F.least(F.col("n") - F.col("last"), F.col("low") - F.col("place")) - 1
+    # Shared tokens of single classes that may be the first of a link, and whose places allow one.
+    least = (F.col("n") + F.col("low")) * percent
+    first_of_link = (F.least(F.col("n") - F.col("pos"), F.col("low") - F.col("place")) * (100 + percent) >= least) & (
+        (F.least("pos", "place") + F.least(F.col("n") - F.col("pos"), F.col("low") - F.col("place"))) * (100 + percent) >= least)
     asks = (
         queries.join(matrix, "token")
         .where("(own_weight, own) < (weight, comp)")
         .where((F.col("high") * 100 >= F.col("n") * percent) & (F.col("low") * percent <= F.col("n") * 100))
+        .where((F.col("weight") > 1) | first_of_link)
         .groupBy("cls", "n", "comp", "piece", "weight")
         .agg(F.count("*").alias("hits"), F.max("pos").alias("last"), F.max("place").alias("place"), F.min("low").alias("low"))
-        .where((F.col("weight") > 1) | ((F.col("hits") + after) * (100 + percent) >= (F.col("n") + F.col("low")) * percent))
+        .where((F.col("weight") > 1) | ((F.col("hits") + after) * (100 + percent) >= least))
         .select("cls", "n", "comp", "piece", "weight", "low")
     )
     asks = stored(asks, "asks")
