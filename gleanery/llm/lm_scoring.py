@@ -1,23 +1,26 @@
 """Language-model scores: a log-bilinear neural model trained with noise-contrastive estimation.
 
 Tokens are words in lower case (A-Z) and one end mark per text.  The base score is the add-one unigram model over all training
-tokens.  The log-bilinear model has every word that occurs at least ``LEAST`` times in the training texts, the end mark and one
-symbol for all rarer words: the vectors of the two tokens before, each times a matrix of its place, sum to a prediction.  The
-output has two levels.  Numbers are given by falling frequency and n of them are cut into classes of about sqrt(n) numbers;
-P(token | before) = P(class | before) P(token | class, before), each from products of the prediction with vectors plus biases,
-so that normalising a token takes about 2 sqrt(n) products.  A word outside the vocabulary takes the symbol's probability times
-its share of the base model among such words, so the scores are probabilities over all texts.
+tokens.  The log-bilinear model has a row of its own for the ``OWN`` most frequent words that occur at least ``LEAST`` times in
+the training texts and for the end mark; all other words share rows by their hashes, about ``SHARING`` to a row and ``SHARED_ROWS`` rows
+at most.  The vectors of the two tokens before, each times a matrix of its place, sum to a prediction.  The output has two levels.
+The rows are cut into classes of about sqrt(n) of n rows; P(row | before) = P(class | before) P(row | class, before), each from
+products of the prediction with vectors plus biases, so that normalising a token takes about 2 sqrt(n) products.  A word of a shared
+row takes the row's probability times its share of the base model among the row's words and one unseen word, so the scores are
+probabilities over all texts.
 
 Work on the cluster:
 1. Documents are dealt into buckets of bounded size by a hash of their ids.  A bucket sends one row per distinct word with its
    count in training texts; counts are added up per word over the whole corpus.
 2. The n-grams (two tokens before, token) of the training texts are dealt to parts of about ``PART_GRAMS`` tokens and counted
-   there; in each round every part trains on its counts by NCE from the same start.  A part sends the vectors it
-   touched in slices of rows; the next start is, row by row, their mean weighted by how often each part touched the row.
+   there; in each round every part trains on its counts by NCE from the same start.  A part sends what it changed in the rows
+   that it touched, in slices of rows; the next start is changed, row by row, by the mean weighted by how often each part touched
+   the row.  Means are taken of ``FAN`` parts at a time, level by level, so that no task reads more than that.
 3. A bucket's documents meet the counts of just the words of that bucket.  Tokens are normalised class by class in matrix
    products of bounded size.
 
-The vocabulary and the model (``2 * SIZE + 1`` numbers a word) grow with the words of the corpus, and every worker holds one.
+Counts of words and n-grams grow with the corpus; the model has a bounded number of rows of ``2 * SIZE + 1`` numbers, which every
+worker holds and every part sends once a round, so what is sent stays in proportion to the corpus.
 A null text is an empty one: it has the end mark alone.  Repeated rows are scored each for itself, and count each in training.
 Extra columns are not read.  Words are held by 64-bit hashes.
 """
@@ -41,16 +44,21 @@ from gleanery.session import stored
 VOCABULARY = 1 << 21
 # Training occurrences of a word with a vector of its own.
 LEAST = 5
+# Most frequent words with a row of their own; words that share a row, and rows that are shared at most.
+OWN = 1 << 15
+SHARING = 64
+SHARED_ROWS = 1 << 15
 SIZE = 24
 NOISE = 64
 # Noise words per token, drawn in the token's class, and tokens that share them.
 WITHIN = 5
 RUN = 4
-PART_GRAMS = 1 << 20
-# Rows of the model that are averaged in one task.
-SLICE = 1 << 13
+PART_GRAMS = 1 << 21
+# Rows of the model that are averaged in one task, and parts averaged at a time.
+SLICE = 1 << 12
+FAN = 64
 ROUNDS = 2
-EPOCHS = 2
+EPOCHS = 1
 BATCH = 2048
 RATE = 0.1
 # Adagrad's sum of squares at the start.
@@ -60,7 +68,6 @@ BUCKET_BYTES = 8 << 20
 # Characters of training texts counted together.
 TOGETHER = 6 << 20
 END = 0
-OTHER = 1
 END_KEY = np.int64(-7046029254386353131)
 
 
@@ -93,12 +100,10 @@ def _word_rows() -> Callable:
     return run
 
 
-def _numbers(tokens: np.ndarray, keys: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Vocabulary number of each token; ``keys`` is sorted."""
-    if not len(keys):
-        return np.where(tokens == END_KEY, END, OTHER)
+def _numbers(tokens: np.ndarray, keys: np.ndarray, number: np.ndarray, shared: int) -> np.ndarray:
+    """Row of each token; ``keys`` is sorted and has the end mark.  The shared rows follow the end mark's."""
     at = np.minimum(np.searchsorted(keys, tokens), len(keys) - 1)
-    return np.where(keys[at] == tokens, number[at], OTHER)
+    return np.where(keys[at] == tokens, number[at], 1 + tokens % shared)
 
 
 def _contexts(ids: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +138,7 @@ def _dealt(vocabulary, parts: int) -> Callable:
     schema = pa.schema([("part", pa.int64()), ("grams", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, number = vocabulary.value
+        keys, number, shared = vocabulary.value
         for batch in batches:
             texts, at = batch.column(0).to_pylist(), 0
             while at < len(texts):
@@ -142,7 +147,7 @@ def _dealt(vocabulary, parts: int) -> Callable:
                     held += len(texts[to])
                     to += 1
                 tokens, edge = _tokens(texts[at:to])
-                ids = _numbers(tokens, keys, number).astype(np.int32)
+                ids = _numbers(tokens, keys, number, shared).astype(np.int32)
                 gram = np.stack((*_contexts(ids, edge), ids))
                 with np.errstate(over="ignore"):
                     part = W.mix((gram.astype(np.uint64) * W.STEP[:3, None]).sum(0)) % W.U64(parts)
@@ -329,22 +334,25 @@ SHARED = ("near", "far", "class_target", "class_bias")
 
 
 def _train_parts(model, unigram, n: int, turn: int) -> Callable:
-    """The rows of the model that each part touched, in slices; slice -1 has the arrays that all tokens share."""
+    """What each part changed in the rows that it touched, in slices; slice -1 has the arrays that all tokens share."""
     schema = pa.schema([("slice", pa.int64()), ("part", pa.int64()), ("at", pa.binary()), ("used", pa.binary()), ("value", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
                 two, one, token, times = _unpacked(packed.as_buffer(), 4).astype(np.int64)
-                own = LogBilinear.unpacked(model.value, n)
+                start, own = LogBilinear.unpacked(model.value, n), LogBilinear.unpacked(model.value, n)
                 own.learn(two, one, token, times, unigram.value, EPOCHS, 1_000_003 * turn + part)
+                for name in LogBilinear.NAMES:
+                    held = getattr(own, name)
+                    held -= getattr(start, name)
                 shared = np.concatenate([getattr(own, name).ravel() for name in SHARED])
                 out = [(-1, part, b"", np.float32(times.sum()).tobytes(), shared.tobytes())]
                 for first in range(0, n, SLICE):
                     used = own.used[:, first : first + SLICE]
                     at = np.flatnonzero(used.any(0))
                     if len(at):
-                        value = np.concatenate((own.before[first + at], own.target[first + at], own.bias[first + at, None]), 1)
+                        value = np.concatenate((own.before[first + at], own.target[first + at], own.bias[first + at, None]), 1).astype(np.float16)
                         out.append((first // SLICE, part, at.astype(np.int32).tobytes(), np.ascontiguousarray(used[:, at]).tobytes(), value.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
@@ -352,75 +360,97 @@ def _train_parts(model, unigram, n: int, turn: int) -> Callable:
 
 
 def _mean(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Weighted mean of one slice over the parts, which arrive one at a time; at binary has the rows that any part touched."""
-    number = key[0].as_py()
-    total, used = None, None
+    """Weighted mean of the changes of one slice over some parts, which arrive one at a time, and the sums of the weights."""
+    number, part = key[0].as_py(), key[1].as_py()
+    total, used = 0, 0
+    if number >= 0:
+        total, used = np.zeros((SLICE, 2 * SIZE + 1)), np.zeros((2, SLICE))
     for batch in batches:
         for at, weights, value in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
-            value, weights = np.frombuffer(value, np.float32).astype(np.float64), np.frombuffer(weights, np.float32).astype(np.float64)
+            weights = np.frombuffer(weights, np.float32).astype(np.float64)
             if number < 0:
-                total, used = (0 if total is None else total) + weights * value, (0 if used is None else used) + weights
+                total, used = total + weights * np.frombuffer(value, np.float32), used + weights
                 continue
-            if total is None:
-                total, used = np.zeros((SLICE, 2 * SIZE + 1)), np.zeros((2, SLICE))
             at, weights = np.frombuffer(at, np.int32), weights.reshape(2, -1)
-            value = value.reshape(-1, 2 * SIZE + 1)
+            value = np.frombuffer(value, np.float16).reshape(-1, 2 * SIZE + 1).astype(np.float64)
             total[at, :SIZE] += weights[0][:, None] * value[:, :SIZE]
             total[at, SIZE:] += weights[1][:, None] * value[:, SIZE:]
             used[:, at] += weights
     if number < 0:
-        at, value = b"", total / used
+        at, value = b"", (total / used).astype(np.float32)
     else:
-        value = np.concatenate((total[:, :SIZE] / np.maximum(used[0], 1)[:, None], total[:, SIZE:] / np.maximum(used[1], 1)[:, None]), 1)
-        at = (used > 0).astype(np.int8).tobytes()
-    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([at], pa.binary()), pa.array([value.astype(np.float32).tobytes()], pa.binary())],
-                                     names=["slice", "at", "value"])
+        at = np.flatnonzero(used.any(0)).astype(np.int32)
+        total, used = total[at], used[:, at]
+        value = np.concatenate((total[:, :SIZE] / np.maximum(used[0], 1)[:, None], total[:, SIZE:] / np.maximum(used[1], 1)[:, None]), 1).astype(np.float16)
+        at = at.tobytes()
+    out = [pa.array([c], t) for c, t in ((number, pa.int64()), (part, pa.int64()), (at, pa.binary()), (used.astype(np.float32).tobytes(), pa.binary()),
+                                         (value.tobytes(), pa.binary()))]
+    yield pa.RecordBatch.from_arrays(out, names=["slice", "part", "at", "used", "value"])
+
+
+def _averaged(trained: DataFrame, parts: int) -> pa.Table:
+    """One row per slice: the mean changes over all parts."""
+    while True:
+        trained = trained.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("slice", "part").applyInArrow(_mean, ROWS)
+        parts = -(-parts // FAN)
+        if parts == 1:
+            return trained.toArrow()
 
 
 def _next_start(model: LogBilinear, rows: pa.Table) -> None:
-    """Puts the means into the model; rows that no part touched stay."""
+    """Adds the mean changes to the model; rows that no part touched stay."""
     for number, at, value in zip(*(rows[c].to_pylist() for c in ("slice", "at", "value"))):
-        value = np.frombuffer(value, np.float32)
         if number < 0:
+            value = np.frombuffer(value, np.float32)
             for name in SHARED:
                 held = getattr(model, name)
-                held[...], value = value[: held.size].reshape(held.shape), value[held.size :]
+                held += value[: held.size].reshape(held.shape)
+                value = value[held.size :]
             continue
-        context, target = np.frombuffer(at, np.int8).reshape(2, -1) > 0
-        value, first = value.reshape(-1, 2 * SIZE + 1), number * SLICE
-        context, target = np.flatnonzero(context), np.flatnonzero(target)
-        model.before[first + context] = value[context, :SIZE]
-        model.target[first + target], model.bias[first + target] = value[target, SIZE:-1], value[target, -1]
-
-
-def train(texts: DataFrame, words: DataFrame, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, LogBilinear, np.ndarray, np.ndarray]:
-    """(sorted word keys, their numbers, model, unigram, totals of the keys) from training texts and the total counts of words."""
+        at = number * SLICE + np.frombuffer(at, np.int32)
+        value = np.frombuffer(value, np.float16).reshape(-1, 2 * SIZE + 1).astype(np.float32)
+        model.before[at] += value[:, :SIZE]
+        model.target[at] += value[:, SIZE:-1]
+        model.bias[at] += value[:, -1]
+
+
+def train(
+    texts: DataFrame, words: DataFrame, least: int = LEAST, own: int = OWN,
+) -> tuple[np.ndarray, np.ndarray, LogBilinear, np.ndarray, np.ndarray]:
+    """(sorted keys of words with a row of their own, their rows, model, unigram, base mass of the shared rows) from training
+    texts and the total counts of words."""
     spark = texts.sparkSession
-    top = words.where(F.col("word") != int(END_KEY)).where(F.col("total") >= least).orderBy(F.desc("total"), "word").toArrow()
-    ends, rare = words.agg(
-        F.coalesce(F.sum(F.when(F.col("word") == int(END_KEY), F.col("total"))), F.lit(0)),
-        F.coalesce(F.sum(F.when((F.col("word") != int(END_KEY)) & (F.col("total") < least), F.col("total"))), F.lit(0))).first()
-    total = top["total"].to_numpy()
+    inside = words.where(F.col("word") != int(END_KEY))
+    top = inside.where(F.col("total") >= least).orderBy(F.desc("total"), "word").limit(own).toArrow()
+    rest = F.col("total") < least
+    if len(top) == own:
+        last_total, last_word = top["total"][-1].as_py(), top["word"][-1].as_py()
+        rest = (F.col("total") < last_total) | ((F.col("total") == last_total) & (F.col("word") > last_word))
+    rest = inside.where(rest & (F.col("total") > 0))
+    shared = min(SHARED_ROWS, max(1, -(-rest.count() // SHARING)))
+    rest = rest.groupBy(F.pmod("word", F.lit(shared)).alias("row")).agg(F.sum("total").alias("total"), F.count("*").alias("words")).toArrow()
+    row, rare, members = rest["row"].to_numpy(), np.zeros(shared), np.zeros(shared)
+    rare[row], members[row] = rest["total"].to_numpy(), rest["words"].to_numpy()
+    ends = words.where(F.col("word") == int(END_KEY)).agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     keys = np.append(int(END_KEY), top["word"].to_numpy())
-    number = np.append(END, np.arange(2, len(keys) + 1)).astype(np.int32)
-    count = np.concatenate(([ends, rare], total)) + 1.0
+    number = np.append(END, np.arange(1 + shared, len(keys) + shared)).astype(np.int32)
+    count = np.concatenate(([ends], rare, top["total"].to_numpy())) + 1.0
     order = np.argsort(keys)
     keys, number = keys[order], number[order]
     n = len(count)
     parts = max(1, -(-int(count.sum()) // PART_GRAMS))
     # Every part is one packed row.
     grams = stored(
-        texts.mapInArrow(W.released(_dealt(spark.sparkContext.broadcast((keys, number)), parts)), "part long, grams binary").groupBy("part")
+        texts.mapInArrow(W.released(_dealt(spark.sparkContext.broadcast((keys, number, shared)), parts)), "part long, grams binary").groupBy("part")
         .applyInArrow(_counted, "part long, grams binary"), "grams")
     unigram = count / count.sum()
     model = LogBilinear.start(unigram)
     noise = spark.sparkContext.broadcast(unigram)
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(model.packed())
-        trained = stored(grams.repartition(parts, "part").mapInArrow(W.released(_train_parts(start, noise, n, turn)), ROWS), "model-parts")
-        means = trained.groupBy("slice").applyInArrow(_mean, "slice long, at binary, value binary").toArrow()
-        _next_start(model, means)
-    return keys, number, model, unigram, np.append(ends, total)
+        trained = grams.repartition(parts, "part").mapInArrow(W.released(_train_parts(start, noise, n, turn)), ROWS)
+        _next_start(model, _averaged(trained, parts))
+    return keys, number, model, unigram, rare + members + 1
 
 
 # The model of the last broadcast that this worker has used, by the broadcast's own token.
@@ -432,7 +462,7 @@ def _scorer(held, trained_tokens: int, distinct: int) -> Callable:
 
     def run(key: tuple, docs: Iterator[pa.RecordBatch] | pa.Table, counts: pa.Table) -> pa.Table:
         W.release()
-        token, keys, number, packed, n, other_mass = held.value
+        token, keys, number, packed, n, mass = held.value
         if token not in _models:
             _models.clear()
             _models[token] = LogBilinear.unpacked(packed, n)
@@ -445,10 +475,11 @@ def _scorer(held, trained_tokens: int, distinct: int) -> Callable:
         tokens, edge = _tokens(texts)
         c = total[np.searchsorted(word, tokens)] if len(word) else np.zeros(len(tokens), np.int64)
         base = np.log10((c + 1) / (trained_tokens + distinct + 1))
-        ids = _numbers(tokens, keys, number).astype(np.int64)
+        ids = _numbers(tokens, keys, number, len(mass)).astype(np.int64)
         score = model.log_p(*_contexts(ids, edge), ids) / np.log(10)
-        # Words outside the vocabulary share its symbol's probability in proportion to the base model.
-        score += np.where(ids == OTHER, np.log10((c + 1) / other_mass), 0.0)
+        # Words of a shared row share its probability in proportion to the base model.
+        rare = np.flatnonzero((ids > END) & (ids <= len(mass)))
+        score[rare] += np.log10((c[rare] + 1) / mass[ids[rare] - 1])
         at = edge[:-1]
         out = [docs["id"].combine_chunks() if isinstance(docs["id"], pa.ChunkedArray) else docs["id"], pa.array(np.diff(edge)),
                pa.array(np.add.reduceat((c > 0).astype(np.int64), at)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(score, at))]
@@ -471,11 +502,8 @@ def scored(docs: DataFrame, teaches: Column, id_column: str = "doc_id", text_col
         .groupBy("bucket", "word").agg(F.sum("times").alias("times")), "bucket-words")
     words = stored(per_bucket.groupBy("word").agg(F.sum("times").alias("total")), "words")
     trained, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum((F.col("total") > 0).cast("bigint")), F.lit(0))).first()
-    keys, number, model, _, totals = train(rows.where("teaches").select("text"), words)
-    known = int((totals + 1).sum())
-    # Base mass of all words outside the vocabulary and of one unseen word.
-    other_mass = float(trained + distinct + 1 - known) if trained else 1.0
-    held = spark.sparkContext.broadcast((uuid.uuid4().hex, keys, number, model.packed(), len(keys) + 1, max(1.0, other_mass)))
+    keys, number, model, _, mass = train(rows.where("teaches").select("text"), words)
+    held = spark.sparkContext.broadcast((uuid.uuid4().hex, keys, number, model.packed(), len(model.bias), mass))
     counts = per_bucket.select("bucket", "word").join(words, "word")
     out = dealt.select("bucket", "id", "text").groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(
         _scorer(held, int(trained), int(distinct)), "id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
