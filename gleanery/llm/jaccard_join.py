@@ -5,7 +5,8 @@
    classes with a similarity of t or more share a probe token in any order.  Shingles that are frequent in some task come
    last, so that common passages are hardly ever probe tokens; which ones those are changes the cost, never the result.
 3. Similar classes are gathered into groups first.  At every probe token that many classes share, a class meets one other
-   class, picked at random for that token from the heaviest component there; one such meeting a component and round is
+   class from the heaviest component there: in one round that with the largest share of frequent shingles, which the original of
+   many edited copies has, in the next one picked at random; one such meeting a component and round is
    compared, the one that most tokens propose.  The links found give provisional components, so a large group of near copies is joined with a few
    comparisons per member.  Groups are pieces of at most about ``group_size`` classes of one component.
 4. The matrix holds (token, group) with the least place and size of a member.  Only classes of *another* component are
@@ -161,17 +162,20 @@ def _probe_pass(size: int, percent: int, frequent) -> Callable:
     return run
 
 
-def _set_pass(size: int) -> Callable:
-    schema = pa.schema([("cls", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+def _set_pass(size: int, frequent) -> Callable:
+    """Class, set, and how many of a thousand shingles are frequent."""
+    schema = pa.schema([("cls", pa.int64()), ("tokens", pa.list_(pa.int64())), ("common", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = frequent.value
         for batch in batches:
             sets = list(shingle_sets(batch.column(0).to_pylist(), size))
             offsets = np.zeros(len(sets) + 1, np.int32)
             np.cumsum([len(s) for s in sets], out=offsets[1:])
             flat = np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), lists], schema=schema)
+            common = [int(np.isin(s, last, assume_unique=True).sum()) * 1000 // max(1, len(s)) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), lists, pa.array(common, pa.int64())], schema=schema)
 
     return run
 
@@ -198,12 +202,12 @@ def _components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("cls").distinct().join(found, "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp"))
 
 
-def _sets(texts: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(cls, tokens) of the wanted classes, each read from one of its documents."""
+def _sets(texts: DataFrame, classes: DataFrame, wanted: DataFrame, size: int, frequent) -> DataFrame:
+    """(cls, tokens, common) of the wanted classes, each read from one of its documents."""
     ids = stored(wanted.join(classes, "cls").select("id"), "wanted")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     # Rows that repeat an id may give a set twice, which only repeats a comparison.
-    return stored(texts.join(ids, "id", "left_semi").select("text").mapInArrow(W.released(_set_pass(size)), "cls bigint, tokens array<bigint>"), "sets")
+    return stored(texts.join(ids, "id", "left_semi").select("text").mapInArrow(W.released(_set_pass(size, frequent)), "cls bigint, tokens array<bigint>, common bigint"), "sets")
 
 
 def similar_components(
@@ -231,12 +235,13 @@ def similar_components(
     state, links = nodes.withColumn("comp", F.col("cls")), None
     first_ones = F.row_number().over(Window.partitionBy("cls").orderBy("pos"))
     many = stored(rows.where(F.col("shared") > MANY).withColumn("k", first_ones).where(F.col("k") <= MEETING_TOKENS).drop("k"), "meeting")
-    sets = _sets(texts, classes, many.select("cls").distinct(), shingle)
+    sets = _sets(texts, classes, many.select("cls").distinct(), shingle, frequent)
+    many = many.join(sets.groupBy("cls").agg(F.max("common").alias("common")), "cls")
     for turn in range(rounds):
         weight = state.groupBy("comp").agg(F.count("*").alias("weight"))
         placed = many.join(state, "cls").join(weight, "comp")
         one = F.struct("cls", "n", "comp")
-        order = F.struct("weight", F.xxhash64("cls", "token", F.lit(turn)))
+        order = F.struct("weight", F.lit(0).cast("bigint") if turn % 2 else F.col("common"), F.xxhash64("cls", "token", F.lit(turn)))
         hub = placed.groupBy("token").agg(F.max_by(one, order).alias("hub"))
         own = placed.groupBy("token", "comp").agg(F.max_by(F.struct("cls", "n"), order).alias("own"))
         meets = own.join(hub, "token").where("comp <> hub.comp").where(_fits(F.col("own.n"), F.col("hub.n"), percent))
@@ -286,7 +291,7 @@ def similar_components(
     inside = left.where("weight > 1").select("cls", F.col("n").alias("m"), "comp", "piece").distinct()
     inside = stored(inside.join(asks.select("comp", "piece").distinct(), ["comp", "piece"]), "members")
     asked = lone.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(asks.select("cls")).unionByName(inside.select("cls"))
-    sets = _sets(texts, classes, asked.distinct(), shingle)
+    sets = _sets(texts, classes, asked.distinct(), shingle, frequent)
     # A piece holds about group_size members, so its union is bounded; the union of one class is the class itself.
     unions = inside.join(sets, "cls").groupBy("comp", "piece").agg(
         F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
