@@ -324,3 +324,12 @@ def run_log(spark, sf):
     for part in (0, 1):
         snapshots.append_log(spark, root, rows.where(F.col("part") == part))
     return snapshots.read_log(spark, root)
+
+
+@register("SELECT event_id, ts AS effective_at, user_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-20' - INTERVAL 7 DAY AND TIMESTAMP '2024-01-20'")
+def recent_snapshot(spark, sf):
+    """All events are published by day; a week of them is read back from the files of its days."""
+    root, now = new_folder(spark), F.lit("2024-01-20").cast("timestamp")
+    every = table(spark, sf, "events").select("event_id", F.col("ts").alias("effective_at"), "user_id")
+    snapshots.publish({"items": every}, root, "run-days", now)
+    return snapshots.read_recent(spark, root, now, schema="event_id bigint, effective_at timestamp, user_id bigint", days=7)
