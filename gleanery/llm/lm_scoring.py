@@ -133,6 +133,12 @@ def _unpacked(data: bytes, rows: int) -> np.ndarray:
     return gram
 
 
+def _joined(gram: np.ndarray) -> np.ndarray:
+    """One number per n-gram, in order of the token, then of the tokens before."""
+    two, one, token = gram.astype(np.int64)
+    return (token * VOCABULARY + one) * VOCABULARY + two
+
+
 def _dealt(vocabulary, parts: int) -> Callable:
     """(two before, one before, token) of all tokens of the training texts, packed in one row per part and run of texts."""
     schema = pa.schema([("part", pa.int64()), ("grams", pa.binary())])
@@ -151,7 +157,8 @@ def _dealt(vocabulary, parts: int) -> Callable:
                 gram = np.stack((*_contexts(ids, edge), ids))
                 with np.errstate(over="ignore"):
                     part = W.mix((gram.astype(np.uint64) * W.STEP[:3, None]).sum(0)) % W.U64(parts)
-                order = np.lexsort((*gram, part))
+                order = np.argsort(_joined(gram))
+                order = order[np.argsort(part[order], kind="stable")]
                 bound = np.searchsorted(part[order], np.arange(parts + 1))
                 some = np.flatnonzero(np.diff(bound))
                 yield pa.RecordBatch.from_arrays([
@@ -164,10 +171,10 @@ def _dealt(vocabulary, parts: int) -> Callable:
 def _counted(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The different n-grams of one part in a fixed order, whatever the order of arrival, with their counts, packed in one row."""
     gram = np.concatenate([_unpacked(g, 3) for batch in batches for g in batch.column(1).to_pylist()], 1)
-    gram = gram[:, np.lexsort(gram)]
-    first = np.flatnonzero(np.append(True, (gram[:, 1:] != gram[:, :-1]).any(0)))
-    times = np.diff(np.append(first, gram.shape[1])).astype(np.int32)
-    packed = _packed(np.concatenate((gram[:, first], times[None, :])))
+    joined, times = np.unique(_joined(gram), return_counts=True)
+    rest, two = np.divmod(joined, VOCABULARY)
+    token, one = np.divmod(rest, VOCABULARY)
+    packed = _packed(np.stack((two, one, token, times)))
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([packed], pa.binary())], names=["part", "grams"])
 
 
