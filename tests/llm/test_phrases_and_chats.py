@@ -193,6 +193,16 @@ def test_trie_of_single_and_turnless_conversations(spark):
         assert nodes_of(prefix_trie.shared_prefixes(spark.createDataFrame(rows, TURNS))) == brute_trie(rows)
 
 
+def test_hundreds_below_zero_begin_at_their_smallest_id(spark):
+    """-150 belongs to the hundred of -200, not to that of -100; the smallest ids have no first conversation."""
+    takes = next(c for c in range(-199, -100) if zlib.crc32(str(c).encode()) % 6 == 1)
+    lowest = next(c for c in range(-(2**63), -(2**63) + 9) if zlib.crc32(str(c).encode()) % 6 >= 1)
+    rows = [(-200, 0, "user", "below"), (-100, 0, "user", "above"), (0, 0, "user", "zero"), (takes, 0, "user", "own"), (lowest, 0, "user", "own")]
+    built = {**{c: t for c, _, _, t in rows[:3]}, takes: "below"}
+    got = {(r.conv_id, r.depth): r.n_convs for r in prefix_trie.shared_prefixes(spark.createDataFrame(rows, TURNS)).collect()}
+    assert got == {(lowest, 0): 5, **{(min(c for c in built if built[c] == t), 1): list(built.values()).count(t) for t in set(built.values())}}
+
+
 def test_end_digests_join_slices_in_order(spark, monkeypatch):
     monkeypatch.setattr(prefix_trie, "SLICE", 2)
     ids = random.Random(1).sample(range(-500, 500), 300)
