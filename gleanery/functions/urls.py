@@ -280,7 +280,8 @@ class TrustPolicy:
     """Domain lists of the three trusted tiers; at most a few hundred fixed entries.
 
     ``websites`` are the configured company sites.  Their number is limited by the settings
-    check, so the lists are embedded in the plan as literals and no join is needed.
+    check, so the lists are embedded in the plan as literals and no join is needed.  A domain in
+    ``single_hosts`` gives its tier to the host of that name alone, not to its subdomains.
     """
 
     primary: tuple[str, ...] = tuple(vocab.PRIMARY_DOMAINS)
@@ -288,6 +289,7 @@ class TrustPolicy:
     professional: tuple[str, ...] = tuple(vocab.PROFESSIONAL_DOMAINS)
     websites: tuple[str, ...] = ()
     builtin_sites: tuple[str, ...] = tuple(vocab.COMPANY_WEBSITES.values())
+    single_hosts: tuple[str, ...] = ()
     limit: int = field(default=1000, repr=False)
 
     def __post_init__(self) -> None:
@@ -322,7 +324,10 @@ class TrustPolicy:
                     tier = F.when(F.arrays_overlap(suffixes, _strings(domains)), F.lit(name)).otherwise(tier)
             return tier
 
-        return let(host_suffixes(trustable_host(url)), rank)
+        suffixes = host_suffixes(trustable_host(url))
+        if self.single_hosts:
+            suffixes = F.filter(suffixes, lambda s, i: (i == 0) | ~s.isin(*self.single_hosts))
+        return let(suffixes, rank)
 
     def publisher(self, url: Column | str) -> Column:
         """First listed trusted domain that the host belongs to, empty when there is none."""
