@@ -90,6 +90,15 @@ def test_portfolio_caps_a_prolific_company(spark):
     assert names.count("河谷泵业") == 3 and {"北辰铸件", "岩滩仪表"} <= set(names)
 
 
+def test_extract_holds_the_first_rows_of_a_category(spark):
+    """As many as before the extract was made to follow the picks, and more where the picks reach further."""
+    frame = pd.DataFrame([(i, 1000.0 - i, f"c{i // 3}", "one") for i in range(400)], columns=["arrival", "score", "company_key", "category"])
+    rows = spark.createDataFrame(frame)
+    for most, held in ((54, 128), (200, portfolio.reach(200))):
+        got = sorted(r.arrival for r in portfolio.extract(rows, [], most=most).collect())
+        assert got == list(range(held))
+
+
 def test_reduced_portfolio_equals_the_greedy_pick_over_everything(spark):
     rng = random.Random(7)
     for trial, most in enumerate((54, 54, 9, 54, 150, 300)):
