@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -11,26 +13,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from gleanery.functions import vocab
+from gleanery.functions.binding import let
 
 # The white-space set of the source semantics; Java's \s is ASCII only.
 SPACE = r"[\t\n\x0B\f\r \xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 NUMBER = r"(\d+(?:\.\d+)?" + SPACE + "*(?:" + "|".join(vocab.NUMBER_UNITS) + "))"
 
 
+# Rows of a batch that are Python strings at one time.
+SLICE = 256
+
+
+def sliced(values: pa.Array, change: Callable, kind: pa.DataType) -> pa.Array:
+    """``change`` of every value; the Python objects of one slice at a time, so memory follows the Arrow batch."""
+    parts = [pa.array([change(v) for v in values.slice(at, SLICE).to_pylist()], kind) for at in range(0, len(values), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+def _normal(value: str | None) -> str | None:
+    # The Arrow kernel of this name leaves letters decomposed, so the standard library is used.
+    return None if value is None else unicodedata.normalize("NFKC", value)
+
+
 @F.arrow_udf(StringType())
 def nfkc(values: pa.Array) -> pa.Array:
-    # The Arrow kernel of this name leaves letters decomposed, so the standard library is used.
-    return pa.array(
-        [None if v is None else unicodedata.normalize("NFKC", v) for v in values.to_pylist()], pa.string()
-    )
+    return sliced(values, _normal, pa.string())
 
 
 @F.arrow_udf(ArrayType(StringType()))
 def nfkc_each(lists: pa.Array) -> pa.Array:
-    def normal(values):
-        return None if values is None else [None if v is None else unicodedata.normalize("NFKC", v) for v in values]
-
-    return pa.array([normal(v) for v in lists.to_pylist()], pa.list_(pa.string()))
+    return sliced(lists, lambda values: None if values is None else [_normal(v) for v in values], pa.list_(pa.string()))
 
 
 def identity_key(value: str) -> str:
@@ -61,12 +73,25 @@ def fold_key(value: Column | str) -> Column:
     return F.lower(F.regexp_replace(_col(value), f"{SPACE}+", ""))
 
 
+def needles(pattern: str) -> list[str]:
+    """The beginning of every alternative of an alias; a text without any of them has no match."""
+    starts = [re.match(r"[^\\\[(?*+{.^$]+(?![?*{])", a) for a in re.split(r"\|(?![^(]*\))", pattern)]
+    if not all(starts):
+        raise ValueError(f"an alternative does not begin with letters: {pattern}")
+    return [s.group() for s in starts]
+
+
+def _renamed(key: Column, alias: tuple[str, str]) -> Column:
+    """One alias replaced; its pattern only runs over texts that hold one of its beginnings."""
+    pattern, canonical = alias
+    held = lambda k: reduce(Column.__or__, [F.contains(k, F.lit(n)) for n in needles(pattern)])
+    return let(key, lambda k: F.when(held(k), F.regexp_replace(k, pattern.replace(r"\s", SPACE), canonical)).otherwise(k))
+
+
 def identity_from_nfkc(value: Column) -> Column:
     """JVM-side part of the identity key; the input is already NFKC."""
-    key = F.lower(value)
-    for pattern, canonical in vocab.IDENTITY_ALIASES:
-        key = F.regexp_replace(key, pattern.replace(r"\s", SPACE), canonical)
-    return F.regexp_replace(key, SPACE[:-1] + r"\p{P}\p{S}]", "")
+    key = reduce(_renamed, vocab.IDENTITY_ALIASES, F.lower(value))
+    return F.regexp_replace(key, SPACE[:-1] + r"\p{P}\p{S}]+", "")
 
 
 def identity_text(value: Column | str) -> Column:

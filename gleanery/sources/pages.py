@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, S
 from gleanery.functions import urls, vocab
 from gleanery.functions.binding import bind, let
 from gleanery.functions.records import parse_date
-from gleanery.functions.text import collapse_space, strip_space
+from gleanery.functions.text import collapse_space, sliced, strip_space
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset(vocab.DROPPED_ELEMENTS)
@@ -151,13 +151,13 @@ _ARROW = pa.struct(
 
 @F.arrow_udf(PARSED)
 def read_html(pages: pa.Array) -> pa.Array:
-    return pa.array([_read(html) for html in pages.to_pylist()], _ARROW)
+    return sliced(pages, _read, _ARROW)
 
 
 @F.arrow_udf(PARSED)
 def read_html_terminated(pages: pa.Array) -> pa.Array:
     """Only entities with their semicolon are decoded, others stay as they are written."""
-    return pa.array([_read(UNTERMINATED.sub("&amp;", html or "")) for html in pages.to_pylist()], _ARROW)
+    return sliced(pages, lambda html: _read(UNTERMINATED.sub("&amp;", html or "")), _ARROW)
 
 
 def is_restricted(text: Column) -> Column:
