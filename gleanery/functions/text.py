@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 from gleanery.functions import vocab
 from gleanery.functions.binding import let
 
 # The white-space set of the source semantics; Java's \s is ASCII only.
 SPACE = r"[\t\n\x0B\f\r \xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+# White space, punctuation and symbols of ASCII.
+ASCII_MARKS = "\t\n\x0b\f\r " + string.punctuation
 NUMBER = r"(\d+(?:\.\d+)?" + SPACE + "*(?:" + "|".join(vocab.NUMBER_UNITS) + "))"
 
 
@@ -90,8 +94,9 @@ def _renamed(key: Column, alias: tuple[str, str]) -> Column:
 
 def identity_from_nfkc(value: Column) -> Column:
     """JVM-side part of the identity key; the input is already NFKC."""
-    key = reduce(_renamed, vocab.IDENTITY_ALIASES, F.lower(value))
-    return F.regexp_replace(key, SPACE[:-1] + r"\p{P}\p{S}]+", "")
+    key = F.translate(reduce(_renamed, vocab.IDENTITY_ALIASES, F.lower(value)), ASCII_MARKS, "")
+    # The pattern is left for texts with other characters than ASCII.
+    return let(key, lambda k: F.when(F.octet_length(k) > F.length(k), F.regexp_replace(k, SPACE[:-1] + r"\p{P}\p{S}]+", "")).otherwise(k))
 
 
 def identity_text(value: Column | str) -> Column:
@@ -103,12 +108,48 @@ def bigrams(key: Column | str) -> Column:
 
     Numbers keep the sets small and let Spark intersect them without comparing strings.
     """
-    pairs = F.array_distinct(F.regexp_extract_all(_col(key), F.lit(r"(?s)(?=(..))"), F.lit(1)))
+    # Empty matches move on by half a character beyond U+FFFF, where no pair begins.
+    pairs = F.array_distinct(F.regexp_extract_all(_col(key), F.lit(r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(..))"), F.lit(1)))
     return F.transform(
         pairs, lambda g: F.ascii(g).cast("bigint") * 2_097_152 + F.ascii(F.substring(g, 2, 1)).cast("bigint")
     )
 
 
+def key_grams(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, gram) of the distinct bigrams of each key, sorted by both."""
+    points = np.frombuffer("".join(keys).encode("utf-32-le"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    inside = np.flatnonzero(row[1:] == row[:-1])
+    row, gram = row[inside], points[inside] * 2_097_152 + points[inside + 1]
+    if len(keys) < 1 << 21:
+        # Two code points have 42 bits, so row and gram fit into one number.
+        both = np.sort((row << 42) | gram)
+        row, gram = both >> 42, both & ((1 << 42) - 1)
+    else:
+        order = np.lexsort((gram, row))
+        row, gram = row[order], gram[order]
+    first = np.ones(len(row), dtype=bool)
+    first[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
+    return row[first], gram[first]
+
+
+def _gram_lists(keys: pa.Array) -> pa.Array:
+    row, gram = key_grams(keys.fill_null("").to_pylist())
+    ends = np.searchsorted(row, np.arange(len(keys) + 1))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(gram, pa.int64()), mask=keys.is_null())
+
+
+@F.arrow_udf(ArrayType(ArrayType(LongType())))
+def bigrams_each(lists: pa.Array) -> pa.Array:
+    """``bigrams`` of every key of a list, in ascending order."""
+    parts = []
+    for at in range(0, len(lists), SLICE):
+        some = lists.slice(at, SLICE)
+        ends = np.concatenate([[0], np.cumsum(some.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+        parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _gram_lists(some.flatten()), mask=some.is_null()))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.list_(pa.int64())))
+
+
 def dice(left: Column, right: Column) -> Column:
     """Dice coefficient of two distinct bigram arrays; zero when either is empty."""
     total = F.size(left) + F.size(right)

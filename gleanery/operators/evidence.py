@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from gleanery.functions import text, urls
 from gleanery.functions.binding import bind, let
@@ -19,25 +22,22 @@ def detail(df: DataFrame, policy: urls.TrustPolicy, column: str = "evidence", in
     The rank sorts by authority, then quote length, then position.
     """
     quotes = F.transform(column, lambda e: e["quote"])
-    keyed = df.withColumn("_nfkc", text.nfkc_each(quotes))
+    keyed = bind(df.withColumn("_nfkc", text.nfkc_each(quotes)), _keys=F.transform("_nfkc", text.identity_from_nfkc)).drop("_nfkc")
+    sets = keyed.withColumn("_grams", text.bigrams_each("_keys"))
 
     def describe(entry: Column, i: Column) -> Column:
-        key = text.identity_from_nfkc(F.col("_nfkc")[i])
-        return let(
-            key,
-            lambda k: F.struct(
-                (-policy.authority(entry["url"])).alias("weak"),
-                (-F.length(entry["quote"])).alias("short"),
-                i.alias("place"),
-                urls.evidence_url(entry["url"]).alias("page"),
-                k.alias("key"),
-                text.bigrams(k).alias("grams"),
-                policy.tier(entry["url"]).alias("tier"),
-                entry.alias("entry"),
-            ),
+        return F.struct(
+            (-policy.authority(entry["url"])).alias("weak"),
+            (-F.length(entry["quote"])).alias("short"),
+            i.alias("place"),
+            urls.evidence_url(entry["url"]).alias("page"),
+            F.col("_keys")[i].alias("key"),
+            F.col("_grams")[i].alias("grams"),
+            policy.tier(entry["url"]).alias("tier"),
+            entry.alias("entry"),
         )
 
-    return bind(keyed, **{into: F.transform(column, describe)}).drop("_nfkc")
+    return bind(sets, **{into: F.transform(column, describe)}).drop("_keys", "_grams")
 
 
 def _alike(kept: Column, new: Column, threshold: float) -> Column:
@@ -66,6 +66,76 @@ def dedupe(details: Column | str) -> Column:
     return let(ranked, lambda r: F.aggregate(r, F.slice(r, 1, 0), step))
 
 
+# Citations whose bigram sets are compared in one matrix product.
+CHUNK = 512
+
+
+def kept_places(pages: list[str | None], keys: list[str | None]) -> list[int]:
+    """Places that ``dedupe`` keeps of citations given strongest first; sizes of common sets come from matrix products."""
+    row, gram = text.key_grams([k or "" for k in keys])
+    size = np.bincount(row, minlength=len(keys))
+    kept: list[int] = []
+
+    def incidence(places: list[int], columns: np.ndarray) -> np.ndarray:
+        matrix = np.zeros((len(places), len(columns)), dtype=np.float32)
+        for k, place in enumerate(places):
+            low, high = np.searchsorted(row, (place, place + 1))
+            at = np.minimum(np.searchsorted(columns, gram[low:high]), len(columns) - 1)
+            matrix[k, at[columns[at] == gram[low:high]]] = 1
+        return matrix
+
+    def repeats(old: int, new: int, shared: int) -> bool:
+        if keys[old] is None or keys[new] is None:
+            return False
+        alike = 2.0 * shared / (size[old] + size[new]) if shared else 0.0
+        if pages[old] is not None and pages[old] == pages[new]:
+            return alike >= SAME_PAGE or (shared == min(size[old], size[new]) and (keys[old] in keys[new] or keys[new] in keys[old]))
+        return alike >= OTHER_PAGE and min(len(keys[old]), len(keys[new])) >= MIN_QUOTE
+
+    for start in range(0, len(keys), CHUNK):
+        fresh = list(range(start, min(start + CHUNK, len(keys))))
+        own = slice(*np.searchsorted(row, (fresh[0], fresh[-1] + 1)))
+        columns, at = np.unique(gram[own], return_inverse=True)
+        mine, likely = np.zeros((len(fresh), max(len(columns), 1)), dtype=np.float32), [[] for _ in fresh]
+        mine[row[own] - start, at] = 1
+        columns = columns if len(columns) else np.array([-1])
+        for low in range(0, len(kept), CHUNK):
+            _likely(kept[low:low + CHUNK], incidence(kept[low:low + CHUNK], columns), fresh, mine, size, likely)
+        _likely(fresh, mine, fresh, mine, size, likely)
+        still = set(kept)
+        for place, others in zip(fresh, likely):
+            if not any(old in still and repeats(old, place, shared) for old, shared in others):
+                kept.append(place)
+                still.add(place)
+    return kept
+
+
+def _likely(old: list[int], theirs: np.ndarray, fresh: list[int], mine: np.ndarray, size: np.ndarray, into: list[list[tuple[int, int]]]) -> None:
+    """Collects (earlier place, size of the common set) of all pairs that are similar enough or may contain each other."""
+    shared = mine @ theirs.T
+    a, b = size[fresh][:, None], size[old][None, :]
+    x, y = np.nonzero((2.0 * shared >= (SAME_PAGE - 1e-6) * (a + b)) | (shared == np.minimum(a, b)))
+    for k, place in zip(x.tolist(), y.tolist()):
+        if old[place] < fresh[k]:
+            into[k].append((old[place], int(shared[k, place])))
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _kept(pages: pa.Array, keys: pa.Array) -> pa.Array:
+    parts = []
+    for at in range(0, len(keys), text.SLICE):
+        rows = zip(pages.slice(at, text.SLICE).to_pylist(), keys.slice(at, text.SLICE).to_pylist())
+        parts.append(pa.array([k if k is None else list(range(len(k))) if len(k) < 2 else kept_places(p, k) for p, k in rows], pa.list_(pa.int32())))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+
+
+def deduped(df: DataFrame, details: str = "details") -> DataFrame:
+    """``dedupe`` of a column, its pairs compared by matrix products."""
+    ranked = bind(df, **{details: F.array_sort(details)})
+    placed = ranked.withColumn("_kept", _kept(F.col(f"{details}.page"), F.col(f"{details}.key")))
+    return placed.withColumn(details, F.transform("_kept", lambda p: F.col(details)[p])).drop("_kept")
+
+
 def entries(details: Column | str) -> Column:
     return F.transform(details, lambda d: d["entry"])
 
@@ -83,7 +153,7 @@ def with_deduped(df: DataFrame, policy: urls.TrustPolicy, trusted_only: bool = F
     described = detail(df, policy)
     if trusted_only:
         described = bind(described, details=F.filter("details", lambda d: d["tier"] != "untrusted"))
-    reduced = bind(described, details=dedupe("details"))
+    reduced = deduped(described)
     return reduced.withColumn("evidence", entries("details"))
 
 
