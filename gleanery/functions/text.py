@@ -19,6 +19,7 @@ from gleanery.functions.binding import let
 
 # The white-space set of the source semantics; Java's \s is ASCII only.
 SPACE = r"[\t\n\x0B\f\r \xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+SPACES = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 # White space, punctuation and symbols of ASCII.
 ASCII_MARKS = "\t\n\x0b\f\r " + string.punctuation
 NUMBER = r"(\d+(?:\.\d+)?" + SPACE + "*(?:" + "|".join(vocab.NUMBER_UNITS) + "))"
@@ -186,22 +187,28 @@ def token_excerpt(body: Column | str, token: Column | str) -> Column:
     The window runs from 110 characters before the first matched character to 150 after the
     character that follows the match (the last character of the text when nothing follows).
     """
-    text, needle = _col(body), F.regexp_replace(_col(token), f"{SPACE}+", "")
-    # One pattern per token: its characters quoted, white space allowed between them.
-    pieces = F.transform(F.split(needle, ""), lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E")))
-    core = F.array_join(F.filter(pieces, lambda p: p != F.lit(r"\Q\E")), f"{SPACE}*")
-    start = F.regexp_instr(text, core)
-    matched = F.length(F.regexp_substr(text, core))
-    last = F.length(F.regexp_replace(text, f"{SPACE}+$", ""))
-    after = F.substr(text, start + matched)
-    gap = F.length(after) - F.length(F.regexp_replace(after, f"^{SPACE}+", ""))
-    following = start - 1 + matched + gap
-    end = F.least(F.length(text), F.least(following, last - 1) + 150)
-    begin = F.greatest(F.lit(0), start - 1 - 110)
-    piece = F.substr(text, begin + 1, end - begin)
-    return F.when(
-        (F.length(needle) > 0) & (start > 0), F.substring(collapse_space(piece), 1, 350)
-    ).otherwise(F.lit(""))
+    text = _col(body)
+
+    def cut(start: Column, matched: Column) -> Column:
+        last = F.length(F.rtrim(text, F.lit(SPACES)))
+        after = F.substr(text, start + matched)
+        gap = F.length(after) - F.length(F.ltrim(after, F.lit(SPACES)))
+        following = start - 1 + matched + gap
+        end = F.least(F.length(text), F.least(following, last - 1) + 150)
+        begin = F.greatest(F.lit(0), start - 1 - 110)
+        return F.substring(collapse_space(F.substr(text, begin + 1, end - begin)), 1, 350)
+
+    def find(core: Column) -> Column:
+        return let(F.regexp_instr(text, core), lambda start: F.when(
+            start > 0, let(F.length(F.regexp_substr(text, core)), lambda matched: cut(start, matched))).otherwise(F.lit("")))
+
+    def pattern(needle: Column) -> Column:
+        # One pattern per token: its characters quoted, white space allowed between them.
+        pieces = F.transform(F.split(needle, ""), lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E")))
+        core = F.array_join(F.filter(pieces, lambda p: p != F.lit(r"\Q\E")), f"{SPACE}*")
+        return F.when(F.length(needle) > 0, let(core, find)).otherwise(F.lit(""))
+
+    return let(F.regexp_replace(_col(token), f"{SPACE}+", ""), pattern)
 
 
 def short_hash(value: Column | str) -> Column:

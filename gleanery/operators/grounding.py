@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import records, text, urls, vocab
 from gleanery.functions.binding import bind
 from gleanery.operators import evidence
+from gleanery.session import stored
 
 MIN_EXCERPT = 12
 
@@ -89,7 +90,8 @@ def ground_items(
         _more=F.filter("_z", lambda z: z["kind"] == 1),
     ).where(F.size("_base") > 0)
     repaired = bind(split.join(tokens, [batch, "record_no"]), details=_repair(F.col("_base"), F.col("_tokens"), F.col("_more")))
-    grounded = repaired.select(batch, "record_no", evidence.entries("details").alias("evidence"))
+    # Read twice below, and costly: every text is searched for it.
+    grounded = stored(repaired.select(batch, "record_no", evidence.entries("details").alias("evidence")), "grounded")
     pages = grounded.select(batch, "record_no", F.explode("evidence").alias("e")).select(batch, "record_no", F.col("e.url").alias("url"))
     dates = (
         pages.distinct().join(page_dates(events, as_of, batch), [batch, "url"])
