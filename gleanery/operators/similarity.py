@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.functions import text
 from gleanery.operators.components import connected_components
+from gleanery.operators.pairing import Lists, coded
 from gleanery.session import cut_lineage
 
 
@@ -84,20 +86,77 @@ def _placed(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     return rows.join(connected_components(found), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
 
 
+# Sets of a chunk, rows of a strip, buckets of a set's grams (the most frequent grams have one of their own), pairs counted at a time.
+CHUNK, SMALL, STRIP, BUCKETS, OWN, SOME = 16_384, 1_000, 512, 256, 192, 100_000
+
+
+def _buckets(lists: Lists, places: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """How many grams of each set are in each bucket; products of these rows are never below the size of a common set."""
+    at = np.full(lists.n, -1)
+    at[places] = np.arange(len(places))
+    mine = at[lists.row] >= 0
+    cells = at[lists.row[mine]] * BUCKETS + bucket[lists.code[mine]]
+    return np.bincount(cells, minlength=len(places) * BUCKETS).reshape(-1, BUCKETS).astype(np.float32)
+
+
+def _shared(lists: Lists, keys: np.ndarray, begin: np.ndarray, codes: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Exact sizes of the common sets of the pairs (x, y); ``keys`` are all (row, code) in order."""
+    size = lists.size[x]
+    pair = np.repeat(np.arange(len(x)), size)
+    step = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
+    wanted = y[pair] * codes + keys[begin[x][pair] + step] % codes
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.bincount(pair[keys[at] == wanted], minlength=len(x))
+
+
+def similar(lists: Lists, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, place, similarity) of all pairs of ``left`` and ``right`` at or above the threshold; two equal sides give each pair once."""
+    codes = int(lists.code.max(initial=0)) + 1
+    keys = np.sort(lists.row * codes + lists.code)
+    begin = np.searchsorted(keys, np.arange(lists.n) * codes)
+    rank = np.empty(codes, dtype=np.int64)
+    rank[np.argsort(-np.bincount(lists.code, minlength=codes), kind="stable")] = np.arange(codes)
+    bucket = np.where(rank < OWN, rank, OWN + rank % (BUCKETS - OWN))
+    once = np.array_equal(left, right)
+    left, right = left[lists.size[left] > 0], right[lists.size[right] > 0]
+    # The two last columns take away the overlap that a pair of these sizes needs.
+    need = [(threshold / 2 * lists.size[side])[:, None].astype(np.float32) for side in (left, right)]
+    a = np.hstack([_buckets(lists, left, bucket), -need[0], np.ones_like(need[0])])
+    b = np.hstack([_buckets(lists, right, bucket), np.ones_like(need[1]), -need[1]]).T.copy()
+    found = []
+    for low in range(0, len(left), STRIP):
+        start = low if once else 0
+        x, y = np.nonzero(a[low:low + STRIP] @ b[:, start:] > -0.01)
+        x, y = x + low, y + start
+        x, y = (left[x[x < y]], right[y[x < y]]) if once else (left[x], right[y])
+        for k in range(0, len(x), SOME):
+            p, q = x[k:k + SOME], y[k:k + SOME]
+            alike = 2.0 * _shared(lists, keys, begin, codes, p, q) / (lists.size[p] + lists.size[q])
+            found.append((p[alike >= threshold], q[alike >= threshold], alike[alike >= threshold]))
+    none = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(none, *found))
+
+
 def dice_pairs(sets: DataFrame, threshold: float, node: str = "node", grams: str = "grams") -> DataFrame:
-    """All pairs (a, b, similarity) of distinct sets at or above the threshold.
+    """All pairs (a, b, similarity) of distinct sets at or above the threshold, which is above zero.
 
-    For whole pair lists; clustering uses :func:`linked`, which never lists a group of copies.
+    For whole pair lists; clustering uses :func:`linked`, which never lists a group of copies.  Sets are compared chunk against chunk,
+    each pair of chunks in one task: matrix products over bucket counts bound the common sets, and what passes is counted exactly.
+    The work is quadratic in the sets, memory follows the chunk and the pairs found in it.
     """
-    index = prefix_index(sets, threshold, node, grams)
-    left = index.select("gram", F.col(node).alias("a"), F.col("size").alias("size_a"))
-    right = index.select("gram", F.col(node).alias("b"), F.col("size").alias("size_b"))
-    fits = comparable(F.col("size_a"), F.col("size_b"), threshold)
-    candidates = left.join(right, "gram").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    full = sets.select(F.col(node), F.col(grams))
-    scored = (
-        candidates.join(full.select(F.col(node).alias("a"), F.col(grams).alias("_ga")), "a")
-        .join(full.select(F.col(node).alias("b"), F.col(grams).alias("_gb")), "b")
-        .select("a", "b", text.dice(F.col("_ga"), F.col("_gb")).alias("similarity"))
-    )
-    return scored.where(F.col("similarity") >= threshold)
+    given = cut_lineage(sets.select(F.col(node).alias("_s"), F.col(grams).alias("_g")))
+    count = given.count()
+    parts = max(-(-count // CHUNK), min(8, -(-count // SMALL)), 1)
+    chunked = given.withColumn("_c", F.pmod(F.xxhash64("_s"), F.lit(parts)).cast("int"))
+    met = chunked.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(
+        "_s", "_g", "_c", F.least("_c", "_k").alias("_i"), F.greatest("_c", "_k").alias("_j"))
+
+    def pairs(table: pa.Table) -> pa.Table:
+        chunk, i, j = (table.column(c).to_numpy() for c in ("_c", "_i", "_j"))
+        x, y, alike = similar(coded(table.column("_g").combine_chunks()), np.flatnonzero(chunk == i), np.flatnonzero(chunk == j), threshold)
+        nodes = table.column("_s").combine_chunks()
+        return pa.table({"x": nodes.take(pa.array(x)), "y": nodes.take(pa.array(y)), "similarity": pa.array(alike, pa.float64())})
+
+    kind = given.schema["_s"].dataType.simpleString()
+    found = met.groupBy("_i", "_j").applyInArrow(pairs, f"x {kind}, y {kind}, similarity double")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
