@@ -95,9 +95,10 @@ def _renamed(key: Column, alias: tuple[str, str]) -> Column:
 
 def identity_from_nfkc(value: Column) -> Column:
     """JVM-side part of the identity key; the input is already NFKC."""
-    key = F.translate(reduce(_renamed, vocab.IDENTITY_ALIASES, F.lower(value)), ASCII_MARKS, "")
-    # The pattern is left for texts with other characters than ASCII.
-    return let(key, lambda k: F.when(F.octet_length(k) > F.length(k), F.regexp_replace(k, SPACE[:-1] + r"\p{P}\p{S}]+", "")).otherwise(k))
+    key = reduce(_renamed, vocab.IDENTITY_ALIASES, F.lower(value))
+    # The pattern is left to texts with other characters than ASCII.
+    pattern = SPACE[:-1] + r"\p{P}\p{S}]+"
+    return let(key, lambda k: F.when(F.octet_length(k) > F.length(k), F.regexp_replace(k, pattern, "")).otherwise(F.translate(k, ASCII_MARKS, "")))
 
 
 def identity_text(value: Column | str) -> Column:
