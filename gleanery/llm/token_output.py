@@ -29,13 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gleanery.llm import words as W
 from gleanery.session import shared_folder
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 2
 SHARD_TOKENS = 1 << 20
 BLOCK = 512
-MEMO = 800_000
+MEMO = 400_000
 # Characters of texts cut together.
 TOGETHER = 6 << 20
 TEXT_BYTES_PER_TASK = 32 << 20
@@ -224,7 +225,8 @@ def _writer(name: str, end: int, most: int) -> Callable:
         from pyspark import TaskContext
 
         place, ids, parts, held = TaskContext.get().partitionId() << 32, [], [], 0
-        for batch in batches:
+        # Python holds the texts of one slice of a batch at a time.
+        for batch in W.bounded(batches, 1, TOGETHER):
             for doc, got in zip(batch.column(0).to_pylist(), encoded(batch.column(1).to_pylist(), name)):
                 if parts and held + len(got) + 1 > most:
                     yield _shard(place, ids, parts)
@@ -244,7 +246,7 @@ def write(docs: DataFrame, path: str, name: str = TOKENIZER, end: int = END, id_
     pairs = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     size = pairs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ordered = pairs.repartitionByRange(max(1, -(-size // task_bytes)), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
-    ordered.mapInArrow(_writer(name, end, most), SHARD).write.option("compression", "zstd").parquet(path)
+    ordered.mapInArrow(W.released(_writer(name, end, most)), SHARD).write.option("compression", "zstd").parquet(path)
     return path
 
 
@@ -272,7 +274,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     tasks = sizes.groupBy("task").agg(F.sum("n").alias("n")).select("task", before(Window.orderBy("task")).alias("base"))
     bases = sizes.withColumn("own", before(Window.partitionBy("task").orderBy("place"))).join(tasks, "task").select(
         "place", (F.col("base") + F.col("own")).alias("base"))
-    rows = shards.mapInArrow(_reader(), "place bigint, id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = shards.mapInArrow(W.released(_reader()), "place bigint, id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint")
     return rows.join(bases, "place").select("id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 

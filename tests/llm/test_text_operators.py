@@ -339,6 +339,16 @@ def test_tiling_against_brute_force(spark, nothing):
 # 7 token output
 
 
+def test_token_writer_holds_a_slice_of_a_batch(monkeypatch):
+    held, whole = [], token_output.encoded
+    monkeypatch.setattr(token_output, "TOGETHER", 1000)
+    monkeypatch.setattr(token_output, "encoded", lambda texts, name: held.append(sum(map(len, texts))) or whole(texts, name))
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    batch = pa.record_batch({"id": list(range(50)), "text": ["some words " * 10] * 50})
+    shards = list(token_output._writer(token_output.TOKENIZER, 2, 1 << 20)(iter([batch])))
+    assert sum(len(s.column(1)[0]) for s in shards) == 50 and max(held) <= 1000
+
+
 def test_token_files_round_trip(spark, corpus, nothing, tmp_path):
     rows, df = corpus
     rows = [r for r in rows if r[0] != 5] + [(5, " a  b.,c 'll don't,'s 1.5<|endoftext|> x\x1c. y\n\nz", "en", "s", 1)]
