@@ -10,13 +10,14 @@ row takes the row's probability times its share of the base model among the row'
 probabilities over all texts.
 
 Work on the cluster:
-1. Documents are dealt into buckets of bounded size by a hash of their ids.  A bucket sends one row per distinct word with its
-   count in training texts; counts are added up per word over the whole corpus.
+1. Documents are dealt into buckets of bounded size by a hash of their ids; compressed packs of documents travel.  A bucket sends
+   its distinct words with their counts in training texts, one packed row for each deal of words; a deal adds up the counts of
+   its words over the whole corpus and sends each bucket the totals alone, in the order in which the words came.
 2. The n-grams (two tokens before, token) of the training texts are dealt to parts of about ``PART_GRAMS`` tokens and counted
    there; in each round every part trains on its counts by NCE from the same start.  A part sends what it changed in the rows
    that it touched, in slices of rows; the next start is changed, row by row, by the mean weighted by how often each part touched
    the row.  Means are taken of ``FAN`` parts at a time, level by level, so that no task reads more than that.
-3. A bucket's documents meet the counts of just the words of that bucket.  Tokens are normalised class by class in matrix
+3. A bucket's documents meet the totals of just the words of that bucket.  Tokens are normalised class by class in matrix
    products of bounded size.
 
 Counts of words and n-grams grow with the corpus; the model has a bounded number of rows of ``2 * SIZE + 1`` numbers, which every
@@ -50,21 +51,23 @@ SHARING = 64
 SHARED_ROWS = 1 << 15
 SIZE = 24
 NOISE = 64
-# Noise words per token, drawn in the token's class, and tokens that share them.
-WITHIN = 5
-RUN = 4
-PART_GRAMS = 1 << 21
+# Noise words of a run of tokens of one class, drawn in that class, and tokens in a run.
+WITHIN = 16
+RUN = 32
+PART_GRAMS = 1 << 22
 # Rows of the model that are averaged in one task, and parts averaged at a time.
 SLICE = 1 << 12
 FAN = 64
 ROUNDS = 2
 EPOCHS = 1
-BATCH = 2048
+BATCH = 8192
 RATE = 0.1
 # Adagrad's sum of squares at the start.
 START = 1e-8
 LEAST_STEPS = 100
 BUCKET_BYTES = 8 << 20
+# Buckets of documents for each deal of words.
+BUCKETS_A_DEAL = 2
 # Characters of training texts counted together.
 TOGETHER = 6 << 20
 END = 0
@@ -82,24 +85,89 @@ def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, edge
 
 
-def _word_rows() -> Callable:
-    """Per bucket: the distinct words of its documents and their counts in the training documents."""
-    schema = pa.schema([("bucket", pa.int64()), ("word", pa.int64()), ("times", pa.int64())])
+def _squeezed(*numbers: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers of one length as compressed byte planes."""
+    planes = np.stack([n.astype(np.int64) for n in numbers]).view(np.uint8).reshape(len(numbers), -1, 8).transpose(0, 2, 1)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _widened(data: bytes, columns: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(columns, 8, -1)
+    return planes.transpose(0, 2, 1).copy().view(np.int64)[:, :, 0]
+
+
+def _packs(buckets: int) -> Callable:
+    """Documents (bucket, id, teaches, text) of a batch, compressed in one row per bucket."""
+    schema = pa.schema([("bucket", pa.int64()), ("pack", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
-            bucket, teaches = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            texts = batch.column(2).to_pylist()
-            for b in np.unique(bucket):
-                mine = np.flatnonzero(bucket == b)
-                tokens, edge = _tokens([texts[k] for k in mine])
-                words, back = np.unique(tokens, return_inverse=True)
-                times = np.bincount(back, np.repeat(teaches[mine], np.diff(edge)).astype(np.float64), len(words)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), b)), pa.array(words), pa.array(times)], schema=schema)
+            bucket = batch.column(0).to_numpy()
+            order = np.argsort(bucket, kind="stable")
+            bound = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            docs = batch.select([1, 2, 3])
+            for k in np.flatnonzero(np.diff(bound)):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, docs.schema, options=options) as out:
+                    out.write_batch(docs.take(pa.array(order[bound[k] : bound[k + 1]])))
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=schema)
+
+    return run
+
+
+def _unpacked_docs(packs: Iterator) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(p.as_buffer()).read_all() for p in packs]).combine_chunks()
+
+
+def _deal(words: np.ndarray, deals: int) -> np.ndarray:
+    return (words.view(np.uint64) >> np.uint64(8)) % np.uint64(deals)
+
+
+def _word_rows(deals: int) -> Callable:
+    """Of one bucket: its distinct words, in order, and their counts in the training documents, packed in one row per deal of words."""
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = _unpacked_docs(p for batch in batches for p in batch.column(1))
+        tokens, edge = _tokens(docs["text"].to_pylist())
+        words, back = np.unique(tokens, return_inverse=True)
+        teaches = docs["teaches"].to_numpy(zero_copy_only=False)
+        times = np.bincount(back, np.repeat(teaches, np.diff(edge)).astype(np.float64), len(words)).astype(np.int64)
+        deal = _deal(words, deals)
+        for k in np.unique(deal):
+            mine = deal == k
+            packed = _squeezed(np.diff(words[mine], prepend=np.int64(0)), times[mine])
+            yield pa.RecordBatch.from_arrays([pa.array([int(k)]), pa.array([key[0].as_py()], pa.int64()), pa.array([packed], pa.binary())],
+                                             names=["deal", "bucket", "packed"])
+        W.release()
 
     return run
 
 
+def _sums(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one deal: the totals of each bucket's words, one packed row each, and under bucket -1 all words with their totals."""
+    buckets, words, times = [], [], []
+    for batch in batches:
+        for bucket, packed in zip(batch.column(1).to_pylist(), batch.column(2)):
+            gap, count = _widened(packed.as_buffer(), 2)
+            buckets.append(bucket), words.append(np.cumsum(gap)), times.append(count)
+    every, back = np.unique(np.concatenate(words), return_inverse=True)
+    total = np.bincount(back, np.concatenate(times).astype(np.float64), len(every)).astype(np.int64)
+    edge = np.cumsum([0, *map(len, words)])
+    for bucket, a, b in zip(buckets, edge, edge[1:]):
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([key[0].as_py()], pa.int64()),
+                                          pa.array([_squeezed(total[back[a:b]])], pa.binary())], names=["bucket", "deal", "packed"])
+    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([key[0].as_py()], pa.int64()),
+                                      pa.array([_squeezed(np.diff(every, prepend=np.int64(0)), total)], pa.binary())], names=["bucket", "deal", "packed"])
+    W.release()
+
+
+def _all_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for packed in batch.column(0):
+            gap, total = _widened(packed.as_buffer(), 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(gap)), pa.array(total)], names=["word", "total"])
+
+
 def _numbers(tokens: np.ndarray, keys: np.ndarray, number: np.ndarray, shared: int) -> np.ndarray:
     """Row of each token; ``keys`` is sorted and has the end mark.  The shared rows follow the end mark's."""
     at = np.minimum(np.searchsorted(keys, tokens), len(keys) - 1)
@@ -183,12 +251,14 @@ def _chance(x: np.ndarray) -> np.ndarray:
 
 
 def _log_sums(r: np.ndarray, target: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Log of the sum over all targets of the exponential of product plus bias, for each row."""
+    """Log of the sum over all targets of the exponential of product plus bias, for each row; in strips that fit a core's cache."""
     out, ones = np.empty(len(r), np.float32), np.ones(len(bias), np.float32)
-    for x in range(0, len(r), 1 << 11):
-        s = r[x : x + (1 << 11)] @ target.T
-        s += bias
-        if -60 < s.min() and s.max() < 60:
+    both = np.ascontiguousarray(np.concatenate((target, bias[:, None]), 1).T)
+    full = np.concatenate((r, np.ones((len(r), 1), np.float32)), 1)
+    small = len(r) and np.sqrt((r * r).sum(1).max() * (target * target).sum(1).max()) + np.abs(bias).max() < 60
+    for x in range(0, len(r), 1 << 9):
+        s = full[x : x + (1 << 9)] @ both
+        if small:
             out[x : x + len(s)] = np.log(np.exp(s, out=s) @ ones)
         else:
             top = s.max(1)
@@ -244,21 +314,21 @@ class LogBilinear:
         reach_class, reach = np.cumsum(mass), np.cumsum(times)
         seen = {name: np.full_like(getattr(self, name), START) for name in self.NAMES}
 
-        def step(name: str, rows: np.ndarray, grads: np.ndarray) -> None:
-            """Adagrad on different rows."""
-            total = seen[name][rows]
+        def step(name, rows, grads):
+            held, sums = getattr(self, name), seen[name]
+            total = sums[rows]
             total += grads * grads
-            seen[name][rows] = total
-            grads = RATE * grads
-            grads /= np.sqrt(total)
-            getattr(self, name)[rows] -= grads
+            sums[rows] = total
+            np.sqrt(total, out=total)
+            grads = grads / total
+            grads *= -RATE
+            held[rows] += grads
 
-        def edges(ordered: np.ndarray) -> np.ndarray:
+        def edges(ordered):
             return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
 
-        def added(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Rows without repeats, the sums of their gradients, and how often each was there."""
-            by = np.argsort(rows)
+        def added(rows, grads):
+            by = np.argsort(rows, kind="stable")
             rows = rows[by]
             first = edges(rows)
             return rows[first], np.add.reduceat(grads[by], first), np.diff(np.append(first, len(rows)))
@@ -270,37 +340,45 @@ class LogBilinear:
             r1, r2, y = one[some], two[some], token[some]
             k = y // width
             start, y_start = edges(k), edges(y)
-            start = np.flatnonzero((np.arange(BATCH) - np.repeat(start, np.diff(np.append(start, BATCH)))) % RUN == 0)
+            place = np.arange(BATCH) - np.repeat(start, np.diff(np.append(start, BATCH)))
+            start = np.flatnonzero(place % RUN == 0)
             size, here = np.diff(np.append(start, BATCH)), k[start]
+            run, slot = np.repeat(np.arange(len(start)), size), place % RUN
             other = np.minimum(np.searchsorted(reach_class, rng.random(NOISE) * reach_class[-1], "right"), len(mass) - 1)
             drawn = np.searchsorted(reach_word, low[here][:, None] + rng.random((len(here), WITHIN)) * mass[here][:, None], "right")
             drawn = np.clip(drawn, (here * width)[:, None], np.minimum((here + 1) * width, n)[:, None] - 1)
             b1, b2 = self.before[r1], self.before[r2]
-            r = b1 @ self.near + b2 @ self.far
-            q, qn, t = self.class_target[k], self.class_target[other], self.target[y]
-            tn = np.repeat(self.target[drawn], size, 0)
-            g = (_chance(np.einsum("bd,bd->b", r, q) + self.class_bias[k] - log_class[k]) - 1) * weight
-            b = _chance(r @ qn.T + (self.class_bias[other] - log_class[other])) * weight
-            w = (_chance(np.einsum("bd,bd->b", r, t) + (self.bias[y] - log_word[y])) - 1) * weight
-            v = _chance(np.einsum("bd,bkd->bk", r, tn) + np.repeat(self.bias[drawn] - log_word[drawn], size, 0)) * weight
-            d_r = g[:, None] * q + b @ qn + w[:, None] * t + np.einsum("bk,bkd->bd", v, tn)
-            # The last column is the gradient of the bias.
-            r = np.concatenate((r, np.ones((BATCH, 1), np.float32)), 1)
-            by_class = np.add.reduceat((v[:, :, None] * r[:, None, :]).reshape(BATCH, -1), start).reshape(-1, SIZE + 1)
-            rows, grads, _ = added(np.append(y[y_start], drawn.ravel()), np.concatenate((np.add.reduceat(w[:, None] * r, y_start), by_class)))
-            step("target", rows, grads[:, :-1])
-            step("bias", rows, grads[:, -1])
-            rows, grads, _ = added(np.append(here, other), np.concatenate((np.add.reduceat(g[:, None] * r, start), b.T @ r)))
-            step("class_target", rows, grads[:, :-1])
-            step("class_bias", rows, grads[:, -1])
+            r = np.ones((BATCH, SIZE + 1), np.float32)
+            r[:, :-1] = b1 @ self.near
+            r[:, :-1] += b2 @ self.far
+            x = r[:, :-1]
+            q, qn, t, tn = self.class_target[k], self.class_target[other], self.target[y], self.target[drawn]
+            g = (_chance(np.einsum("bd,bd->b", x, q) + self.class_bias[k] - log_class[k]) - 1) * weight
+            b = _chance(x @ qn.T + (self.class_bias[other] - log_class[other])) * weight
+            w = (_chance(np.einsum("bd,bd->b", x, t) + (self.bias[y] - log_word[y])) - 1) * weight
+            # Runs side by side, filled up with zeros.
+            rows = np.zeros((len(start), RUN, SIZE + 1), np.float32)
+            rows[run, slot] = r
+            v = _chance(np.matmul(rows[:, :, :-1], tn.transpose(0, 2, 1)) + (self.bias[drawn] - log_word[drawn])[:, None, :])
+            v *= (rows[:, :, -1] * weight)[:, :, None]
+            d_r = np.matmul(v, tn)[run, slot]
+            d_r += g[:, None] * q
+            d_r += b @ qn
+            d_r += w[:, None] * t
+            by_noise = np.matmul(v.transpose(0, 2, 1), rows).reshape(-1, SIZE + 1)
+            at, grads, _ = added(np.append(y[y_start], drawn.ravel()), np.concatenate((np.add.reduceat(w[:, None] * r, y_start), by_noise)))
+            step("target", at, grads[:, :-1])
+            step("bias", at, grads[:, -1])
+            at, grads, _ = added(np.append(here, other), np.concatenate((np.add.reduceat(g[:, None] * r, start), b.T @ r)))
+            step("class_target", at, grads[:, :-1])
+            step("class_bias", at, grads[:, -1])
             near, far = b1.T @ d_r, b2.T @ d_r
-            rows, grads, uses = added(np.append(r1, r2), np.concatenate((d_r @ self.near.T, d_r @ self.far.T)))
-            step("before", rows, grads)
+            at, grads, uses = added(np.append(r1, r2), np.concatenate((d_r @ self.near.T, d_r @ self.far.T)))
+            step("before", at, grads)
             step("near", slice(None), near)
             step("far", slice(None), far)
-            self.used[0, rows] += uses
-            np.add.at(self.used[1], y, np.float32(1))
-            np.add.at(self.used[1], drawn.ravel(), np.repeat(size, WITHIN).astype(np.float32))
+            self.used[0, at] += uses
+            self.used[1] += np.bincount(y, minlength=n) + np.bincount(drawn.ravel(), np.repeat(size, WITHIN), n)
 
     def log_probabilities(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
         """``log_p`` of packed contexts."""
@@ -448,14 +526,14 @@ def train(
     parts = max(1, -(-int(count.sum()) // PART_GRAMS))
     # Every part is one packed row.
     grams = stored(
-        texts.mapInArrow(W.released(_dealt(spark.sparkContext.broadcast((keys, number, shared)), parts)), "part long, grams binary").groupBy("part")
-        .applyInArrow(_counted, "part long, grams binary"), "grams")
+        texts.mapInArrow(W.released(_dealt(spark.sparkContext.broadcast((keys, number, shared)), parts)), "part long, grams binary")
+        .repartition(parts * 4, "part").groupBy("part").applyInArrow(_counted, "part long, grams binary"), "grams")
     unigram = count / count.sum()
     model = LogBilinear.start(unigram)
     noise = spark.sparkContext.broadcast(unigram)
     for turn in range(ROUNDS):
         start = spark.sparkContext.broadcast(model.packed())
-        trained = grams.repartition(parts, "part").mapInArrow(W.released(_train_parts(start, noise, n, turn)), ROWS)
+        trained = grams.mapInArrow(W.released(_train_parts(start, noise, n, turn)), ROWS)
         _next_start(model, _averaged(trained, parts))
     return keys, number, model, unigram, rare + members + 1
 
@@ -464,23 +542,23 @@ def train(
 _models: dict[str, LogBilinear] = {}
 
 
-def _scorer(held, trained_tokens: int, distinct: int) -> Callable:
+def _scorer(held, trained_tokens: int, distinct: int, deals: int) -> Callable:
     schema = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def run(key: tuple, docs: Iterator[pa.RecordBatch] | pa.Table, counts: pa.Table) -> pa.Table:
+    def run(key: tuple, packs: pa.Table, totals: pa.Table) -> pa.Table:
         W.release()
         token, keys, number, packed, n, mass = held.value
         if token not in _models:
             _models.clear()
             _models[token] = LogBilinear.unpacked(packed, n)
         model = _models[token]
-        word, total = counts["word"].to_numpy(), counts["total"].to_numpy()
-        order = np.argsort(word)
-        word, total = word[order], total[order]
-        out = []
-        texts = docs["text"].to_pylist()
-        tokens, edge = _tokens(texts)
-        c = total[np.searchsorted(word, tokens)] if len(word) else np.zeros(len(tokens), np.int64)
+        docs = _unpacked_docs(packs["pack"])
+        tokens, edge = _tokens(docs["text"].to_pylist())
+        word = np.unique(tokens)
+        deal, total = _deal(word, deals), np.zeros(len(word), np.int64)
+        for k, data in zip(totals["deal"].to_pylist(), totals["packed"]):
+            total[deal == k] = _widened(data.as_buffer(), 1)[0]
+        c = total[np.searchsorted(word, tokens)]
         base = np.log10((c + 1) / (trained_tokens + distinct + 1))
         ids = _numbers(tokens, keys, number, len(mass)).astype(np.int64)
         score = model.log_p(*_contexts(ids, edge), ids) / np.log(10)
@@ -504,14 +582,15 @@ def scored(docs: DataFrame, teaches: Column, id_column: str = "doc_id", text_col
     buckets = max(1, -(-size // bucket_bytes))
     # The text is part of the hash, so that rows that repeat an id don't meet in one bucket.
     dealt = rows.select(F.pmod(F.xxhash64("id", F.octet_length("text"), F.substring("text", 1, 64)), F.lit(buckets)).alias("bucket"), "id", "teaches", "text")
-    per_bucket = stored(
-        dealt.repartition(buckets, "bucket").select("bucket", "teaches", "text").mapInArrow(W.released(_word_rows()), "bucket bigint, word bigint, times bigint")
-        .groupBy("bucket", "word").agg(F.sum("times").alias("times")), "bucket-words")
-    words = stored(per_bucket.groupBy("word").agg(F.sum("times").alias("total")), "words")
+    packs = dealt.mapInArrow(W.released(_packs(buckets)), "bucket bigint, pack binary").repartition(2 * buckets, "bucket")
+    deals = -(-buckets // BUCKETS_A_DEAL)
+    totals = stored(
+        packs.groupBy("bucket").applyInArrow(_word_rows(deals), "deal bigint, bucket bigint, packed binary")
+        .repartition(2 * deals, "deal").groupBy("deal").applyInArrow(_sums, "bucket bigint, deal bigint, packed binary"), "totals")
+    words = totals.where("bucket = -1").select("packed").mapInArrow(W.released(_all_words), "word bigint, total bigint")
     trained, distinct = words.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum((F.col("total") > 0).cast("bigint")), F.lit(0))).first()
     keys, number, model, _, mass = train(rows.where("teaches").select("text"), words)
     held = spark.sparkContext.broadcast((uuid.uuid4().hex, keys, number, model.packed(), len(model.bias), mass))
-    counts = per_bucket.select("bucket", "word").join(words, "word")
-    out = dealt.select("bucket", "id", "text").groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(
-        _scorer(held, int(trained), int(distinct)), "id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = packs.groupBy("bucket").cogroup(totals.where("bucket >= 0").repartition(2 * buckets, "bucket").groupBy("bucket")).applyInArrow(
+        _scorer(held, int(trained), int(distinct), deals), "id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(int(trained)).cast("bigint"))

@@ -471,6 +471,24 @@ def test_language_model_scores(spark, corpus, nothing):
     assert lm_scoring.scored(nothing, teaches).count() == 0
 
 
+def test_documents_and_words_travel_packed():
+    texts = ["the same words " * 300, "", "Ein Wort\u2028 mehr"] * 10
+    docs = {"id": [None, *range(29)], "teaches": [k % 3 == 0 for k in range(30)], "text": texts}
+    batch = pa.record_batch({"bucket": [k % 2 for k in range(30)], **docs})
+    packs = list(lm_scoring._packs(2)(iter([batch])))
+    assert sum(len(p.column(1)[0].as_py()) for p in packs) < sum(map(len, texts)) / 5
+    assert [lm_scoring._unpacked_docs(p.column(1)).to_pylist() for p in packs] == [
+        [dict(zip(docs, row)) for k, row in enumerate(zip(*docs.values())) if k % 2 == b] for b in range(2)]
+    # Every bucket gets the totals of its words over all buckets, in the order of its words.
+    rows = [r for b, p in enumerate(packs) for r in lm_scoring._word_rows(1)((pa.scalar(b),), iter([p]))]
+    out = [r for batch in lm_scoring._sums((pa.scalar(0),), iter(rows)) for r in batch.to_pylist()]
+    count = Counter(t for k, x in enumerate(texts) if k % 3 == 0 for t in lm_scoring._tokens([x])[0].tolist())
+    for row in out[:-1]:
+        mine = np.unique(lm_scoring._tokens([x for k, x in enumerate(texts) if k % 2 == row["bucket"]])[0])
+        assert lm_scoring._widened(row["packed"], 1)[0].tolist() == [count[w] for w in mine.tolist()]
+    assert [r["bucket"] for r in out] == [0, 1, -1]
+
+
 @given(st.lists(st.tuples(*[st.integers(0, 2**31 - 1)] * 4), max_size=40))
 @settings(max_examples=40, deadline=None)
 def test_packed_grams_come_back(rows):
