@@ -16,8 +16,9 @@
      and so do the parities of both sets (see ``parities``), which are far smaller than the sets.  Only shared tokens with no
      less than the overlap from their own place on in both sets are looked at, as the first shared one always is such a token,
      and none whose places alone rule the overlap out,
-   - the group's union holds at least ceil(t n) of the query's n shingles.
-5. Members of opened groups are compared exactly; all links give the components.
+   - for a larger group, it has a probe token in common with a member.
+5. A query is compared exactly with all members of an opened group in one step over the group's sorted tokens, a slice of its
+   queries at a time.  It hands on the first link, which is enough, as the members are connected; all links give the components.
 
 No pair of different classes in different provisional components escapes steps 4 and 5, hence the components are exact.
 Shingles are 64-bit hashes and classes 64-bit digests of their sets (see ``words``).
@@ -44,6 +45,8 @@ from gleanery.session import stored
 SHINGLE = 5
 PERCENT = 80
 GROUP_SIZE = 64
+# Queries that meet a group in one call, about.
+QUERIES = 256
 ROUNDS = 4
 MEETINGS = 1
 # Tokens of more classes than this gather groups first; all others go straight to the matrix.
@@ -196,6 +199,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(_linked(F.col("ta"), F.col("tb"), percent)).select("a", "b")
 
 
+def _first_links(percent: int) -> Callable:
+    """Of one group: each query with the first member that it links with, if any.
+
+    Members of a group are connected already, so one link connects a query with all of them.
+    """
+    def run(queries: pa.Table, members: pa.Table) -> pa.Table:
+        a, b = [], []
+        if queries.num_rows and members.num_rows:
+            lists, name = members["held"].combine_chunks(), members["member"].to_numpy()
+            size = lists.value_lengths().to_numpy()
+            flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+            order = np.argsort(flat)
+            flat, owner = flat[order], owner[order]
+            for cls, tokens in zip(queries["cls"].to_pylist(), queries["tokens"]):
+                tokens = tokens.values.to_numpy()
+                low = np.searchsorted(flat, tokens)
+                times = np.searchsorted(flat, tokens, "right") - low
+                at = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                both = np.bincount(owner[at], minlength=len(size))
+                linked = np.flatnonzero(both * 100 >= (len(tokens) + size - both) * percent)
+                if len(linked):
+                    a.append(cls), b.append(int(name[linked[0]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(cls, comp) of every node."""
     found = connected_components(links).select(F.col("node").alias("cls"), "component")
@@ -290,16 +320,17 @@ def similar_components(
     asks = asks.where("weight > 1")
     inside = left.where("weight > 1").select("cls", F.col("n").alias("m"), "comp", "piece").distinct()
     inside = stored(inside.join(asks.select("comp", "piece").distinct(), ["comp", "piece"]), "members")
-    asked = lone.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(asks.select("cls")).unionByName(inside.select("cls"))
-    sets = _sets(texts, classes, asked.distinct(), shingle, frequent)
-    # A piece holds about group_size members, so its union is bounded; the union of one class is the class itself.
-    unions = inside.join(sets, "cls").groupBy("comp", "piece").agg(
-        F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
-    bound = F.size(F.array_intersect("tokens", "union")) * 100 >= F.col("n") * percent
-    qualified = asks.join(sets, "cls").join(unions, ["comp", "piece"]).where(bound).select("cls", "n", "comp", "piece")
-    opened = qualified.withColumnRenamed("cls", "a").join(inside.withColumnRenamed("cls", "b"), ["comp", "piece"]).where(
-        _fits(F.col("n"), F.col("m"), percent)).select("a", "b")
-    found = stored(_verified(opened.unionByName(lone), sets, percent), "links")
+    compared = lone.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(asks.select("cls")).unionByName(inside.select("cls"))
+    sets = _sets(texts, classes, compared.distinct(), shingle, frequent)
+    # A piece holds about group_size members and a slice about QUERIES queries, so what meets in one call is bounded.
+    slices = asks.groupBy("comp", "piece").agg(F.ceil(F.count("*") / QUERIES).alias("slices"))
+    asking = asks.join(slices, ["comp", "piece"]).select("cls", "comp", "piece", F.pmod(F.xxhash64("cls"), "slices").alias("slice")).join(sets, "cls")
+    asked = inside.join(slices, ["comp", "piece"]).select("cls", "comp", "piece", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    group = ["comp", "piece", "slice"]
+    asked = asked.join(sets, "cls").select(*[F.col(c).alias(c) for c in group], F.col("cls").alias("member"), F.col("tokens").alias("held"))
+    opened = asking.select(*group, "cls", "tokens").groupBy(group).cogroup(asked.groupBy(group)).applyInArrow(
+        _first_links(percent), "a bigint, b bigint")
+    found = stored(opened.unionByName(_verified(lone, sets, percent)), "links")
     final = _components(found if links is None else links.unionByName(found), nodes)
 
     placed = classes.join(final, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))

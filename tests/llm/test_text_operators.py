@@ -339,6 +339,21 @@ def test_tiling_against_brute_force(spark, nothing):
 # 7 token output
 
 
+def test_a_query_hands_on_one_link_of_a_group():
+    rng = np.random.default_rng(3)
+    base = rng.integers(-2**62, 2**62, 60)
+
+    def edited(n):
+        return np.sort(np.concatenate((base[n:], rng.integers(-2**62, 2**62, n))))
+
+    members, asking = [edited(int(n)) for n in rng.integers(0, 6, 40)], [edited(int(n)) for n in rng.integers(0, 25, 30)]
+    left, right = (pa.table({name: list(range(at, at + len(x))), tokens: pa.array([t.tolist() for t in x], pa.list_(pa.int64()))})
+                   for name, tokens, at, x in (("cls", "tokens", 100, asking), ("member", "held", 0, members)))
+    got = jaccard_join._first_links(80)(left, right).to_pylist()
+    links = {100 + k: [m for m, t in enumerate(members) if 100 * len(np.intersect1d(q, t)) >= 80 * len(np.union1d(q, t))] for k, q in enumerate(asking)}
+    assert 0 < len(got) < len(asking) and got == [{"a": q, "b": met[0]} for q, met in links.items() if met]
+
+
 def test_token_writer_holds_a_slice_of_a_batch(monkeypatch):
     held, whole = [], token_output.encoded
     monkeypatch.setattr(token_output, "TOGETHER", 1000)
